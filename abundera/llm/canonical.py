@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundera.llm.trie import Trie
+from abundera.llm.trie import Trie, edits
 
 #: The reference list is held by every task; a longer one is refused.
 MAX_ENTRIES = 1_000_000
@@ -107,7 +107,11 @@ class Reference:
         for found in (self._by_code(words), self._whole(key), self._whole(plain(named.group(1))) if named else set(), self._inside(words)):
             if found:
                 return self._one(found) or UNMATCHED
-        near = self.trie.within(plain(named.group(1)) if named else key, 2, self.limit.__getitem__)
+        text = plain(named.group(1)) if named else key
+        near = self.trie.within(text, 2, self.limit.__getitem__)
+        if not near:  # a letter between two swapped ones takes the automaton three edits
+            wider = [(edits(text, k), k, t) for _, k, t in self.trie.within(text, 3, lambda k: self.limit[k] + 1)]
+            near = sorted(w for w in wider if w[0] <= self.limit[w[1]])
         if near:
             best = {t for d, _, t in near if d == near[0][0]}
             return self._one(best) or UNMATCHED

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundera.functions.values import is_measured, is_missing
-from abundera.llm import canonical, quantiles, topn
+from abundera.llm import canonical, mojibake, quantiles, topn
 from abundera.queries.common import Registry, table
 
 R = Registry()
@@ -51,3 +51,15 @@ def p5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketches themselves, by SampleID: the form in which loads and days are put together."""
     parts = quantiles.build_sketches(_intensities(spark, sf_dir), "SampleID", "NormIntensity", F.xxhash64("peptide_row_id"))
     return quantiles.merge_sketches(parts, "SampleID")
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which at least a part was read in the wrong encoding."""
+    return mojibake.restore_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+@R.add("p10_restored")
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents with their text restored."""
+    return mojibake.restore_documents(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -92,3 +92,24 @@ class LevenshteinAutomaton:
             if bits & self.last:
                 return e
         return None
+
+
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps between two texts; letters may come between swapped ones."""
+    far = len(a) + len(b)
+    last: dict[str, int] = {}
+    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    for i in range(1, len(a) + 1):
+        seen = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), seen
+            same = a[i - 1] == b[j - 1]
+            if same:
+                seen = j
+            d[i + 1][j + 1] = min(d[i][j] + (not same), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        last[a[i - 1]] = i
+    return d[-1][-1]
