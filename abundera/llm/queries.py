@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundera.functions.values import is_measured, is_missing
-from abundera.llm import canonical, mojibake, quantiles, topn
+from abundera.llm import bpe, canonical, mojibake, packing, quantiles, topn
 from abundera.queries.common import Registry, table
 
 R = Registry()
@@ -63,3 +63,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those documents with their text restored."""
     return mojibake.restore_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@R.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text by byte_bpe_50k."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+CAPACITY = 2048
+
+
+@R.add("p9_packed")
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, measured in tokens, in containers of 2,048."""
+    return packing.pack(bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
