@@ -170,7 +170,7 @@ def whole_matrix(long: DataFrame, step, entity: str = "protein", columns: tuple[
         out = pd.DataFrame({entity: wide.index.to_numpy()[rows.ravel()], "sample": wide.columns.to_numpy()[cols.ravel()], "value": values.ravel()})
         return out[np.isfinite(out["value"])]
 
-    return cells.groupBy(F.lit(1)).applyInPandas(run, f"`{entity}` string, sample string, value double")
+    return cells.groupBy().applyInPandas(run, f"`{entity}` string, sample string, value double")
 
 
 def combat_long(long: DataFrame, batches: DataFrame, **options) -> DataFrame:
@@ -203,7 +203,7 @@ def pca_scores(long: DataFrame, n_components: int = 2) -> DataFrame:
         score = u[:, :k] * s[:k]
         return pd.DataFrame({"sample": np.repeat(wide.index.to_numpy(), k), "component": np.tile(np.arange(1, k + 1), len(x)), "score": score.ravel()})
 
-    return v.join(complete, "protein", "left_semi").select("protein", "sample", "value").groupBy(F.lit(1)).applyInPandas(run, "sample string, component int, score double")
+    return v.join(complete, "protein", "left_semi").select("protein", "sample", "value").groupBy().applyInPandas(run, "sample string, component int, score double")
 
 
 def hdbscan(points: np.ndarray, min_samples: int = 3, min_cluster_size: int = 3) -> np.ndarray:

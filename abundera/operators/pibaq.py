@@ -110,7 +110,7 @@ def families(edges: DataFrame, min_shared: int = 2, overrides: DataFrame | None
     if overrides is not None:
         out = out.unionByName(overrides.select("accession", "family"))
     size = out.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
-    return out.join(size, "family").select("accession", "family", "family_size")
+    return cut_lineage(out.join(size, "family").select("accession", "family", "family_size"))
 
 
 def peptide_owner(observed: DataFrame, edges: DataFrame, fam: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def unique_mode(peptides: DataFrame, edges: DataFrame, fam: DataFrame, by: tuple
 
 def stable_ratio(peptides: DataFrame, edges: DataFrame, fam: DataFrame) -> DataFrame:
     """Shared signal split by each member's median share over the samples, credited only where the member has unique evidence."""
-    parts = allocate(peptides, edges, fam)
+    parts = cut_lineage(allocate(peptides, edges, fam))  # read three times
     total = parts.join(fam.select("accession", "family"), "accession").groupBy("family", "sample").agg(F.sum("anchor").alias("_ta"), F.sum("shared").alias("_ts"))
     rows = parts.join(fam.select("accession", "family"), "accession").join(total, ["family", "sample"])
     share = rows.where("anchor > 0 AND _ta > 0").groupBy("accession").agg(F.median(F.col("anchor") / F.col("_ta")).alias("_share"))

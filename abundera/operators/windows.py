@@ -35,7 +35,14 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> Dat
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
     ranks = counts.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
-    return df.join(ranks, [*by, value])
+    return join_null_safe(df, ranks, [*by, value])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet null keys; the keys stand once in the result."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def factorize(df: DataFrame, col: str, order: str) -> DataFrame:

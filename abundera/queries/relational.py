@@ -282,16 +282,6 @@ def grp10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WC = f"WITH {B.CELLS}, {B.SAMPLES} "
 
 
-@R.add(
-    "grp12_coverage",
-    f"""{_WC}, z AS (SELECT condition, count(*) AS size FROM samples GROUP BY condition),
-k AS (SELECT protein, condition, count(*) AS n FROM cells JOIN samples USING (sample) GROUP BY ALL)
-SELECT protein, count(*) AS n FROM cells WHERE protein IN (SELECT protein FROM k JOIN z USING (condition) GROUP BY protein HAVING count(*) = (SELECT count(*) FROM z) AND min(n / size) >= 0.3) GROUP BY protein""",
-)
-def grp12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.coverage(B.cells(spark, sf_dir), B.samples(spark, sf_dir), 0.3).groupBy("protein").agg(F.count(F.lit(1)).alias("n"))
-
-
 @R.add(
     "grp13_sample_correlation",
     f"""{_WC}, v AS (SELECT protein, sample, condition, log2(value) AS v FROM cells JOIN samples USING (sample)),
@@ -317,14 +307,6 @@ def grp15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.common_conditions(B.samples(spark, sf_dir), 2)
 
 
-@R.add(
-    "grp16_testable",
-    f"{_WC} SELECT protein, count(*) AS n FROM cells WHERE protein IN (SELECT protein FROM cells JOIN samples USING (sample) GROUP BY protein HAVING count(*) FILTER (condition = 'control') >= 2 AND count(*) FILTER (condition = 'heat shock') >= 2) GROUP BY protein",
-)
-def grp16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.testable(B.cells(spark, sf_dir), B.samples(spark, sf_dir), "control", "heat shock").groupBy("protein").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- joins ------------------------------------------------------------------------------------------------------------
 
 _ENTRIES = f"""e0 AS (SELECT feature_id, run_file_name AS run, imputed_labels, intensities, unnest(intensities, max_depth := 1) AS e FROM feature),
@@ -353,16 +335,6 @@ def jn8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ions(spark, sf_dir).join(table(spark, sf_dir, "psm").select(F.col("sequence").alias("peptide")), "peptide", "left_anti").select("row_id")
 
 
-@R.add(
-    "jn10_shared_pairs",
-    f"{WITH}, d AS (SELECT DISTINCT protein, peptide FROM ions) SELECT a.protein AS a, b.protein AS b, count(*) AS shared FROM d a JOIN d b ON a.peptide = b.peptide AND a.protein < b.protein GROUP BY ALL HAVING count(*) >= 2",
-)
-def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from abundera.operators.pibaq import sharing_pairs
-
-    return sharing_pairs(B.ions(spark, sf_dir).select("protein", "peptide"), 2)
-
-
 @R.add("jn11_outer", f"{_WC} SELECT protein, round(log2(a.v), 9) AS a, b.n AS b FROM (SELECT protein, sum(value) AS v FROM cells WHERE sample <= 'SYN000002' GROUP BY protein) a FULL JOIN (SELECT protein, count(*) AS n FROM cells WHERE sample > 'SYN000002' GROUP BY protein) b USING (protein)")
 def jn11(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.cells(spark, sf_dir)
