@@ -143,7 +143,7 @@ def _profiles(df: DataFrame, payload: str) -> dict[tuple[str, str], np.ndarray]:
     """Profile vectors by (normalised parent or '', normalised name), summed over all records."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: np.zeros(S.PROFILE_SIZE))
+        sums: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: [0.0] * S.PROFILE_SIZE)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for k, v in (S.read_record(text) or {}).items():
@@ -157,7 +157,7 @@ def _profiles(df: DataFrame, payload: str) -> dict[tuple[str, str], np.ndarray]:
         if sums:
             keys = list(sums)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["parent", "name", "v"]
+                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["parent", "name", "v"]
             )
 
     parts = df.select(payload).mapInArrow(scan, "parent string, name string, v array<double>")

@@ -15,6 +15,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -26,6 +27,7 @@ TYPE_NAMES = {
 }
 
 
+@lru_cache(maxsize=65_536)
 def norm(name: str) -> str:
     """Name without case, blanks and punctuation."""
     return re.sub(r"[\W_]+", "", name).lower()
@@ -106,22 +108,48 @@ def _bucket(text: str, n: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % n
 
 
-def add_to_profile(vec: np.ndarray, value: object, depth: int = 0) -> None:
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?")
+
+
+@lru_cache(maxsize=65_536)
+def _text_cells(value: str) -> tuple[int, ...]:
+    cells = [_START["kind"] + 3, _START["shape"] + _bucket(_shape(value), _BLOCKS["shape"]), _START["length"] + min(5, int(math.log2(len(value) + 1)))]
+    if len(value) <= 16 and not re.search(r"\d", value):
+        cells.append(_START["words"] + _bucket(value.lower(), _BLOCKS["words"]))
+    return tuple(cells)
+
+
+@lru_cache(maxsize=65_536)
+def _read_text(value: str) -> object:
+    """A text that writes a truth value, a number or a JSON value as that value, others as they are."""
+    low = value.strip().lower()
+    if low in ("true", "false"):
+        return low == "true"
+    if _NUMBER.fullmatch(low):
+        return float(low) if "." in low or "e" in low else int(low)
+    if low[:1] in ("[", "{"):
+        try:
+            return json.loads(value)
+        except (ValueError, RecursionError):
+            pass
+    return value
+
+
+@lru_cache(maxsize=4096)
+def _name_cell(name: str) -> int:
+    return _START["inner"] + _bucket(norm(name), _BLOCKS["inner"])
+
+
+def add_to_profile(vec: list[float], value: object, depth: int = 0) -> None:
     """Count one JSON value into a profile vector."""
     if value is None:
         return
     if isinstance(value, str):
-        low = value.strip().lower()
-        if low in ("true", "false"):
-            value = low == "true"
-        elif re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", low):
-            value = float(low) if re.search(r"[.e]", low) else int(low)
-        elif low[:1] in "[{" and low[:1]:
-            try:
-                add_to_profile(vec, json.loads(value), depth)
-                return
-            except (ValueError, RecursionError):
-                pass
+        value = _read_text(value) if len(value) <= 64 else _read_text.__wrapped__(value)  # long texts are not kept
+        if isinstance(value, str):
+            for i in _text_cells(value) if len(value) <= 64 else _text_cells.__wrapped__(value):
+                vec[i] += 1
+            return
     k = _START["kind"]
     if isinstance(value, bool):
         vec[k] += 1
@@ -129,19 +157,14 @@ def add_to_profile(vec: np.ndarray, value: object, depth: int = 0) -> None:
     elif isinstance(value, (int, float)):
         if value in (0, 1) and isinstance(value, int):
             vec[_START["truth"] + int(value)] += 1
-        vec[k + (1 if float(value).is_integer() else 2)] += 1
-        size = math.log10(abs(float(value)) + 1e-7) if math.isfinite(float(value)) else 7.0
+        number = float(value) if abs(value) < 1e300 else math.copysign(1e300, value)
+        vec[k + (1 if number.is_integer() else 2)] += 1
+        size = math.log10(abs(number) + 1e-7) if number == number else 7.0
         vec[_START["size"] + min(25, max(0, int((size + 6.5) * 2)))] += 1
-    elif isinstance(value, str):
-        vec[k + 3] += 1
-        vec[_START["shape"] + _bucket(_shape(value), _BLOCKS["shape"])] += 1
-        vec[_START["length"] + min(5, int(math.log2(len(value) + 1)))] += 1
-        if len(value) <= 16 and not re.search(r"\d", value):
-            vec[_START["words"] + _bucket(value.lower(), _BLOCKS["words"])] += 1
     elif isinstance(value, dict):
         vec[k + 4] += 1
         for name in value:
-            vec[_START["inner"] + _bucket(norm(name), _BLOCKS["inner"])] += 1
+            vec[_name_cell(name)] += 1
     elif isinstance(value, list) and depth < 3:
         for v in value:
             add_to_profile(vec, v, depth + 1)
