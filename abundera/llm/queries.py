@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from abundera.functions.values import is_measured, is_missing
 from abundera.llm import bpe, canonical, mojibake, packing, quantiles, topn
@@ -31,8 +32,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_measured("NormIntensity") & F.col("ProteinName").isNotNull() & ~is_missing("SampleID") & F.col("PeptideCanonical").isNotNull()
     )
     top = topn.top_items(rows, ["ProteinName", "SampleID"], "PeptideCanonical", "NormIntensity", "peptide_row_id", 4)
-    more = top.where("place = 4").select("g")
-    return top.where("place <= 3").join(more, "g", "left_semi").select(F.col("id").alias("peptide_row_id"))
+    size = F.max("place").over(W.partitionBy("g"))  # at most four rows a group
+    return top.withColumn("size", size).where("size > 3 AND place <= 3").select(F.col("id").alias("peptide_row_id"))
 
 
 def _intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
