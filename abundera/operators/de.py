@@ -287,12 +287,13 @@ def design_test(long: DataFrame, design: pd.DataFrame, contrast: np.ndarray) ->
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["sample"].isin(table)].sort_values("sample")
+        none = pd.DataFrame({"protein": pd.Series(dtype=object), "log2FC": pd.Series(dtype=float), "s2": pd.Series(dtype=float), "df": pd.Series(dtype="int64"), "unscaled": pd.Series(dtype=float)})
         if pdf.empty:
-            return pd.DataFrame({"protein": [], "log2FC": [], "s2": [], "df": [], "unscaled": []})
+            return none
         x, y = np.stack([table[s] for s in pdf["sample"]]), np.log2(pdf["value"].to_numpy(float))
         df = len(y) - np.linalg.matrix_rank(x)
         if df < 1 or np.linalg.matrix_rank(x) < x.shape[1]:
-            return pd.DataFrame({"protein": [], "log2FC": [], "s2": [], "df": [], "unscaled": []})
+            return none
         beta, *_ = np.linalg.lstsq(x, y, rcond=None)
         r = y - x @ beta
         return pd.DataFrame({"protein": [pdf["protein"].iat[0]], "log2FC": [float(contrast @ beta)], "s2": [float(r @ r / df)], "df": [int(df)], "unscaled": [float(contrast @ np.linalg.inv(x.T @ x) @ contrast)]})

@@ -403,3 +403,14 @@ R.add("evl2_mean_rank", f"{WC}, m AS (SELECT sample, count(*) AS n, median(log2(
 R.add("evl3_profile", f"{WC}, c AS (SELECT condition, protein, stddev_samp(value) / avg(value) AS cv FROM cells JOIN design USING (sample) GROUP BY ALL), k AS (SELECT condition, median(cv) AS m FROM c WHERE cv IS NOT NULL GROUP BY condition) SELECT count(DISTINCT sample) AS samples, count(DISTINCT protein) AS proteins, round(1 - count(*) / (count(DISTINCT sample) * count(DISTINCT protein)), 8) AS missing, round((SELECT median(m) FROM k), 7) AS median_cv FROM cells")(
     lambda spark, sf_dir: _r(atlas.dataset_profile(B.cells(spark, sf_dir), groups(spark, sf_dir)), missing=8, median_cv=7)
 )
+
+
+def _shared_entries() -> str:
+    """Measured entries with run, label and anchor protein, as SQL."""
+    from abundera.queries.relational import _CA, _LABEL_KEY
+
+    rk = B.SQL_RUN_KEY
+    return f"""l0 AS (SELECT run_file_name AS run, anchor_protein, imputed_labels, intensities, unnest(intensities, max_depth := 1) AS e FROM feature),
+labelled AS (SELECT {rk.format('run')} AS run_key, {_CA('anchor_protein')} AS protein,
+  CASE WHEN len(intensities) = 1 AND coalesce({rk.format('e.label')} = {rk.format('run')} OR {_LABEL_KEY.format('e.label')} = 'label free sample', false) THEN 'label free sample' ELSE {_LABEL_KEY.format('e.label')} END AS label_key,
+  CAST(e.intensity AS DOUBLE) AS intensity FROM l0 WHERE e IS NOT NULL AND isfinite(e.intensity) AND e.intensity > 0 AND NOT coalesce(list_contains(imputed_labels, e.label), false))"""

@@ -399,7 +399,7 @@ def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REF = f"""{WITH}, r AS (SELECT protein, peptide, charge, sample, split_part(run, '_', 2) AS plex, condition = 'pooled reference' AS is_reference, max(intensity) AS intensity FROM ions GROUP BY ALL),
 f AS (SELECT protein, peptide, charge, plex, avg(intensity) AS ref FROM r WHERE is_reference GROUP BY ALL),
-p AS (SELECT protein, peptide, sample, median(log2(intensity / ref)) AS r FROM r JOIN f USING (protein, peptide, charge, plex) WHERE NOT is_reference GROUP BY ALL)
+p AS (SELECT protein, peptide, sample, median(log2(intensity) - log2(ref)) AS r FROM r JOIN f USING (protein, peptide, charge, plex) WHERE NOT is_reference GROUP BY ALL)
 SELECT protein, sample, round(median(r), 8) AS value FROM p GROUP BY protein, sample"""
 
 

@@ -8,7 +8,7 @@ import pytest
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
-MODULES = ("flows", "problems", "relational", "numeric")
+MODULES = ("flows", "problems", "relational", "numeric", "extras")
 REGISTRIES = [importlib.import_module(f"abundera.queries.{m}").R for m in MODULES]
 WITH_SQL = [(r, n) for r in REGISTRIES for n in r.queries if n in r.sql]
 
