@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abundera.functions.values import is_measured
 from abundera.operators.heavy import salted
 
 MANTISSA = 10
@@ -148,13 +149,15 @@ def _runs(keys: list) -> Iterator[tuple[object, int, int]]:
 def build_sketches(df: DataFrame, key: str, value: str, spread: Column, weight: str | None = None) -> DataFrame:
     """``(key, n, sketch)``: partial sketches of each key, one a task that held part of it.
 
-    ``value`` must be positive and finite.  Rows arrive sorted by key, so a task
-    holds one sketch at a time whatever the size of the group; keys with many
-    rows are spread by ``spread`` (a hash of stable columns).  ``weight`` names
-    a column of 1 and -1 for additions and deletions.
+    Only positive finite values count; null, NaN, infinite and other values are
+    left out, a null key is a key of its own.  Rows arrive sorted by key, so a
+    task holds one sketch at a time whatever the size of the group; keys with
+    many rows are spread by ``spread`` (a hash of stable columns).  ``weight``
+    names a column of 1 and -1 for additions and deletions; other weights are
+    left out.  An empty table gives no row.
     """
     w = F.col(weight).cast("int") if weight else F.lit(1)
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w"), spread.alias("spread"))
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w"), spread.alias("spread")).where(is_measured("v"))
     spreadout = salted(rows, "k", F.col("spread"), HEAVY_SHARE, SALTS, "salt").select("k", "salt", "v", "w")
     ordered = spreadout.repartition("k", "salt").sortWithinPartitions("k")
 

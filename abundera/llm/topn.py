@@ -34,6 +34,7 @@ def cluster(df: DataFrame, group: list[str], item: str, score: str, row_id: str)
     path = scratch_path(spark, "clustered")
     key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(group)]))
     rows = df.select(key.alias("g"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), F.col(row_id).alias("id"))
+    rows = rows.where(F.col("item").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & F.col("id").isNotNull())
     ordered = rows.repartitionByRange(F.col("g"), F.col("score").desc(), F.col("id")).sortWithinPartitions(F.col("g"), F.col("score").desc(), F.col("id"))
     ordered.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", ROW_GROUP_BYTES // 4).option("parquet.block.size.row.check.min", 100).parquet(path)
     return path
@@ -92,9 +93,10 @@ def top_items(df: DataFrame, group: list[str], item: str, score: str, row_id: st
     """``(g, item, score, id, place)``: of each group the N best items, each by its best row.
 
     An item's best row is that of highest score, then smallest id; items are
-    ordered by score falling, then item.  ``g`` is the group key as JSON.  Rows
-    with null item, score or id must be filtered before; a null group column is
-    a group of its own.  Repeated rows count once, an empty table gives no row.
+    ordered by score falling, then item.  ``g`` is the group key as JSON; a null
+    group column makes a group of its own.  Rows whose item, score or id is null
+    or whose score is NaN are left out.  Repeated rows count once, an empty
+    table gives no row.
     """
     spark = df.sparkSession
     folder = cluster(df, group, item, score, row_id)

@@ -85,6 +85,12 @@ def test_top_items_against_brute_force(spark):
     assert topn.top_items(df.limit(0), ["grp"], "item", "score", "rid", 3).count() == 0
 
 
+def test_top_items_leave_out_nulls(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", None, 1.0, 1), ("a", "x", None, 2), ("a", "x", nan, 3), ("a", "x", 1.0, None), ("a", "x", 0.5, 5), ("a", "x", 0.5, 5)], "grp string, item string, score double, rid long")
+    assert [(r["item"], r["score"], r["id"]) for r in topn.top_items(df, ["grp"], "item", "score", "rid", 2).collect()] == [("x", 0.5, 5)]
+
+
 def test_row_groups_are_skipped(spark, monkeypatch):
     monkeypatch.setattr(topn, "ROW_GROUP_BYTES", 4096)
     df = spark.range(60_000).select(F.lit("hot").alias("grp"), F.concat(F.lit("item"), F.col("id").cast("string")).alias("item"), (F.col("id") % 5000).cast("double").alias("score"), F.col("id").alias("rid"))
@@ -131,6 +137,12 @@ def test_merging_and_deleting_are_exact():
     assert np.array_equal(whole.cells, less.cells) and np.isnan(quantiles.DyadicSketch().quantile(SHARES)).all()
 
 
+def test_sketches_leave_out_what_is_not_measured(spark):
+    df = spark.createDataFrame([("a", v, i) for i, v in enumerate([None, 0.0, -1.0, float("nan"), float("inf"), 8.0])] + [(None, 2.0, 9)], "k string, v double, id long")
+    got = {r["k"]: (r["n"], r["m"]) for r in quantiles.percentiles(quantiles.build_sketches(df, "k", "v", F.xxhash64("id")), "k", [0.5], ["m"]).collect()}
+    assert got["a"][0] == 1 and got["a"][1] == pytest.approx(8.0, rel=1e-3) and got[None][0] == 1
+
+
 def test_sketches_in_spark(spark):
     rng = np.random.default_rng(5)
     data = [(s, float(v), i, datetime(2024, 1, 1) + timedelta(days=i % 3), "x") for i, (s, v) in enumerate(zip(["hot"] * 9000 + ["b"] * 500 + [f"s{k % 50}" for k in range(500)], rng.lognormal(10, 2, 10_000)))]
