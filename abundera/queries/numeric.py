@@ -394,7 +394,7 @@ R.add("evl1_auc", "WITH f AS (SELECT charge, peptide_qvalue AS s, is_decoy::INT
 R.add("evl1_ladder", "SELECT level, count(*) FILTER (s <= level) AS calls, count(*) FILTER (s <= level AND t) AS true_calls, round(coalesce((count(*) FILTER (s <= level) - count(*) FILTER (s <= level AND t)) / nullif(count(*) FILTER (s <= level), 0), 0), 8) AS empirical_fdr, round(count(*) FILTER (s <= level AND t) / nullif(count(*) FILTER (t), 0), 8) AS recall FROM (SELECT peptide_qvalue AS s, NOT is_decoy AS t, unnest([0.001::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS level FROM feature WHERE peptide_qvalue IS NOT NULL AND is_decoy IS NOT NULL) GROUP BY level")(
     lambda spark, sf_dir: _r(atlas.fdr_ladder(table(spark, sf_dir, "feature").withColumn("ok", ~F.col("is_decoy")), "peptide_qvalue", "ok", [0.001, 0.01, 0.05, 0.1]), empirical_fdr=8, recall=8)
 )
-R.add("win7_ladder", "WITH s AS (SELECT peptide_qvalue AS q, count(*) FILTER (is_decoy) AS t, count(*) AS n FROM feature WHERE peptide_qvalue IS NOT NULL AND is_decoy IS NOT NULL GROUP BY q) SELECT q AS peptide_qvalue, sum(t) OVER (ORDER BY q) AS tp, sum(n - t) OVER (ORDER BY q) AS fp FROM s")(
+R.add("win7_ladder", "WITH s AS (SELECT peptide_qvalue AS q, count(*) FILTER (is_decoy) AS t, count(*) AS n FROM feature WHERE peptide_qvalue IS NOT NULL AND is_decoy IS NOT NULL GROUP BY q) SELECT q AS peptide_qvalue, CAST(sum(t) OVER (ORDER BY q) AS BIGINT) AS tp, CAST(sum(n - t) OVER (ORDER BY q) AS BIGINT) AS fp FROM s")(
     lambda spark, sf_dir: atlas.cumulative_ladder(table(spark, sf_dir, "feature").where("is_decoy IS NOT NULL"), "peptide_qvalue", "is_decoy", "asc")
 )
 R.add("evl2_mean_rank", f"{WC}, m AS (SELECT sample, count(*) AS n, median(log2(value)) AS v FROM cells GROUP BY sample), r AS (SELECT sample, rank() OVER (ORDER BY n DESC) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS b FROM m) SELECT sample, (a + b) / 2 AS mean_rank FROM r")(

@@ -370,7 +370,7 @@ _W = f"WITH {B.PEPTIDES} "
 def _cell(name: str, sql: str, fn, log: bool = True) -> None:
     shown = "round(log2(value), 9)" if log else "round(value, 6)"
     R.add(name, f"{_W} SELECT protein, sample, {shown} AS value FROM ({sql})")(
-        lambda spark, sf_dir: fn(B.peptides(spark, sf_dir)).select("protein", "sample", (log2_rounded(F.col("value")) if log else F.round("value", 6)).alias("value"))
+        lambda spark, sf_dir: fn(B.peptides(spark, sf_dir)).select("protein", "sample", (log2_rounded(F.col("value")) if log else F.round(F.col("value").cast("double"), 6)).alias("value"))
     )
 
 
