@@ -67,12 +67,15 @@ def spread_over_keys(df: DataFrame, key: str, item: str, value: str, min_share:
     return of_heavy.unionByName(of_rest).select(F.col("_key").alias(key), "n_rows", "sum_value", "n_items", "is_heavy", "total_rows")
 
 
-def salted(df: DataFrame, key: str, spread: Column, min_share: float = 0.01, salts: int = 64, name: str = "_salt") -> DataFrame:
-    """``df`` with a salt column: 0 for ordinary keys, ``spread`` modulo ``salts`` for heavy ones.
+def salted(df: DataFrame, key: str, spread: Column, share: float = 0.001, name: str = "_salt") -> DataFrame:
+    """``df`` with a salt column, so that no (key, salt) holds much more than ``share`` of all rows.
 
-    ``spread`` decides which salt a row gets and must be reproducible (a hash of
-    stable columns), so that a recomputed task finds the same salts.
+    A key gets as many salts as its rows are multiples of that share, ordinary
+    keys the salt 0.  ``spread`` decides which salt a row gets and must be
+    reproducible (a hash of stable columns), so that a recomputed task finds the
+    same salts.
     """
-    heavy = F.broadcast(heavy_keys(df.select(key), key, min_share).select(key, F.lit(True).alias("_heavy")))
+    salts = F.ceil(F.col("sketch_rows") / (share * F.col("total_rows"))).cast("int").alias("_salts")
+    heavy = F.broadcast(heavy_keys(df.select(key), key, share).select(key, salts))
     tagged = df.join(heavy, key, "left")
-    return tagged.withColumn(name, F.when(F.col("_heavy"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_heavy")
+    return tagged.withColumn(name, F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
