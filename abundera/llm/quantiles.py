@@ -36,9 +36,8 @@ DEPTH = 5
 LEVELS = BITS - EXACT_BITS
 CELLS = (1 << EXACT_BITS) + LEVELS * DEPTH * WIDTH
 RANK_ERROR = 0.015
-#: Samples with more of the rows than this are spread over SALTS tasks.
-HEAVY_SHARE = 0.005
-SALTS = 32
+#: No task builds a sketch from much more than this share of all rows.
+TASK_SHARE = 0.001
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -158,7 +157,7 @@ def build_sketches(df: DataFrame, key: str, value: str, spread: Column, weight:
     """
     w = F.col(weight).cast("int") if weight else F.lit(1)
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w"), spread.alias("spread")).where(is_measured("v"))
-    spreadout = salted(rows, "k", F.col("spread"), HEAVY_SHARE, SALTS, "salt").select("k", "salt", "v", "w")
+    spreadout = salted(rows, "k", F.col("spread"), TASK_SHARE, "salt").select("k", "salt", "v", "w")
     ordered = spreadout.repartition("k", "salt").sortWithinPartitions("k")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
