@@ -277,11 +277,41 @@ def proda(long: DataFrame, samples: DataFrame, a: str, b: str, rounds: int = 20)
     return finish(spark.createDataFrame(pd.DataFrame({"protein": names, "log2FC": diff, "t": t, "pvalue": p})), a, b)
 
 
-def design_test(long: DataFrame, design: pd.DataFrame, contrast: np.ndarray) -> DataFrame:
+def block_correlation(long: DataFrame, design: pd.DataFrame, blocks: dict[str, str], trim: float = 0.15) -> float:
+    """Consensus correlation of samples of one block: trimmed mean of the proteins' intra-class correlations on the z scale."""
+    table = {s: row.to_numpy(float) for s, row in design.iterrows() if s in blocks}
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["sample"].isin(table)].sort_values("sample")
+        names = pdf["sample"].map(blocks)
+        x = np.stack([table[s] for s in pdf["sample"]]) if len(pdf) else np.zeros((0, 1))
+        k, n = names.nunique(), len(pdf)
+        if n - k < 1 or k < 2 or n <= x.shape[1] + 1:
+            return pd.DataFrame({"z": pd.Series(dtype=float)})
+        y = np.log2(pdf["value"].to_numpy(float))
+        r = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        g = pd.Series(r).groupby(names.to_numpy())
+        size, mean = g.size(), g.mean()
+        between = float((size * (mean - r.mean()) ** 2).sum()) / (k - 1)
+        within = float(((r - mean.reindex(names).to_numpy()) ** 2).sum()) / (n - k)
+        m0 = (n - (size**2).sum() / n) / (k - 1)
+        rho = (between - within) / (between + (m0 - 1) * within) if between + within > 0 else 0.0
+        return pd.DataFrame({"z": [float(np.arctanh(np.clip(rho, -0.99, 0.99)))]})
+
+    z = long.where(is_measured("value")).groupBy("protein").applyInPandas(fit, "z double")
+    q = z.agg(F.percentile("z", [trim, 1 - trim]).alias("q")).first()["q"]
+    if q is None:
+        return 0.0
+    mean = z.where((F.col("z") >= q[0]) & (F.col("z") <= q[1])).agg(F.avg("z").alias("m")).first()["m"]
+    return float(np.tanh(mean or 0.0))
+
+
+def design_test(long: DataFrame, design: pd.DataFrame, contrast: np.ndarray, blocks: dict[str, str] | None = None, correlation: float = 0.0) -> DataFrame:
     """Moderated test of a contrast in a linear model with covariates: one small least-squares fit per protein.
 
     ``design`` is indexed by sample, its columns the model's terms; a protein's
-    rows are at most the samples.
+    rows are at most the samples.  With ``blocks`` (sample to block) and their
+    ``correlation`` the fit is by generalised least squares.
     """
     table = {s: row.to_numpy(float) for s, row in design.iterrows()}
 
@@ -291,6 +321,14 @@ def design_test(long: DataFrame, design: pd.DataFrame, contrast: np.ndarray) ->
         if pdf.empty:
             return none
         x, y = np.stack([table[s] for s in pdf["sample"]]), np.log2(pdf["value"].to_numpy(float))
+        if blocks and correlation:
+            names = np.array([blocks.get(s, s) for s in pdf["sample"]], object)
+            same = names[:, None] == names[None, :]
+            most = int(same.sum(axis=1).max())
+            v = np.where(same, max(correlation, 0.01 - 1 / (most - 1)) if most > 1 else 0.0, 0.0)  # as negative as a block this large can be
+            np.fill_diagonal(v, 1.0)
+            half = np.linalg.inv(np.linalg.cholesky(v))
+            x, y = half @ x, half @ y
         df = len(y) - np.linalg.matrix_rank(x)
         if df < 1 or np.linalg.matrix_rank(x) < x.shape[1]:
             return none

@@ -59,6 +59,10 @@ def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(b).select("sample", "run", F.col("n").cast("bigint").alias("n"))
 
 
+R.add("src14_aliases", "WITH a AS (SELECT term AS canonical, unnest(synonyms) AS label FROM term_list WHERE synonyms IS NOT NULL) SELECT DISTINCT term AS label, term AS canonical FROM term_list UNION ALL SELECT label, min(canonical) FROM a WHERE label NOT IN (SELECT term FROM term_list) GROUP BY label")(
+    lambda spark, sf_dir: (lambda t: tables.with_aliases(t.select(F.col("term").alias("label")), t.select(F.col("term").alias("canonical"), F.col("synonyms").alias("aliases"))))(table(spark, sf_dir, "term_list"))
+)
+R.add("snk3_cell_precision")(lambda spark, sf_dir: (lambda path: (sinks.write_peptides(lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)), path), spark.read.parquet(path))[1])(scratch_path(spark, "precision")))
 R.add("src18_sample_batches", f"{WI}, s AS (SELECT sample, (row_number() OVER (ORDER BY sample) - 1) // 10 AS batch FROM (SELECT DISTINCT sample FROM ions)) SELECT batch, count(*) AS n FROM ions JOIN s USING (sample) GROUP BY batch")(
     lambda spark, sf_dir: (lambda d: d.join(d.select("sample").distinct().withColumn("batch", F.expr("cast((row_number() over (order by sample) - 1) div 10 as bigint)")), "sample").groupBy("batch").agg(F.count(F.lit(1)).alias("n")))(B.ions(spark, sf_dir))
 )
@@ -202,6 +206,16 @@ def de4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return de.design_test(B.cells(spark, sf_dir), x, pd.Series(c).to_numpy())
 
 
+@R.add("de4_blocks")
+def de4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group difference with the plex as random block."""
+    d = N.design(spark, sf_dir).orderBy("sample").limit(100_000).toPandas().set_index("sample")
+    x = pd.DataFrame(batch.design_matrix(d[["condition"]]), index=d.index)
+    blocks = d["plex"].to_dict()
+    rho = de.block_correlation(B.cells(spark, sf_dir), x, blocks)
+    return de.design_test(B.cells(spark, sf_dir), x, pd.Series([0.0, 1.0]).to_numpy(), blocks, rho)
+
+
 @R.add("de1_contrasts")
 def de1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several contrasts under one another."""

@@ -176,6 +176,17 @@ def read_contrasts(path: str) -> list[tuple[str, str]]:
     return [(r[0].strip(), r[1].strip()) for r in rows if len(r) >= 2]
 
 
+def with_aliases(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(label, canonical)``: known labels as themselves, and every alias that is no label of its own.
+
+    ``aliases`` is ``(canonical, aliases array)``; an alias of several labels
+    goes to the smallest of them.
+    """
+    own = labels.select("label").where("label IS NOT NULL").distinct().select("label", F.col("label").alias("canonical"))
+    other = aliases.select("canonical", F.explode("aliases").alias("label")).where("label IS NOT NULL").groupBy("label").agg(F.min("canonical").alias("canonical"))
+    return own.unionByName(other.join(own.select("label"), "label", "left_anti"))
+
+
 def lookup(mapping: dict[str, str], col: Column) -> Column:
     """A small constant mapping as an expression; values without an entry stay."""
     if not mapping:

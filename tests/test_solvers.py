@@ -191,3 +191,21 @@ def test_nonnegative_solve():
     m = 0.9 * np.eye(3) + 0.1 * np.eye(3, k=1)
     x = np.array([[5.0, 0.0, 2.0]])
     assert normalize.nonnegative_solve(m, x @ m.T) == pytest.approx(x, abs=1e-6)
+
+
+def test_blocks_sharpen_a_paired_difference(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    people, data = [f"b{k}" for k in range(6)], []
+    for i in range(60):
+        level = rng.normal(20, 2, 6)
+        data += [(f"P{i:02d}", f"{p}{g}", float(2 ** (level[k] + rng.normal(0, 0.1) + (0.5 if g == "B" and i < 5 else 0)))) for k, p in enumerate(people) for g in "AB"]
+    d = spark.createDataFrame(data, "protein string, sample string, value double")
+    names = sorted({x[1] for x in data})
+    x = pd.DataFrame({"one": 1.0, "b": [float(n[-1] == "B") for n in names]}, index=names)
+    blocks = {n: n[:-1] for n in names}
+    rho = de.block_correlation(d, x, blocks)
+    plain = de.design_test(d, x, np.array([0.0, 1.0])).where("pvalue < 0.01").count()
+    top = [r["protein"] for r in de.design_test(d, x, np.array([0.0, 1.0]), blocks, rho).orderBy("pvalue").limit(5).collect()]
+    assert rho > 0.9 and plain < 3 and sorted(top) == [f"P{i:02d}" for i in range(5)]
