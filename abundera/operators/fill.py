@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from abundera.functions.values import is_measured, is_missing
+from abundera.session import materialize
 
 #: Predictions closer than 1/64 of a doubling count as equal in the donor search.
 BINS_PER_LOG2 = 64
@@ -70,6 +71,12 @@ def with_filled_samples(base: DataFrame) -> DataFrame:
     return has.unionByName(lacks)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """What the fills need: hashed keys of entity and sample (null without either) and of item and charge instead of strings."""
+    group = F.when(F.col("_entity").isNotNull() & F.col("_sample2").isNotNull(), _key(F.col("_entity"), F.col("_sample2")))
+    return rows.select("_id", "_sample2", "_sample_donor", "_condition", group.alias("g"), _key(F.col("_item"), F.col("_charge")).alias("k"), "_value")
+
+
 def condition_fills(rows: DataFrame) -> DataFrame:
     """``(_id, _fill, _donor)`` of each missing condition whose (filled) sample has one in another row."""
     by_sample = majority(rows.select("_id", "_sample2", "_condition"), "_sample2", "_condition", "_id")
@@ -86,9 +93,7 @@ def value_fills(rows: DataFrame) -> DataFrame:
     prediction bin, and between a bin below and one above at the same distance,
     the one of smallest id.
     """
-    usable = rows.where(F.col("_entity").isNotNull() & F.col("_sample2").isNotNull()).select(
-        "_id", _key(F.col("_entity"), F.col("_sample2")).alias("g"), _key(F.col("_item"), F.col("_charge")).alias("k"), "_value"
-    )
+    usable = rows.where(F.col("g").isNotNull()).select("_id", "g", "k", "_value")
     ok = is_measured("_value")
     groups = (
         usable.groupBy("g")
@@ -130,9 +135,9 @@ def fills(df: DataFrame, columns: FillColumns = FillColumns()) -> DataFrame:
     cells without a donor are left out and stay missing.
     """
     c = columns
-    rows = with_filled_samples(_base(df, c))
+    rows = materialize(_keyed(with_filled_samples(_base(df, c))), "filled-samples")  # read by every branch below
     none = F.lit(None).cast("double")
-    of_sample = rows.where(F.col("_sample").isNull() & F.col("_sample2").isNotNull()).select(
+    of_sample = rows.where("_sample_donor IS NOT NULL").select(
         F.col("_id").alias(c.row_id), F.lit(c.sample).alias("field_name"), F.col("_sample2").alias("filled_value"), F.col("_sample_donor").alias("donor_id"), none.alias("distance")
     )
     of_condition = condition_fills(rows).select(F.col("_id").alias(c.row_id), F.lit(c.condition).alias("field_name"), F.col("_fill").alias("filled_value"), F.col("_donor").alias("donor_id"), none.alias("distance"))
