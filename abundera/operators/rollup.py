@@ -97,7 +97,9 @@ def ratio_to_reference(ions: DataFrame, fraction: str = "max") -> DataFrame:
     """
     merged = merge_fractions(ions.where(is_measured("intensity")), ["protein", "peptide", "charge", "plex", "sample", "is_reference"], fraction)
     ref = merged.where("is_reference").groupBy("protein", "peptide", "charge", "plex").agg(F.avg("intensity").alias("_ref"))
-    ratios = merged.where("NOT is_reference").join(ref, ["protein", "peptide", "charge", "plex"]).withColumn("_r", F.log2("intensity") - F.log2("_ref"))
+    q = F.col("intensity") / F.col("_ref")
+    log_ratio = F.when(is_measured(q), F.log2(q)).otherwise(F.log2("intensity") - F.log2("_ref"))  # a quotient can leave the range of doubles
+    ratios = merged.where("NOT is_reference").join(ref, ["protein", "peptide", "charge", "plex"]).withColumn("_r", log_ratio)
     return ratios.groupBy("protein", "peptide", "sample").agg(F.median("_r").alias("_r")).groupBy("protein", "sample").agg(F.median("_r").alias("value"))
 
 
