@@ -126,3 +126,14 @@ def test_damage_is_found_and_restored(spark):
 def test_nothing_to_restore(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "abc")], "doc_id long, text string")
     assert mojibake.restore_documents(df, "doc_id", "text").count() == 0 and mojibake.restore_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_very_long_words_take_linear_time(spark):
+    import time
+
+    sentence = CLEAN[5]
+    rows = [(i, sentence * 3) for i in range(50)] + [(100, sentence * 4000), (101, sloppy(sentence * 1500, "utf-8", "latin-1")), (102, ("é" * 20 + "x") * 2000), (103, ("ab\ufffd" * 10_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restore_documents(df, "doc_id", "text").collect()}
+    assert got[101] == sentence * 1500 and 100 not in got and 103 in got and time.time() - began < 60
