@@ -183,6 +183,17 @@ def directlfq(ions: DataFrame, min_nonan: int = 1, shifts: DataFrame | None = No
     return cells.groupBy("protein").applyInPandas(solve, "protein string, sample string, value double")
 
 
+def ion_shifts(ions: DataFrame) -> DataFrame:
+    """``(protein, peptidoform, charge, shift)``: log2 shifts that align a protein's ion profiles (at most ``MAX_IONS``)."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index=["peptidoform", "charge"], columns="sample", values="intensity").sort_index(axis=0).sort_index(axis=1)
+        names = wide.index.to_frame(index=False)
+        return pd.DataFrame({"protein": pdf["protein"].iat[0], "peptidoform": names["peptidoform"], "charge": names["charge"], "shift": align_profiles(np.log2(wide.to_numpy(float)))})
+
+    return top_ions(species_cells(ions)).groupBy("protein").applyInPandas(solve, "protein string, peptidoform string, charge int, shift double")
+
+
 def cell_precision(ions: DataFrame, proteins: DataFrame, prior_df: float = 4.0) -> DataFrame:
     """``(protein, sample, precision)``: ions over the protein's shrunken residual variance.
 

@@ -247,3 +247,53 @@ R.add("lfq7_entry")(lambda spark, sf_dir: pipeline.features_to_proteins(B.ions(s
 R.add("agg10_run_ratio", f"{WI}, m AS (SELECT protein, peptide, charge, condition AS plex, sample, biorep = 1 AS is_reference, max(intensity) AS intensity FROM ions WHERE biorep IS NOT NULL GROUP BY ALL), f AS (SELECT protein, peptide, charge, plex, avg(intensity) AS ref FROM m WHERE is_reference GROUP BY ALL), p AS (SELECT protein, peptide, sample, median(log2(intensity) - log2(ref)) AS r FROM m JOIN f USING (protein, peptide, charge, plex) WHERE NOT is_reference GROUP BY ALL) SELECT protein, sample, round(median(r), 8) + 0.0::DOUBLE AS value FROM p GROUP BY protein, sample")(
     lambda spark, sf_dir: N._r(rollup.ratio_to_reference(B.ions(spark, sf_dir).where("biorep IS NOT NULL").withColumns({"plex": F.col("condition"), "is_reference": F.col("biorep") == 1})), value=8)
 )
+
+
+# ---- entry points --------------------------------------------------------------------------------------------------------------------
+
+
+@R.add("snk5_long_tsv", f"{WC} SELECT protein, sample, round(log2(value), 6) AS value FROM cells")
+def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tsv")
+    sinks.write_long_tsv(B.cells(spark, sf_dir).withColumn("value", log2_rounded(F.col("value"), 6)), path)
+    return spark.read.csv(path, header=True, sep="\t", schema="protein string, sample string, value double")
+
+
+@R.add("snk7_wide_csv", f"{WC} SELECT protein, sample, round(log2(value), 6) AS value FROM cells")
+def snk7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "wide")
+    sinks.write_matrix_csv(sinks.wide_matrix(B.cells(spark, sf_dir).withColumn("value", log2_rounded(F.col("value"), 6)), method="median"), path)
+    wide = spark.read.csv(path, header=True)
+    return sinks.long_from_wide(wide.select("protein", *[F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[1:]]))
+
+
+@R.add("snk8_saved_levels", f"WITH {B.PEPTIDES} SELECT 'peptides' AS level, count(*) AS n FROM peptides")
+def snk8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "levels")
+    tables.save_dataset({"peptides": B.peptides(spark, sf_dir)}, path, ["rolled up", "saved"])
+    level, df = next(iter(tables.load_dataset(spark, path).items()))
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "n")
+
+
+R.add("srt2_top_rows", f"{WI} SELECT row_id FROM ions QUALIFY row_number() OVER (PARTITION BY protein, sample ORDER BY intensity DESC, row_id) <= 2")(
+    lambda spark, sf_dir: B.ions(spark, sf_dir).selectExpr("row_id", "row_number() OVER (PARTITION BY protein, sample ORDER BY intensity DESC, row_id) AS rn").where("rn <= 2").select("row_id")
+)
+R.add("srt5_name_order", f"{WI} SELECT protein, row_number() OVER (ORDER BY protein) - 1 AS ordinal FROM (SELECT DISTINCT protein FROM ions)")(
+    lambda spark, sf_dir: N.impute._ordinals(B.ions(spark, sf_dir), "protein", "ordinal").select("protein", F.col("ordinal").cast("bigint").alias("ordinal"))
+)
+R.add("nrm13_ion_alignment")(lambda spark, sf_dir: lfq.ion_shifts(B.ions(spark, sf_dir)))
+R.add("imp14_dispatch", f"{N._GRID}, s AS (SELECT sample, median(v) AS f FROM g GROUP BY sample) SELECT protein, sample, round(coalesce(v, f), 7) AS value, v IS NULL AS imputed FROM g JOIN s USING (sample)")(
+    lambda spark, sf_dir: N.l2(registry.REGISTRY.get("imputation", "median")(B.cells(spark, sf_dir)), digits=7)
+)
+R.add("de16_matrix")(lambda spark, sf_dir: de.differential(B.cells(spark, sf_dir), N.groups(spark, sf_dir), "A", "B", "deqms", rollup.deqms_counts(B.peptides(spark, sf_dir))))
+R.add("udf7_method_names", "SELECT * FROM (VALUES ('Top5', 'topn', 5), ('max-lfq', 'maxlfq', NULL), ('sum', 'sum', NULL)) t(name, method, n)")(
+    lambda spark, sf_dir: spark.createDataFrame([(n, *registry.parse_quant(n)) for n in ("Top5", "max-lfq", "sum")], "name string, method string, n int")
+)
+
+
+@R.add("bat6_clusters")
+def bat6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the samples in the plane of the first two components."""
+    scores = batch.pca_scores(N._pooled(spark, sf_dir, 5)).groupBy("sample").pivot("component", [1, 2]).agg(F.first("score")).orderBy("sample").limit(10_000).toPandas()
+    labels = batch.hdbscan(scores[["1", "2"]].fillna(0.0).to_numpy(float), 2, 2)
+    return spark.createDataFrame([(s, int(c)) for s, c in zip(scores["sample"], labels)], "sample string, cluster int")
