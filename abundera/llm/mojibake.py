@@ -25,6 +25,7 @@ import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,13 @@ MULTIBYTE = frozenset({"utf-8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr"})
 
 _DIGITS = re.compile(r"[0-9]+")
 _ODD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NO_LETTER = re.compile(r"[^\w\x00-\x7f]")
+_CONTROL = re.compile("[\x80-\x9f]")
 _EDGE = string.punctuation
 _WIDE = re.compile("[⺀-鿿가-힯豈-﫿]")
 _RUN = re.compile("[\x80-ÿŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{6}")
+_MIXED = re.compile(r"[^\W\d_⺀-\uffff][⺀-\ufffc]|[⺀-\ufffc][^\W\d_⺀-\uffff]")
 _WIDE_BREAK = re.compile("[\x00-\x7f　-〄〈-〿＀-／：-＠°]+")
 
 
@@ -177,6 +182,19 @@ def _latin(text: str) -> bool:
     return all(unicodedata.name(c, "").startswith("LATIN") for c in text if c > "\x7f" and c.isalpha())
 
 
+@lru_cache(maxsize=65_536)
+def _script(ch: str) -> str:
+    return unicodedata.name(ch, "").split(" ")[0]
+
+
+def _word_like(text: str) -> bool:
+    """Whether a text of a single-byte encoding is spelled as words are: beside ASCII only letters, each run in one script and one case."""
+    if _NO_LETTER.search(text):
+        return False
+    runs = _LETTERS.findall(text)
+    return bool(runs) and all((r.islower() or r.isupper() or r[0].isupper() and r[1:].islower()) and len({_script(c) for c in r}) == 1 for r in runs)
+
+
 class Decoder:
     """The noisy channel: counts of the corpus, channels, and the lattice search."""
 
@@ -184,6 +202,7 @@ class Decoder:
         self.counts = counts
         self.maps = _byte_maps()
         self.latin = _high_letters("cp1252")
+        self.high = {enc: _high_letters(enc) for enc in TRUE_ENCODINGS if enc not in MULTIBYTE}
         self.memo: dict[str, tuple[str, str]] = {}
         self.sound: set[str] = set()
 
@@ -305,23 +324,28 @@ class Decoder:
             except UnicodeDecodeError:
                 continue
 
-    def _lost_letters(self, word: str) -> str | None:
-        """Single-byte text read as UTF-8: each replacement sign stands for one letter."""
+    def _lost_letters(self, word: str, high: list[str] | None = None) -> str | None:
+        """Single-byte text read as UTF-8, or with ``high`` in another multibyte encoding: each replacement sign stands for one letter."""
+        high = high or self.latin
         if len(word) > LONG:  # each sign by its two neighbours
             chars = list(f"\x02{word}\x03")
             for i, ch in enumerate(chars):
                 if ch == LOST:
-                    chars[i] = max(self.latin, key=lambda c: self._pair(chars[i - 1], c) + self._pair(c, chars[i + 1]))
+                    chars[i] = max(high, key=lambda c: self._pair(chars[i - 1], c) + self._pair(c, chars[i + 1]))
             return "".join(chars[1:-1])
         beams = [(0.0, "\x02")]
         for ch in word + "\x03":
-            options = self.latin if ch == LOST else (ch,)
+            options = high if ch == LOST else (ch,)
             grown = [(s + self._pair(t[-1], c), t + c) for s, t in beams for c in options]
             grown.sort(reverse=True)
             beams = grown[: 4 * BEAM]
         best = max(beams, key=lambda st: (self.frequency(st[1][1:-1]), st[0]))
         return best[1][1:-1]
 
+    def _fill(self, data: list[int | None], true: str) -> str:
+        """Single-byte text whose last or undefined bytes a multibyte reader lost, each filled with a letter."""
+        return self._lost_letters("".join(LOST if b is None else bytes([b]).decode(true) for b in data), self.high[true])
+
     # -- channels ----------------------------------------------------------------------------------------------------
 
     def candidates(self, word: str, depth: int = 0, only: set[str] | None = None) -> Iterator[tuple[str, str, bool]]:
@@ -342,12 +366,14 @@ class Decoder:
             if data is None:
                 continue
             raw = None if None in data else bytes(data)
+            kept = raw is not None or sum(b is not None and b >= 0x80 for b in data) >= 2 * data.count(None)
             for true in TRUE_ENCODINGS:
-                if true == read_as or true != "utf-8" and (raw is None or depth or read_as in MULTIBYTE and true not in MULTIBYTE):
+                narrow = read_as in MULTIBYTE and true not in MULTIBYTE
+                if true == read_as or true != "utf-8" and (depth or raw is None and not (narrow and kept)):
                     continue
                 strict = False
                 try:
-                    text = raw.decode(true) if raw is not None else None
+                    text = raw.decode(true) if raw is not None else self._fill(data, true) if narrow else None
                     strict = true == "utf-8" and text is not None
                 except UnicodeDecodeError:
                     text = None
@@ -357,7 +383,7 @@ class Decoder:
                         text, strict = cut, True
                 if not text or text == word:
                     continue
-                if not any("\x80" <= c <= "\x9f" for c in text) and not (true in MULTIBYTE and true != "utf-8" and len(_WIDE.findall(text)) < 2):
+                if not _CONTROL.search(text) and not (true in MULTIBYTE and true != "utf-8" and len(_WIDE.findall(text)) < 2):
                     yield f"{true}>{read_as}", text, strict
                 if strict and depth < 2 and read_as in TWICE:
                     for more, deeper, sure in self.candidates(text, depth + 1):
@@ -405,9 +431,12 @@ class Decoder:
                         ok = self._typical(text) > floor + SPELLING_GAIN
                 elif own < GAIN and channel.split(">")[-1] in TWICE:  # a long run of Latin signs that reads as a script of wide characters
                     ok = len(_WIDE.findall(text)) >= 4 and bool(_RUN.search(word))
-            rank = (strict, seen[text], self._typical(text))  # a reading without a gap before a mere likeness
-            if (ok or lost and LOST not in text) and rank > best:
-                best, found = rank, (channel, text)
+            elif not ok and self._narrow(channel):  # letters that a multibyte reader joined to wide characters
+                ok = self._spelled(word, text)
+            if ok or lost and LOST not in text and not self._narrow(channel):
+                rank = (strict, seen[text], self._typical(text))  # a reading without a gap before a mere likeness
+                if rank > best:
+                    best, found = rank, (channel, text)
         if found is None and lost:
             found = ("cp1252>utf-8", word)
         if found is None:
@@ -420,6 +449,21 @@ class Decoder:
             self.memo[word] = found
         return found
 
+    @staticmethod
+    def _narrow(channel: str) -> bool:
+        """Single-byte text read in a multibyte encoding of wide characters."""
+        true, _, read_as = channel.rpartition(">")
+        return read_as in MULTIBYTE and read_as != "utf-8" and true not in MULTIBYTE
+
+    def _spelled(self, word: str, text: str) -> bool:
+        """Whether wide characters stand for letters: alone for six or more, beside letters for any, by commoner pairs."""
+        if not _word_like(text):
+            return False
+        letters = sum(c.isalpha() and c > "\x7f" for c in text)
+        if letters < 6 and not (_MIXED.search(word) and sum(c.isalpha() for c in text) >= 3):
+            return False
+        return self._typical(text) > max(-1.0, self._typical(word)) + SPELLING_GAIN
+
     @staticmethod
     def _trivial(word: str, text: str, channel: str) -> bool:
         """One sign for another in a single-byte channel is no evidence: any sign maps to some sign."""
@@ -447,7 +491,7 @@ class Decoder:
                 word = m.group()
                 own, options = self.frequency(word), []
                 for channel, t, strict in self.candidates(word, only=proven):
-                    if channel in proven and LOST not in t and (strict or self.frequency(t) > own):
+                    if channel in proven and LOST not in t and (strict or self.frequency(t) > own or self._narrow(channel) and _MIXED.search(word) and _word_like(t)):
                         options.append((self.frequency(t), self._typical(t), t))
                 return max(options)[2] if options else word
 
