@@ -1,6 +1,6 @@
 """Garbled text from wrong character encodings: noisy-channel detection and restoration.
 
-Two passes over the texts.  The first counts, over all documents, in how many
+Two passes over the texts.  The first counts, over all distinct texts, in how many
 each word with a character outside ASCII stands, and the pairs of neighbouring
 characters; the counts go into a frequency sketch of fixed size (three rows of
 ``WORD_CELLS`` counters, one of ``PAIR_CELLS``), the only thing collected and
@@ -42,6 +42,8 @@ GAIN = 4.0
 RARE_GAIN = 500.0
 #: A word of foreign letters whose pairs become e to this power as frequent was read wrongly.
 SPELLING_GAIN = 2.0
+#: A word in less than this share of the texts is rare, in fewer than ``GAIN`` texts in any case.
+RARE_SHARE = 4e-4
 #: Words longer than this (texts without blanks) are searched gap by gap, in time linear in their length.
 LONG = 200
 #: Hypotheses kept in the lattice search.
@@ -91,7 +93,8 @@ def _pair_cell(a: str, b: str) -> int:
 
 
 def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
-    """The frequency sketch of all texts: documents per word piece and per pair of characters."""
+    """The frequency sketch of all distinct texts: texts per word piece and per pair of characters, at the end the number of texts."""
+    last = WORD_ROWS * WORD_CELLS + PAIR_CELLS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -107,6 +110,7 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
+                counts[last] += 1
                 for word in set(words_of(t)):
                     cells = memo.get(word)
                     if cells is None:
@@ -124,8 +128,9 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
         if counts:
             yield flush()
 
-    found = df.select(text).mapInArrow(scan, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(WORD_ROWS * WORD_CELLS + PAIR_CELLS, dtype=np.int64)
+    texts = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).distinct()  # a text counts once, however often it was copied
+    found = texts.mapInArrow(scan, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(last + 1, dtype=np.int64)
     table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
 
@@ -200,6 +205,7 @@ class Decoder:
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
+        self.rare = max(GAIN, RARE_SHARE * int(counts[-1]))
         self.maps = _byte_maps()
         self.latin = _high_letters("cp1252")
         self.high = {enc: _high_letters(enc) for enc in TRUE_ENCODINGS if enc not in MULTIBYTE}
@@ -424,13 +430,14 @@ class Decoder:
                 foreign = sum(c > "\x7f" for c in text)
                 if strict:
                     ok = foreign > 3 or (lexical or foreign > 2) and self._typical(text) > (-9.0 if _latin(text) else -3.0)
-                elif own < GAIN and channel.split(">")[0] not in MULTIBYTE and text.count("\ufffd") == 0:
+                elif channel.split(">")[0] not in MULTIBYTE and text.count("\ufffd") == 0:
                     letters = sum(c.isalpha() and c > "\x7f" for c in text)
                     if letters >= 6 or _latin(text) and sum(c.isalpha() for c in text) >= 3:
                         floor = max(0.0, self._typical(word)) if letters >= 6 else max(-1.0, self._typical(word) + 1.0)
                         ok = self._typical(text) > floor + SPELLING_GAIN
-                elif own < GAIN and channel.split(">")[-1] in TWICE:  # a long run of Latin signs that reads as a script of wide characters
-                    ok = len(_WIDE.findall(text)) >= 4 and bool(_RUN.search(word))
+                elif channel.split(">")[-1] in TWICE and _RUN.search(word) and len(_WIDE.findall(text)) >= 4:
+                    # a long run of Latin signs that reads as a script of wide characters
+                    ok = own < self.rare or self._typical(text) > self._typical(word)
             elif not ok and self._narrow(channel):  # letters that a multibyte reader joined to wide characters
                 ok = self._spelled(word, text)
             if ok or lost and LOST not in text and not self._narrow(channel):

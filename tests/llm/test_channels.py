@@ -24,3 +24,15 @@ def restored(spark, damaged, copies=1, base=700):
 @pytest.mark.parametrize(("true", "read", "text"), [("cp1252", "gb18030", CLEAN[1]), ("cp1251", "big5", CLEAN[3]), ("koi8-r", "euc_kr", CLEAN[3]), ("cp1252", "gb18030", "Größe für Lösung")])
 def test_single_byte_text_in_a_multibyte_reader(spark, true, read, text):
     assert restored(spark, [text.encode(true).decode(read, "replace")]) == [[text]]
+
+
+@pytest.mark.parametrize("copies", [1, 10, 1000])
+def test_copies_do_not_change_the_verdict(spark, copies):
+    texts = [(CLEAN[3], "koi8-r", "cp1251"), (CLEAN[5], "gb18030", "latin-1")]
+    assert restored(spark, [t.encode(true).decode(read) for t, true, read in texts], copies) == [[t] * copies for t, _, _ in texts]
+
+
+def test_a_damaged_word_may_recur(spark):
+    text = "Насос: давленили"  # spelled like words of the corpus, which does not hold it
+    damaged = [text.encode("koi8-r").decode("cp1251") + f" {'x' * i}" for i in range(12)]
+    assert all(got.endswith(f"давленили {'x' * i}") for i, (got,) in enumerate(restored(spark, damaged, base=2800)))
