@@ -19,6 +19,7 @@ characters are no cases.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import string
@@ -44,7 +45,7 @@ RARE_GAIN = 500.0
 SPELLING_GAIN = 2.0
 #: A word in less than this share of the texts is rare, in fewer than ``GAIN`` texts in any case.
 RARE_SHARE = 4e-4
-#: Words longer than this (texts without blanks) are searched gap by gap, in time linear in their length.
+#: Words longer than this (texts without blanks) are searched in segments, in time linear in their length.
 LONG = 200
 #: Hypotheses kept in the lattice search.
 BEAM = 24
@@ -154,6 +155,14 @@ def _byte_maps() -> dict[str, dict[str, int]]:
     return out
 
 
+def _undefined(b: int, enc: str) -> bool:
+    try:
+        bytes([b]).decode(enc)
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
 def _high_letters(enc: str) -> list[str]:
     out = []
     for b in range(0x80, 0x100):
@@ -207,6 +216,7 @@ class Decoder:
         self.counts = counts
         self.rare = max(GAIN, RARE_SHARE * int(counts[-1]))
         self.maps = _byte_maps()
+        self.silent = {enc: sorted(b for ch, b in table.items() if ord(ch) == b and 0x80 <= b < 0xC0 and _undefined(b, enc)) for enc, table in self.maps.items()}
         self.latin = _high_letters("cp1252")
         self.high = {enc: _high_letters(enc) for enc in TRUE_ENCODINGS if enc not in MULTIBYTE}
         self.memo: dict[str, tuple[str, str]] = {}
@@ -247,43 +257,55 @@ class Decoder:
                     return None
         return out
 
-    def _utf8(self, data: list[int | None]) -> str | None:
+    def _utf8(self, data: list[int | None], read_as: str) -> str | None:
         """Best reading of a byte lattice as UTF-8; lost or dropped continuation bytes are searched for."""
-        beams: dict[tuple[int, str], tuple[float, str, int]] = {(0, "\x02"): (0.0, "", 0)}
-        done: list[tuple[float, str, int]] = []
-        n = len(data)
-        most = min(4, sum(b is not None and b >= 0x80 for b in data) // 2)  # a lost byte needs two that were kept
+        most = sum(b is not None and b >= 0x80 for b in data) // 2  # a lost byte needs two that were kept
         if not most or not self._gaps_at_most(data, most):
             return None
-        if n > LONG:
-            return self._utf8_stepwise(data)
+        silent = self.silent.get(read_as, [])
+        if len(data) <= LONG:
+            best = sorted(self._search(data, "\x02", silent), reverse=True)[:BEAM]
+            return max(best, key=lambda d: (self.frequency(d[1]), d[0]))[1] if best else None
+        out, last = [], "\x02"
+        parts = list(self._segments(data))
+        for k, part in enumerate(parts):
+            best = max(self._search(part, last, silent, "\x03" if k + 1 == len(parts) else ""), default=None)
+            if best is None:
+                return None
+            out.append(best[1])
+            last = best[1][-1]
+        return "".join(out)
+
+    def _search(self, data: list[int | None], last: str, silent: list[int], end: str = "\x03") -> list[tuple[float, str]]:
+        """Readings of a lattice with their scores; ``silent`` are the bytes the reader has no sign for."""
+        beams: dict[tuple[int, str], tuple[float, str]] = {(0, last): (0.0, "")}
+        done: list[tuple[float, str]] = []
+        options: dict[int, list[tuple[str, int, int]]] = {}
         while beams:
-            nxt: dict[tuple[int, str], tuple[float, str, int]] = {}
-            for (i, last), (score, text, holes) in sorted(beams.items(), key=lambda kv: -kv[1][0])[:BEAM]:
-                if i >= n:
-                    done.append((score + self._pair(last, "\x03"), text, holes))
+            nxt: dict[tuple[int, str], tuple[float, str]] = {}
+            for (i, last), (score, text) in sorted(beams.items(), key=lambda kv: -kv[1][0])[:BEAM]:
+                if i >= len(data):
+                    done.append((score + (self._pair(last, end) if end else 0.0), text))
                     continue
-                for ch, j, used in self._next(data, i):
-                    cand = (score + self._pair(last, ch) - 6.0 * used, text + ch, holes + used)
-                    if holes + used <= most and ((j, ch) not in nxt or cand[0] > nxt[j, ch][0]):
+                if i not in options:
+                    found = list(self._next(data, i, silent))
+                    options[i] = [o for o in found if int(self.counts[_pair_cell(o[0], "\x00")])] or found if len(found) > 1 else found
+                for ch, j, used in options[i]:
+                    cand = (score + self._pair(last, ch) - 6.0 * used, text + ch)
+                    if (j, ch) not in nxt or cand[0] > nxt[j, ch][0]:
                         nxt[j, ch] = cand
             beams = nxt
-        best = sorted(done, reverse=True)[:BEAM]
-        return max(best, key=lambda d: (self.frequency(d[1]), d[0]))[1] if best else None
-
-    def _utf8_stepwise(self, data: list[int | None]) -> str | None:
-        """The same for long texts without blanks: whole characters as they come, each gap by its two neighbours."""
-        out, i, last = [], 0, "\x02"
-        while i < len(data):
-            options = list(self._next(data, i))
-            if not options:
-                return None
-            if len(options) > 1:
-                after = next(self._next(data, options[0][1]), ("\x03", 0, 0))[0] if options[0][1] < len(data) else "\x03"
-                options.sort(key=lambda o: -(self._pair(last, o[0]) + self._pair(o[0], after)))
-            last, i, _ = options[0]
-            out.append(last)
-        return "".join(out)
+        return done
+
+    @staticmethod
+    def _segments(data: list[int | None]) -> Iterator[list[int | None]]:
+        """A long text without blanks in parts that begin with whole characters, each searched in bounded time."""
+        start = 0
+        for i, b in enumerate(data):
+            if i - start >= LONG // 2 and b is not None and not 0x80 <= b < 0xC0:
+                yield data[start:i]
+                start = i
+        yield data[start:]
 
     @staticmethod
     def _gaps_at_most(data: list[int | None], most: int) -> bool:
@@ -306,7 +328,7 @@ class Decoder:
                 return False
         return gaps + need <= most
 
-    def _next(self, data: list[int | None], i: int) -> Iterator[tuple[str, int, int]]:
+    def _next(self, data: list[int | None], i: int, silent: list[int]) -> Iterator[tuple[str, int, int]]:
         b = data[i]
         if b is not None and b < 0x80:
             yield chr(b), i + 1, 0
@@ -314,26 +336,36 @@ class Decoder:
         if b is None or not 0xC2 <= b <= 0xF4:
             return
         need = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
-        tail, j, holes = [], i + 1, 0
+        tail, j = [], i + 1
         while len(tail) < need and j < len(data) and (data[j] is None or 0x80 <= data[j] < 0xC0):
             tail.append(data[j])
-            holes += data[j] is None
             j += 1
-        holes += need - len(tail)
-        tail += [None] * (need - len(tail))
-        if holes > 1:
-            return
-        fill = range(0x80, 0xC0) if holes else (0,)
-        for f in fill:
-            try:
-                yield bytes([b, *(f if t is None else t for t in tail)]).decode("utf-8"), j, holes
-            except UnicodeDecodeError:
-                continue
+        dropped = need - len(tail)
+        holes = dropped + tail.count(None)
+        if not holes:
+            fills = [()]
+        elif holes == 1:
+            fills = [(f,) for f in range(0x80, 0xC0)]
+        else:  # several bytes of one character: those the reader has no sign for
+            fills = list(itertools.product(silent, repeat=holes))
+        seen = set()
+        for at in itertools.combinations(range(need), dropped):  # a byte dropped without a sign may have stood at any place
+            rest = iter(tail)
+            slots = [None if k in at else next(rest) for k in range(need)]
+            for fill in fills:
+                f = iter(fill)
+                try:
+                    ch = bytes([b, *(next(f) if t is None else t for t in slots)]).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if ch not in seen:
+                    seen.add(ch)
+                    yield ch, j, holes
 
     def _lost_letters(self, word: str, high: list[str] | None = None) -> str | None:
         """Single-byte text read as UTF-8, or with ``high`` in another multibyte encoding: each replacement sign stands for one letter."""
         high = high or self.latin
-        if len(word) > LONG:  # each sign by its two neighbours
+        if len(word) > LONG or word.count(LOST) > 8:  # each sign by its two neighbours
             chars = list(f"\x02{word}\x03")
             for i, ch in enumerate(chars):
                 if ch == LOST:
@@ -361,7 +393,7 @@ class Decoder:
         damaged twice went through the same reader twice.
         """
         if LOST in word and depth == 0 and (only is None or "cp1252>utf-8" in only):
-            fixed = self._lost_letters(word) if word.count(LOST) <= 8 or len(word) > LONG else None
+            fixed = self._lost_letters(word)
             if fixed:
                 yield "cp1252>utf-8", fixed, False
         readers = None if only is None else {c.rpartition(">")[2] for c in only}
@@ -384,7 +416,7 @@ class Decoder:
                 except UnicodeDecodeError:
                     text = None
                 if text is None and true == "utf-8" and not depth:
-                    text = self._utf8(data)
+                    text = self._utf8(data, read_as)
                     if text is None and raw is not None and (cut := _cut_ends(raw)) is not None:
                         text, strict = cut, True
                 if not text or text == word:

@@ -36,3 +36,9 @@ def test_a_damaged_word_may_recur(spark):
     text = "Насос: давленили"  # spelled like words of the corpus, which does not hold it
     damaged = [text.encode("koi8-r").decode("cp1251") + f" {'x' * i}" for i in range(12)]
     assert all(got.endswith(f"давленили {'x' * i}") for i, (got,) in enumerate(restored(spark, damaged, base=2800)))
+
+
+@pytest.mark.parametrize("errors", ["ignore", "replace"])
+def test_many_lost_bytes_in_a_text_without_blanks(spark, errors):
+    texts = [CLEAN[5] * 6, CLEAN[5] * 60]  # 108 and 1,080 characters
+    assert restored(spark, [t.encode().decode("cp1252", errors) for t in texts]) == [[t] for t in texts]
