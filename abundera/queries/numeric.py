@@ -244,7 +244,7 @@ R.add(
 )(lambda spark, sf_dir: (lambda d: l2(impute.by_sample(d, "most_frequent"), digits=0))(B.cells(spark, sf_dir).withColumn("value", F.pow(F.lit(2.0), F.round(F.log2("value"))))))
 R.add("imp5_minprob")(lambda spark, sf_dir: impute.min_prob(B.cells(spark, sf_dir)))
 R.add("imp6_qrilc")(lambda spark, sf_dir: impute.qrilc(_by_condition(spark, sf_dir)))
-R.add("imp10_gms")(lambda spark, sf_dir: impute.gaussian_mixture(_by_condition(spark, sf_dir)))
+R.add("imp10_gms")(lambda spark, sf_dir: impute.gaussian_mixture(B.cells(spark, sf_dir)))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
