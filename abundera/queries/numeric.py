@@ -141,6 +141,11 @@ R.add(
     f"""{WI}, c AS (SELECT protein, peptidoform, charge, sample, log2(sum(intensity)) AS v FROM ions WHERE protein LIKE '%;%' GROUP BY ALL)
 SELECT a.protein, a.sample AS a, b.sample AS b, round(median(b.v - a.v), 8) AS d, count(*) AS shared FROM c a JOIN c b ON a.protein = b.protein AND a.peptidoform = b.peptidoform AND a.charge = b.charge AND a.sample < b.sample GROUP BY ALL""",
 )(lambda spark, sf_dir: _r(lfq.ratio_pairs(lfq.species_cells(B.ions(spark, sf_dir).where("protein LIKE '%;%'"))), d=8))
+R.add(
+    "lfq1_pair_medians_all",
+    f"""{WI}, c AS (SELECT protein, peptidoform, charge, sample, log2(sum(intensity)) AS v FROM ions GROUP BY ALL)
+SELECT a.protein, a.sample AS a, b.sample AS b, round(median(b.v - a.v), 8) AS d, count(*) AS shared FROM c a JOIN c b ON a.protein = b.protein AND a.peptidoform = b.peptidoform AND a.charge = b.charge AND a.sample < b.sample GROUP BY ALL""",
+)(lambda spark, sf_dir: _r(lfq.ratio_pairs(lfq.species_cells(B.ions(spark, sf_dir))), d=8))
 R.add("lfq4_directlfq")(lambda spark, sf_dir: lfq.directlfq(B.ions(spark, sf_dir)))
 R.add("lfq6_precision")(lambda spark, sf_dir: lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)))
 

@@ -18,3 +18,9 @@ def test_mixture_fills_the_samples_themselves(spark):
     n = cells.agg(F.count_distinct("sample"), F.count_distinct("protein")).first()
     got = numeric.R.queries["imp10_gms"](spark, str(DATA))
     assert got.count() == n[0] * n[1] and not got.select("sample").distinct().join(cells, "sample", "left_anti").count()
+
+
+def test_pair_medians_cover_single_proteins(spark):
+    got = {r["protein"] for r in numeric.R.queries["lfq1_pair_medians_all"](spark, str(DATA)).select("protein").distinct().collect()}
+    ions = B.ions(spark, str(DATA)).groupBy("protein", "peptidoform", "charge").agg(F.count_distinct("sample").alias("n")).where("n > 1 AND protein IS NOT NULL")
+    assert got == {r["protein"] for r in ions.select("protein").distinct().collect()} and any(";" not in p for p in got)
