@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundera.functions.values import is_measured
+from abundera.session import collect_bounded
 
 #: Whole-matrix steps work on the collapsed matrix only; more cells are refused.
 MAX_CELLS = 50_000_000
+#: Tables of one row a sample may come to the driver up to this length.
+MAX_SAMPLES = 100_000
 
 
 def sample_prefix(col: Column | str) -> Column:
@@ -40,9 +43,7 @@ def match_names(samples: DataFrame, names: DataFrame, max_names: int = 10_000) -
     number is checked, become one array of literals.
     """
     col = names.columns[0]
-    found = names.where(F.col(col).isNotNull()).select(col).distinct().limit(max_names + 1).collect()
-    if len(found) > max_names:
-        raise ValueError(f"more than {max_names} names to match")
+    found = collect_bounded(names.where(F.col(col).isNotNull()).select(col).distinct(), max_names, "names to match")
     known = F.array(*[F.lit(v) for v in sorted(r[0] for r in found)]) if found else F.array().cast("array<string>")
     hits = F.filter(known, lambda n: F.contains(F.col("sample"), n))
     return samples.select("sample").where("sample IS NOT NULL").distinct().select("sample", F.try_element_at(hits, F.lit(1)).alias(col)).where(F.col(col).isNotNull())
@@ -178,7 +179,7 @@ def combat_long(long: DataFrame, batches: DataFrame, **options) -> DataFrame:
     used = long.join(batches.select("sample"), "sample", "left_semi").where("value IS NOT NULL")
     n = batches.agg(F.count_distinct("sample").alias("n")).scalar()
     complete = used.groupBy("protein").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).select("protein")
-    codes = {r["sample"]: r["batch"] for r in batches.limit(100_000).collect()}
+    codes = {r["sample"]: r["batch"] for r in collect_bounded(batches.select("sample", "batch").distinct(), MAX_SAMPLES, "samples")}
     levels = {b: i for i, b in enumerate(sorted(set(codes.values())))}
 
     def step(values: np.ndarray, _: np.ndarray, samples: np.ndarray) -> np.ndarray:

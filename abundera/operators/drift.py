@@ -1,18 +1,23 @@
 """Schemas that drift between files: names resolved, changes reported, everything read into one table.
 
-1. A map-only pass reduces every payload to the schema of its file (names and
-   value types) and to value profiles per name, both of the size of the schema.
-2. Unknown names are resolved to canonical fields by minimum cost: the distance
-   of their values, whether the canonical field vanished where the name came up,
-   never a field that stands beside the name in one file.
+1. One map-only pass reduces every payload to the schema of its file (names and
+   value types), to a profile of the values under each name the canonical layout
+   doesn't know, and to the pooled profiles of the canonical fields; all of the
+   size of schemas.
+2. Each file's schema tree is matched with the canonical tree by tree edit
+   distance.  A known name costs nothing; an unknown one the distance of its
+   values (those of the file, backed by those under the same name elsewhere), a
+   share for not having come where the field vanished, and one for standing
+   beside the field elsewhere.  So a name may mean one thing here, another there.
 3. Each file is paired with the one before it by a lag in two levels (within
    exporter and day, then over the days), so no exporter is gathered in a task.
-4. The minimum-cost edit script of each pair of schema trees is the report; the
-   resolved names compile into projections that read all layouts into one table.
+4. The minimum-cost edit script of each pair of trees is the report; the script
+   from the canonical tree compiles into the projection that reads the file.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -25,10 +30,16 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from abundera.operators import schema_tree as S
-from abundera.session import cut_lineage
+from abundera.session import collect_bounded, cut_lineage
 
 #: A driver-side table of names must stay the size of a schema.
 MAX_NAMES = 100_000
+#: Values of the same name elsewhere that back up a file's own.
+PRIOR_VALUES = 32.0
+#: Weights of the values' distance, of not having come where the field vanished, and of standing beside the field elsewhere.
+BY_VALUES, BY_CHANGE, BY_NEIGHBOUR = 0.7, 0.3, 0.5
+#: Rows up to which the files that read a name otherwise than most are broadcast; beyond, they are joined by a shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -60,7 +71,7 @@ class Canon:
 
 @dataclass
 class NameMap:
-    """Resolved names: normalised name to field, and (field, normalised inner name) to inner field."""
+    """A compiled projection: normalised name to field, and (field, normalised inner name) to inner field."""
 
     top: dict[str, str] = field(default_factory=dict)
     inner: dict[tuple[str, str], str] = field(default_factory=dict)
@@ -73,6 +84,18 @@ class NameMap:
         n = S.norm(name)
         return self.inner.get((parent, n)) or n
 
+    def changed(self, text: str | None) -> "NameMap":
+        """The projection of a file whose names differ as written in ``text`` (see ``Resolved``)."""
+        if not text:
+            return self
+        out = NameMap(dict(self.top), dict(self.inner))
+        for parent, name, to in json.loads(text):
+            if parent:
+                out.inner[parent, name] = to
+            else:
+                out.top[name] = to
+        return out
+
 
 @dataclass(frozen=True)
 class DropColumns:
@@ -85,44 +108,105 @@ class DropColumns:
     row_id: str = "record_id"
 
 
-_FIELD = "struct<parent:string,name:string,mask:int>"
+def scan_records(df: DataFrame, canon: Canon, columns: DropColumns = DropColumns()) -> DataFrame:
+    """The one pass over the payloads, behind a reliable checkpoint.
 
+    ``(pooled, source, file, parent, name, cell, n, mask, at)``: per file and
+    written name the value types (cell -1) and, for names the canonical layout
+    doesn't know, the counts of the value profile by cell; with ``pooled`` the
+    profiles of the canonical fields over all files.  A file without a readable
+    record has the name '' only; a null payload is unreadable.
+    """
+    c, known, known_inner = columns, canon.known(), canon.known_inner()
+    inner_of = {p for p, _ in known_inner}
 
-def file_schemas(df: DataFrame, columns: DropColumns = DropColumns()) -> DataFrame:
-    """``(source, file, at, fields)``: the names and value types of each file's readable records.
+    types = (pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int16(), pa.int64(), pa.int32())
+    cells = range(S.PROFILE_SIZE)
 
-    A file without a readable record has no fields; a null payload is unreadable.
-    """
-    c = columns
+    def lists() -> dict:
+        return defaultdict(list)
+
+    def emit(rows: list[tuple], at: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*rows), types)), at], names=["pooled", "source", "file", "parent", "name", "cell", "n", "mask", "at"])
+
+    def profile(values: list) -> list[tuple[int, int]]:
+        vec = np.zeros(S.PROFILE_SIZE)
+        S.add_to_profile(vec, values)
+        return [(i, int(vec[i])) for i in cells if vec[i]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: np.zeros(S.PROFILE_SIZE))
+        at_type = None
         for batch in batches:
-            seen: dict[tuple, dict[tuple[str, str], int]] = {}
+            at_type = batch.schema.field(2).type
+            files: dict[tuple, tuple[dict, dict, dict]] = {}  # values by name, by list and inner name, and those of lists written otherwise
             for source, name, at, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                masks = seen.setdefault((source, name, at), {("", ""): 0})
-                record = S.read_record(payload)
-                for k, v in (record or {}).items():
-                    masks["", k] = masks.get(("", k), 0) | S.type_mask(v)
-                    if isinstance(v, list):
-                        for element in v:
-                            if isinstance(element, dict):
-                                for kk, vv in element.items():
-                                    masks[k, kk] = masks.get((k, kk), 0) | S.type_mask(vv)
-            rows = [(*key, p, n, m) for key, masks in seen.items() for (p, n), m in masks.items()]
+                entry = files.get((source, name, at))
+                if entry is None:
+                    entry = files[source, name, at] = (defaultdict(list), defaultdict(lists), defaultdict(lists))
+                top, inner, other = entry
+                for k, v in (S.read_record(payload) or {}).items():
+                    top[k].append(v)
+                    kind = type(v)
+                    if kind is list:
+                        elements, into = v, inner
+                    elif kind is dict or kind is str and v[:1] in ("[", "{"):
+                        elements, into = S.children(v)[0], other
+                    else:
+                        continue
+                    into = into[k]
+                    for element in elements:
+                        if type(element) is dict:
+                            for kk, vv in element.items():
+                                into[kk].append(vv)
+            rows, ats, pooled = [], [], defaultdict(list)
+            for (source, name, at), (top, inner, other) in files.items():
+                key = (False, source, name)
+                rows.append((*key, "", "", -1, 0, 0))
+                for k, values in top.items():
+                    f = known.get(S.norm(k))
+                    rows.append((*key, "", k, -1, 0, S.type_mask(values)))
+                    if f is None:
+                        rows += [(*key, "", k, i, n, 0) for i, n in profile(values)]
+                    else:
+                        pooled["", f] += values
+                    if k in inner or k in other:
+                        of_lists, of_others = inner.get(k, {}), other.get(k, {})
+                        for kk in {**of_lists, **of_others}:
+                            g = known_inner.get((f, S.norm(kk))) if f is not None else None
+                            values = of_lists.get(kk, [])
+                            if kk in of_lists:
+                                rows.append((*key, k, kk, -1, 0, S.type_mask(values)))
+                            values = values + of_others.get(kk, [])
+                            if g is not None:
+                                pooled[f, g] += values
+                            elif f is None or f in inner_of:
+                                rows += [(*key, k, kk, i, n, 0) for i, n in profile(values)]
+                ats += [at] * (len(rows) - len(ats))
+            for place, values in pooled.items():
+                S.add_to_profile(pools[place], values)
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), batch.schema.field(2).type, pa.string(), pa.string(), pa.int32()))],
-                    names=["source", "file", "at", "parent", "name", "mask"],
-                )
+                yield emit(rows, pa.array(ats, at_type))
+        rows = [(True, None, None, p, f, i, int(vec[i]), 0) for (p, f), vec in pools.items() for i in cells if vec[i]]
+        if rows:
+            yield emit(rows, pa.nulls(len(rows), at_type))
 
     at_type = df.schema[c.at].dataType.simpleString()
-    found = df.select(c.source, c.file, c.at, c.payload).mapInArrow(scan, f"source string, file string, at {at_type}, parent string, name string, mask int")
-    merged = found.groupBy("source", "file", "parent", "name").agg(F.bit_or("mask").alias("mask"), F.min("at").alias("at"))
-    return merged.groupBy("source", "file").agg(F.min("at").alias("at"), F.collect_list(F.struct("parent", "name", "mask")).alias("fields"))
+    ddl = f"pooled boolean, source string, file string, parent string, name string, cell smallint, n bigint, mask int, at {at_type}"
+    found = df.select(c.source, c.file, c.at, c.payload).mapInArrow(scan, ddl)
+    keys = ["pooled", "source", "file", "parent", "name", "cell"]
+    return cut_lineage(found.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("at").alias("at")))
+
 
+def file_fields(scanned: DataFrame) -> DataFrame:
+    """``(source, file, at, fields)`` with ``fields`` an array of ``(parent, name, mask, cells)``; of the size of a schema each."""
+    cell = F.when(F.col("cell") >= 0, F.struct("cell", "n"))
+    by_name = scanned.where("NOT pooled").groupBy("source", "file", "parent", "name").agg(F.bit_or("mask").alias("mask"), F.min("at").alias("at"), F.collect_list(cell).alias("cells"))
+    return by_name.groupBy("source", "file").agg(F.min("at").alias("at"), F.collect_list(F.struct("parent", "name", "mask", "cells")).alias("fields"))
 
-def with_previous(files: DataFrame) -> DataFrame:
-    """Each file with the fields of the file before it of the same source (null for the first).
+
+def with_previous(files: DataFrame, value: str = "fields") -> DataFrame:
+    """Each file with the ``value`` of the file before it of the same source as ``previous`` (null for the first).
 
     Order: time, then file name.  A lag within (source, day) is completed by a
     lag over the last file of each day, so a source's files are never in one
@@ -131,175 +215,324 @@ def with_previous(files: DataFrame) -> DataFrame:
     day = F.coalesce(F.to_date("at"), F.lit("1900-01-01").cast("date"))
     order = [F.col("at"), F.col("file")]
     within = files.withColumn("day", day).withColumns(
-        {"prev": F.lag("fields").over(W.partitionBy("source", "day").orderBy(*order)), "nth": F.row_number().over(W.partitionBy("source", "day").orderBy(*order))}
+        {"prev": F.lag(value).over(W.partitionBy("source", "day").orderBy(*order)), "nth": F.row_number().over(W.partitionBy("source", "day").orderBy(*order))}
     )
-    last = files.withColumn("day", day).groupBy("source", "day").agg(F.max_by("fields", F.struct(F.col("at").isNotNull(), "at", "file")).alias("fields"))
-    carried = last.withColumn("carried", F.lag("fields").over(W.partitionBy("source").orderBy("day"))).select("source", "day", "carried")
+    last = files.withColumn("day", day).groupBy("source", "day").agg(F.max_by(value, F.struct(F.col("at").isNotNull(), "at", "file")).alias(value))
+    carried = last.withColumn("carried", F.lag(value).over(W.partitionBy("source").orderBy("day"))).select("source", "day", "carried")
     joined = within.join(carried, on=[within.source.eqNullSafe(carried.source), within.day == carried.day], how="left").drop(carried.source, carried.day)
-    return joined.select("source", "file", "at", "fields", F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("prev")).alias("previous"))
+    return joined.select("source", "file", "at", value, F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("prev")).alias("previous"))
 
 
-def _profiles(df: DataFrame, payload: str) -> dict[tuple[str, str], np.ndarray]:
-    """Profile vectors by (normalised parent or '', normalised name), summed over all records."""
+def _context(pairs: DataFrame, canon: Canon) -> dict[str, Counter]:
+    """Where unknown names stand: ``files`` that hold one, ``beside`` which field, where one ``came``, and ``went`` which field there.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: [0.0] * S.PROFILE_SIZE)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for k, v in (S.read_record(text) or {}).items():
-                    nk = S.norm(k)
-                    S.add_to_profile(sums["", nk], v)
-                    if isinstance(v, (list, dict)) or isinstance(v, str) and v[:1] in ("[", "{"):
-                        for element in S.children(v)[0]:
-                            if isinstance(element, dict):
-                                for kk, vv in element.items():
-                                    S.add_to_profile(sums[nk, S.norm(kk)], vv)
-        if sums:
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["parent", "name", "v"]
-            )
-
-    parts = df.select(payload).mapInArrow(scan, "parent string, name string, v array<double>")
-    summed = parts.groupBy("parent", "name").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(S.PROFILE_SIZE)]).alias("v"))
-    rows = summed.limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} field names: this is no schema")
-    return {(r["parent"], r["name"]): np.array(r["v"]) for r in rows}
-
-
-def _neighbours(pairs: DataFrame, lists: dict[str, str]) -> tuple[Counter, Counter, Counter]:
-    """How often names stand in one file, how often one came where another vanished, and how often one came.
-
-    ``lists`` maps normalised names of list fields to their canonical field; the
-    names inside them are keyed by it, top-level names by ''.
+    Keyed by (parent field or '', name) and, with a field, by that too: at most
+    names times fields, checked.
     """
+    known, known_inner = canon.known(), canon.known_inner()
+    lists = {p for p, _ in known_inner}
+
+    def by_parent(fields: Iterable[dict] | None) -> dict[str, tuple[set[str], set[str]]]:
+        out: dict[str, tuple[set[str], set[str]]] = {}
+        for f in fields or ():
+            if f["name"]:
+                n = S.norm(f["name"])
+                parent = known.get(S.norm(f["parent"])) if f["parent"] else ""
+                if parent is None or parent and parent not in lists:
+                    continue
+                hit = known_inner.get((parent, n)) if parent else known.get(n)
+                fields_, odd = out.setdefault(parent, (set(), set()))
+                (odd if hit is None else fields_).add(n if hit is None else hit)
+        return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for fields, previous in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                now, before = _by_parent(fields, lists), _by_parent(previous, lists)
-                for parent, names in now.items():
-                    for x in names:
-                        for y in names:
-                            if x != y:
-                                counts["co", parent, x, y] += 1
-                    old = before.get(parent)
-                    if old:
-                        for x in names - old:
+                now, before = by_parent(fields), by_parent(previous)
+                for parent, (have, odd) in now.items():
+                    for x in odd:
+                        counts["files", parent, x, ""] += 1
+                        for f in have:
+                            counts["beside", parent, x, f] += 1
+                        if parent in before and x not in before[parent][1]:
                             counts["came", parent, x, ""] += 1
-                            for y in old - names:
-                                counts["for", parent, x, y] += 1
+                            for f in before[parent][0] - have:
+                                counts["went", parent, x, f] += 1
         if counts:
             rows = [(*k, n) for k, n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["what", "parent", "x", "y", "n"])
-
-    rows = pairs.select("fields", "previous").mapInArrow(scan, "what string, parent string, x string, y string, n long").groupBy("what", "parent", "x", "y").agg(F.sum("n").alias("n")).collect()
-    out = {"co": Counter(), "for": Counter(), "came": Counter()}
-    for r in rows:
-        out[r["what"]][r["parent"], r["x"], r["y"]] = r["n"]
-    return out["co"], out["for"], out["came"]
-
-
-def _by_parent(fields: Iterable[dict] | None, lists: dict[str, str]) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {}
-    for f in fields or ():
-        if f["name"]:
-            parent = lists.get(S.norm(f["parent"])) if f["parent"] else ""
-            if parent is not None:
-                out.setdefault(parent, set()).add(S.norm(f["name"]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["what", "parent", "x", "f", "n"])
+
+    narrow = [F.transform(c, lambda s: F.struct(s["parent"].alias("parent"), s["name"].alias("name"))).alias(c) for c in ("fields", "previous")]
+    found = pairs.select(*narrow).mapInArrow(scan, "what string, parent string, x string, f string, n long").groupBy("what", "parent", "x", "f").agg(F.sum("n").alias("n"))
+    out: dict[str, Counter] = {k: Counter() for k in ("files", "beside", "came", "went")}
+    for r in collect_bounded(found, MAX_NAMES, "pairs of field names: this is no schema"):
+        out[r["what"]][(r["parent"], r["x"], r["f"]) if r["f"] else (r["parent"], r["x"])] = r["n"]
     return out
 
 
-#: A name farther than this from every field is a field of its own.
-MAX_COST = 0.75
-
-
-def _resolve(unknown: list[str], known: dict[str, str], profile: dict[str, np.ndarray], parent: str, co: Counter, went: Counter, came: Counter) -> dict[str, str]:
-    """Unknown names to fields, cheapest pairs first, never two names of one file to one field."""
-    canon: dict[str, np.ndarray] = {}
-    for name, f in known.items():
-        if name in profile:
-            canon[f] = canon.get(f, 0) + profile[name]
-    beside: dict[str, set[str]] = defaultdict(set)
-    for (p, x, y), _ in co.items():
-        if p == parent:
-            beside[x].add(y)
-    offers = []
-    for x in unknown:
-        taken = {known[y] for y in beside[x] if y in known}
-        for f, vec in canon.items():
-            if f not in taken:
-                gone = sum(n for (p, a, y), n in went.items() if p == parent and a == x and known.get(y) == f)
-                share = min(1.0, gone / came[parent, x, ""]) if came[parent, x, ""] else 0.5
-                offers.append((0.7 * S.profile_distance(profile[x], vec) + 0.3 * (1 - share), x, f))
-    resolved: dict[str, str] = {}
-    for cost, x, f in sorted(offers):
-        if cost <= MAX_COST and x not in resolved and not any(resolved.get(y) == f for y in beside[x]):
-            resolved[x] = f
-    return resolved
-
-
-def resolve_names(df: DataFrame, canon: Canon, pairs: DataFrame, columns: DropColumns = DropColumns()) -> NameMap:
-    """Map every name in the records to a canonical field; names that fit none stand for themselves."""
-    profiles = _profiles(df, columns.payload)
-    known, known_inner = canon.known(), canon.known_inner()
-    top = {n: v for (p, n), v in profiles.items() if not p}
-    co, went, came = _neighbours(pairs, {})
-    names = NameMap(dict(known))
-    names.top.update(_resolve([n for n in top if n not in known], known, top, "", co, went, came))
-    parents = {p for p, _ in known_inner}
-    lists = {n: f for n, f in names.top.items() if f in parents}
-    co, went, came = _neighbours(pairs, lists)
-    names.inner = dict(known_inner)
-    for parent in sorted(parents):
-        inside: dict[str, np.ndarray] = {}
-        for (p, n), v in profiles.items():
-            if p and names.top.get(p) == parent:
-                inside[n] = inside.get(n, 0) + v
-        ours = {n: f for (p, n), f in known_inner.items() if p == parent}
-        found = _resolve([n for n in inside if n not in ours], ours, inside, parent, co, went, came)
-        names.inner.update({(parent, n): f for n, f in found.items()})
-    return names
-
-
-def _tree(fields: Iterable[dict] | None, names: NameMap, inner_of: frozenset[str]) -> dict[str, S.Node]:
+class Resolver:
+    """Matches a file's schema tree with the canonical one."""
+
+    def __init__(self, canon: Canon, pools: dict[tuple[str, str], np.ndarray], backing: dict[tuple[str, str], np.ndarray], context: dict[str, Counter]) -> None:
+        self.known, self.known_inner, self.context, self.backing = canon.known(), canon.known_inner(), context, backing
+        self.lists = {p for p, _ in self.known_inner}
+        self.at: dict[str, dict[str, int]] = defaultdict(dict)
+        rows: dict[str, list[np.ndarray]] = defaultdict(list)
+        for (parent, f), vec in sorted(pools.items()):
+            self.at[parent][f] = len(rows[parent])
+            rows[parent].append(vec)
+        self.table = {p: np.stack(v) for p, v in rows.items()}
+        fields = sorted(set(self.known.values()))
+        self.canonical = [S.Node(f, inner={g: S.Node(g) for g in sorted({g for (p, _), g in self.known_inner.items() if p == f})}) for f in fields]
+
+    def _prices(self, parent: str, name: str, own: np.ndarray) -> dict[str, float]:
+        """Price of each canonical field below ``parent`` for an unknown name with these values."""
+        table = self.table.get(parent)
+        if table is None:
+            return {}
+        more = self.backing.get(name)
+        total = float(more[: S.KINDS].sum()) if more is not None else 0.0
+        d = S.profile_distances(own + more * (PRIOR_VALUES / total) if total else own, table)
+        came, files = self.context["came"][parent, name], self.context["files"][parent, name]
+        out = {}
+        for f, i in self.at[parent].items():
+            share = min(1.0, self.context["went"][parent, name, f] / came) if came else 0.5
+            beside = self.context["beside"][parent, name, f] / files if files else 0.0
+            out[f] = BY_VALUES * float(d[i]) + BY_CHANGE * (1 - share) + BY_NEIGHBOUR * beside
+        return out
+
+    def tree(self, fields: Iterable[dict] | None) -> list[S.Node]:
+        """Nodes of a file before any unknown name is resolved; names that differ only in case and signs are one node."""
+        nodes: dict[str, S.Node] = {}
+        inner: dict[str, list[dict]] = defaultdict(list)
+
+        def put(at: dict[str, S.Node], f: dict, hit: str | None) -> None:
+            key = hit if hit is not None else S.norm(f["name"])
+            old = at.get(key)
+            vec = None
+            if hit is None:
+                vec = np.zeros(S.PROFILE_SIZE) if old is None else old.profile
+                for c in f["cells"]:
+                    vec[c["cell"]] += c["n"]
+            at[key] = S.Node(key, (old.names if old else frozenset()) | {f["name"]}, (old.mask if old else 0) | f["mask"], old.inner if old else {}, hit is not None, vec)
+
+        for f in fields or ():
+            if f["name"] and not f["parent"]:
+                put(nodes, f, self.known.get(S.norm(f["name"])))
+            elif f["name"]:
+                inner[self.known.get(S.norm(f["parent"]), S.norm(f["parent"]))].append(f)
+        for parent, below in inner.items():
+            if parent in nodes:
+                for f in below:
+                    put(nodes[parent].inner, f, self.known_inner.get((parent, S.norm(f["name"]))) if nodes[parent].known else None)
+        return [n for n in nodes.values() if not n.inner or self._keep(n)]
+
+    def _keep(self, n: S.Node) -> bool:
+        if n.known and n.canonical not in self.lists:
+            n.inner = {}  # fields inside other lists do not count
+        return True
+
+    def resolve(self, fields: Iterable[dict] | None) -> list[S.Node]:
+        """The file's nodes under their canonical names, by tree edit distance from the canonical tree."""
+        nodes = self.tree(fields)
+        priced: dict[tuple[str, int], dict[str, float]] = {}
+
+        def rename(a: S.Node, b: S.Node, parents: tuple[S.Node, S.Node] | None) -> float:
+            """``a`` canonical, ``b`` of the file."""
+            parent = parents[0].canonical if parents else ""
+            if b.known:
+                return 0.0 if a.canonical == b.canonical else S.INF
+            if parent:
+                hit = self.known_inner.get((parent, b.canonical))
+                if hit is not None:
+                    return 0.0 if hit == a.canonical else S.INF
+            taken = held.get((parent, id(parents[1]) if parents else 0))
+            if taken is None:
+                siblings = parents[1].inner.values() if parents else nodes
+                taken = held[parent, id(parents[1]) if parents else 0] = {n.canonical for n in siblings if n.known} | {self.known_inner[parent, n.canonical] for n in siblings if parent and (parent, n.canonical) in self.known_inner}
+            if a.canonical in taken:
+                return S.INF
+            if (parent, id(b)) not in priced:
+                priced[parent, id(b)] = self._prices(parent, b.canonical, b.profile)
+            return priced[parent, id(b)].get(a.canonical, S.INF)
+
+        held: dict[tuple[str, int], set[str]] = {}
+        for b in nodes:  # types say nothing here: the canonical tree has none
+            for m in b.inner.values():
+                m.mask, m.types = 0, m.mask
+            b.mask, b.types = 0, b.mask
+
+        def sure(old: list[S.Node], new: list[S.Node], parents: tuple[S.Node, S.Node] | None) -> list[tuple[int, int]]:
+            at = {b.canonical if b.known or not parents else self.known_inner.get((parents[0].canonical, b.canonical), ""): j for j, b in enumerate(new) if b.known or parents}
+            return [(i, at[a.canonical]) for i, a in enumerate(old) if a.canonical in at]
+
+        edit = S.tree_edit(self.canonical, nodes, rename, sure=sure)
+
+        def name(e: S.Edit, parent: str) -> dict[str, S.Node]:
+            out: dict[str, S.Node] = {}
+
+            def put(key: str, b: S.Node, known: bool, price: float, inner: dict[str, S.Node]) -> None:
+                old = out.get(key)
+                out[key] = S.Node(key, b.names | (old.names if old else frozenset()), b.types | (old.mask if old else 0), inner, known, None if known else b.profile, price)
+
+            for a, b, below in e.pairs:
+                price = 0.0 if b.known else priced.get((parent, id(b)), {}).get(a.canonical, 0.0)
+                put(a.canonical, b, True, price, name(below, a.canonical) if below is not None else {})
+            for b in e.added:
+                put(b.canonical, b, False, 0.0, {})
+            return out
+
+        return list(name(edit, "").values())
+
+
+_NODE = "struct<parent:string,key:string,names:array<string>,mask:int,price:float,known:boolean,cells:array<struct<cell:smallint,n:bigint>>>"
+
+
+@dataclass
+class Resolved:
+    """The files' resolved trees, the projection most files share, and the files that read a name otherwise."""
+
+    files: DataFrame
+    names: NameMap
+    exceptions: DataFrame | None
+
+    def attach(self, df: DataFrame, columns: DropColumns) -> DataFrame:
+        """``df`` with the column ``_names``: what a record's file reads otherwise, as text, mostly null."""
+        if self.exceptions is None:
+            return df.withColumn("_names", F.lit(None).cast("string"))
+        few = self.exceptions.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+        other = F.broadcast(self.exceptions) if few else self.exceptions
+        return df.join(other, df[columns.source].eqNullSafe(other["_source"]) & df[columns.file].eqNullSafe(other["_file"]), "left")
+
+
+def _rows_of(nodes: Iterable[S.Node], parent: str = "") -> list[dict]:
+    out = []
+    for n in nodes:
+        cells = [] if n.profile is None else [{"cell": int(i), "n": int(n.profile[i])} for i in np.flatnonzero(n.profile)]
+        out.append({"parent": parent, "key": n.canonical, "names": sorted(n.names), "mask": n.mask, "price": n.price, "known": n.known, "cells": cells})
+        out += _rows_of(n.inner.values(), n.canonical)
+    return out
+
+
+def _nodes_of(rows: Iterable[dict] | None, inner_of: frozenset[str]) -> dict[str, S.Node]:
     nodes: dict[str, S.Node] = {}
-    below: dict[str, dict[str, S.Node]] = defaultdict(dict)
-    for f in fields or ():
-        if not f["name"]:
-            continue
-        if f["parent"]:
-            parent = names.of(f["parent"])
-            if parent in inner_of:
-                n = names.of_inner(parent, f["name"])
-                old = below[parent].get(n)
-                below[parent][n] = S.Node(n, (old.names if old else frozenset()) | {f["name"]}, (old.mask if old else 0) | f["mask"])
-        else:
-            n = names.of(f["name"])
-            old = nodes.get(n)
-            nodes[n] = S.Node(n, (old.names if old else frozenset()) | {f["name"]}, (old.mask if old else 0) | f["mask"])
-    for parent, inner in below.items():
-        if parent in nodes:
-            nodes[parent].inner = inner
+    for wanted in (False, True):
+        for r in rows or ():
+            if bool(r["parent"]) is wanted:
+                vec = None
+                if r["cells"]:
+                    vec = np.zeros(S.PROFILE_SIZE)
+                    for c in r["cells"]:
+                        vec[c["cell"]] = c["n"]
+                node = S.Node(r["key"], frozenset(r["names"]), r["mask"], {}, r["known"], vec, r["price"])
+                if not wanted:
+                    nodes[r["key"]] = node
+                elif r["parent"] in inner_of and r["parent"] in nodes:
+                    nodes[r["parent"]].inner[r["key"]] = node
     return nodes
 
 
-def file_changes(pairs: DataFrame, names: NameMap, inner_of: Iterable[str]) -> DataFrame:
-    """``(file_name, field_name, change_kind)`` of each file against the one before it."""
+def resolve_files(df: DataFrame, canon: Canon, columns: DropColumns = DropColumns()) -> Resolved:
+    """Read every file's schema and match it with the canonical one.
+
+    Names that fit no canonical field stand for themselves.  On the driver lie
+    only tables of the size of a schema (names, names times fields), checked
+    against ``MAX_NAMES``.
+    """
+    scanned = scan_records(df, canon, columns)
+
+    def profiles(part: DataFrame, key: list[str]) -> dict[tuple[str, ...], np.ndarray]:
+        by = part.where("cell >= 0").groupBy(*key, "cell").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+        out: dict[tuple[str, ...], np.ndarray] = {}
+        for r in collect_bounded(by, MAX_NAMES, "field names: this is no schema"):
+            vec = out.setdefault(tuple(r[k] if key != ["name"] else S.norm(r[k]) for k in key), np.zeros(S.PROFILE_SIZE))
+            for c in r["cells"]:
+                vec[c["cell"]] += c["n"]
+        return out
+
+    pools = profiles(scanned.where("pooled"), ["parent", "name"])
+    backing = {k[0]: v for k, v in profiles(scanned.where("NOT pooled"), ["name"]).items()}
+    fields = file_fields(scanned)
+    resolver = Resolver(canon, pools, backing, _context(with_previous(fields), canon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                trees = [_rows_of(resolver.resolve(f)) for f in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(trees, _NODE_ARROW)], names=["source", "file", "at", "nodes"])
+
+    files = cut_lineage(fields.mapInArrow(run, f"source string, file string, at {df.schema[columns.at].dataType.simpleString()}, nodes array<{_NODE}>"))
+    flat = files.select("source", "file", F.explode("nodes").alias("n")).select("source", "file", F.col("n.parent").alias("parent"), F.explode("n.names").alias("name"), F.col("n.key").alias("key"))
+    names = NameMap(canon.known(), canon.known_inner())
+    votes: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for r in collect_bounded(flat.groupBy("parent", "name", "key").agg(F.count(F.lit(1)).alias("n")), MAX_NAMES, "field names: this is no schema"):
+        votes[r["parent"], S.norm(r["name"])][r["key"]] += r["n"]
+    split = False
+    for (parent, n), keys in votes.items():
+        most = min(keys, key=lambda k: (-keys[k], k))
+        split |= len(keys) > 1
+        if parent:
+            names.inner[parent, n] = most
+        else:
+            names.top[n] = most
+    return Resolved(files, names, _exceptions(files, names) if split else None)
+
+
+_NODE_ARROW = pa.list_(
+    pa.struct(
+        [("parent", pa.string()), ("key", pa.string()), ("names", pa.list_(pa.string())), ("mask", pa.int32()), ("price", pa.float32()), ("known", pa.bool_()), ("cells", pa.list_(pa.struct([("cell", pa.int16()), ("n", pa.int64())])))]
+    )
+)
+
+
+def _exceptions(files: DataFrame, names: NameMap) -> DataFrame:
+    """``(_source, _file, _names)`` of the files in which a name means something else than in most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, name, nodes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                odd = [
+                    (r["parent"], S.norm(w), r["key"]) for r in nodes for w in r["names"]
+                    if (names.of_inner(r["parent"], w) if r["parent"] else names.of(w)) != r["key"]
+                ]
+                if odd:
+                    rows.append((source, name, json.dumps(sorted(odd))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["_source", "_file", "_names"])
+
+    return files.select("source", "file", "nodes").mapInArrow(run, "_source string, _file string, _names string")
+
+
+def _scripts(resolved: Resolved, inner_of: Iterable[str], script, ddl: str) -> DataFrame:
     lists = frozenset(inner_of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, fields, previous in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                _, steps = S.edit_script(_tree(previous, names, lists), _tree(fields, names, lists))
-                rows += [(name, path, kind) for path, kind in steps]
+            for name, nodes, previous in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows += script(name, _nodes_of(previous, lists), _nodes_of(nodes, lists))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["file_name", "field_name", "change_kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=[c.split()[0] for c in ddl.split(", ")])
+
+    pairs = with_previous(resolved.files, "nodes").where(F.col("previous").isNotNull())
+    return pairs.select("file", "nodes", "previous").mapInArrow(scan, ddl)
 
-    return pairs.where(F.col("previous").isNotNull()).select("file", "fields", "previous").mapInArrow(scan, "file_name string, field_name string, change_kind string")
+
+def file_changes(resolved: Resolved, inner_of: Iterable[str]) -> DataFrame:
+    """``(file_name, field_name, change_kind)`` of each file against the one before it; a moved field is removed and added."""
+    return _scripts(resolved, inner_of, lambda name, old, new: [(name, path, kind) for path, kind in S.edit_script(old, new)[1]], "file_name string, field_name string, change_kind string")
+
+
+def file_scripts(resolved: Resolved, inner_of: Iterable[str]) -> DataFrame:
+    """``(file_name, cost, field_name, change_kind, new_place)``: the minimum-cost scripts themselves, moves and their new places included."""
+
+    def script(name: str, old: dict, new: dict) -> list[tuple]:
+        cost, steps = S.edit_script_with_moves(old, new)
+        return [(name, cost, path, kind, to or "") for path, kind, to in steps]
+
+    return _scripts(resolved, inner_of, script, "file_name string, cost double, field_name string, change_kind string, new_place string")
 
 
 def _schema_nodes(schema: T.StructType, canon: Canon) -> dict[str, S.Node]:
@@ -326,41 +559,44 @@ def table_changes(old: T.StructType, new: T.StructType, canon: Canon) -> list[tu
     return S.edit_script(_schema_nodes(old, canon), _schema_nodes(new, canon))[1]
 
 
-def drift_pairs(df: DataFrame, columns: DropColumns = DropColumns()) -> DataFrame:
-    """File schemas with their predecessors, behind a reliable checkpoint (three passes read them)."""
-    return cut_lineage(with_previous(file_schemas(df, columns)))
-
-
-def unified_records(df: DataFrame, names: NameMap, columns: DropColumns = DropColumns()) -> DataFrame:
+def unified_records(df: DataFrame, resolved: Resolved, columns: DropColumns = DropColumns()) -> DataFrame:
     """All readable records as one table of the canonical layout (values as text or lists of text fields).
 
-    Scalars come out as strings in their canonical column, to be cast by the
-    caller; lists of objects as arrays of string-valued structs.
+    Every record goes through the projection compiled for its file.  Scalars
+    come out as strings in their canonical column, to be cast by the caller;
+    lists of objects as arrays of string-valued structs.
     """
-    c = columns
-    scalars = sorted({f for f in names.top.values()} - {p for p, _ in names.inner})
-    lists = {p: sorted({f for (q, _), f in names.inner.items() if q == p}) for p in sorted({p for p, _ in names.inner})}
+    c, names = columns, resolved.names
+    inner_names = {p for p, _ in names.inner}
+    scalars = sorted(set(names.top.values()) - inner_names)
+    lists = {p: sorted({f for (q, _), f in names.inner.items() if q == p}) for p in sorted(inner_names)}
     arrow = [pa.field(c.row_id, pa.int64()), *[pa.field(s, pa.string()) for s in scalars]]
     arrow += [pa.field(p, pa.list_(pa.struct([pa.field(f, pa.string()) for f in inner]))) for p, inner in lists.items()]
     target = pa.schema(arrow)
     main_inner = {p: ("accession" if "accession" in inner else inner[0]) for p, inner in lists.items()}
 
     def text(v: object) -> str | None:
-        return None if v is None else v if isinstance(v, str) else "true" if v is True else "false" if v is False else S.json.dumps(v)
+        return None if v is None else v if isinstance(v, str) else "true" if v is True else "false" if v is False else json.dumps(v)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[str | None, NameMap] = {None: names}
         for batch in batches:
             out = []
-            for rid, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for rid, payload, other in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 record = S.read_record(payload)
                 if record is None:
                     continue
+                if other not in maps:
+                    if len(maps) > 10_000:
+                        maps = {None: names}
+                    maps[other] = names.changed(other)
+                use = maps[other]
                 row: dict = {c.row_id: rid}
                 for k, v in record.items():
-                    f = names.of(k)
+                    f = use.of(k)
                     if f in lists:
                         row[f] = None if v is None else [
-                            None if e is None else {names.of_inner(f, kk): text(vv) for kk, vv in e.items()} if isinstance(e, dict) else {main_inner[f]: text(e)}
+                            None if e is None else {use.of_inner(f, kk): text(vv) for kk, vv in e.items()} if isinstance(e, dict) else {main_inner[f]: text(e)}
                             for e in S.children(v)[0]
                         ]
                     elif f in row and v is None:
@@ -372,4 +608,4 @@ def unified_records(df: DataFrame, names: NameMap, columns: DropColumns = DropCo
                 yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in target} for r in out], schema=target)
 
     ddl = ", ".join([f"`{c.row_id}` bigint", *[f"`{s}` string" for s in scalars], *[f"`{p}` array<struct<{','.join(f'`{f}`:string' for f in inner)}>>" for p, inner in lists.items()]])
-    return df.select(c.row_id, c.payload).mapInArrow(scan, ddl)
+    return resolved.attach(df.select(c.row_id, c.payload, c.source, c.file), c).select(c.row_id, c.payload, "_names").mapInArrow(scan, ddl)

@@ -70,17 +70,17 @@ def sharing_pairs(edges: DataFrame, min_shared: int = 2, protein: str = "protein
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node each node is connected with.
 
     ``edges`` is ``(a, b)``, ``nodes`` is ``(node)``.  Each round takes the
-    smallest label among the neighbours and then jumps to that label's label, so
-    the rounds grow with the logarithm of the longest chain.  Nothing is
-    collected but the number of changed labels.
+    smallest label among the neighbours and then jumps to that label's label;
+    rounds go on until no label changes, each label can only fall, so they end.
+    Nothing is collected but the number of changed labels.
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("x", "y"))
     labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("low"))
         low = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
         hop = low.select(F.col("node").alias("low"), F.col("low").alias("far"))

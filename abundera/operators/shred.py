@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abundera.operators import schema_tree as S
-from abundera.operators.drift import DropColumns, NameMap
+from abundera.operators.drift import DropColumns, NameMap, Resolved
 
 
 @dataclass
@@ -102,7 +102,7 @@ def _all_paths(paths: dict, prefix: tuple[str, ...] = ()) -> list[tuple[str, ...
     return [p for name, below in paths.items() for p in ((*prefix, name), *_all_paths(below, (*prefix, name)))]
 
 
-def shred_payloads(df: DataFrame, paths: dict, names: NameMap, columns: DropColumns = DropColumns(), with_values: bool = False) -> DataFrame:
+def shred_payloads(df: DataFrame, paths: dict, resolved: Resolved, columns: DropColumns = DropColumns(), with_values: bool = False) -> DataFrame:
     """Child rows of raw JSON records: ``(row id, path, pos[, value])``.
 
     ``paths`` is the tree of repeated paths (``{"intensities": {}, ...}``).
@@ -112,7 +112,7 @@ def shred_payloads(df: DataFrame, paths: dict, names: NameMap, columns: DropColu
     ``pos`` joins the places in all lists from the record down with dots, from
     0.  ``value`` is the child as JSON text.
     """
-    every = _all_paths(paths)
+    every, names = _all_paths(paths), resolved.names
 
     def find(element: dict, name: str) -> object:
         for k, v in element.items():
@@ -121,14 +121,20 @@ def shred_payloads(df: DataFrame, paths: dict, names: NameMap, columns: DropColu
         return None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[str | None, NameMap] = {None: names}
         for batch in batches:
-            ids, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, payloads, others = (batch.column(i).to_pylist() for i in range(3))
             streams = {p: Stream(len(p)) for p in every}
-            for i, payload in enumerate(payloads):
+            for i, (payload, other) in enumerate(zip(payloads, others)):
                 record = S.read_record(payload)
+                if other not in maps:
+                    if len(maps) > 10_000:
+                        maps = {None: names}
+                    maps[other] = names.changed(other)
+                use = maps[other]
                 found: dict[str, object] = {}
                 for k, v in (record or {}).items():
-                    f = names.of(k)
+                    f = use.of(k)
                     if f in paths and (f not in found or found[f] is None):
                         found[f] = v
                 for name, below in paths.items():
@@ -144,7 +150,8 @@ def shred_payloads(df: DataFrame, paths: dict, names: NameMap, columns: DropColu
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "path", "pos", "value"][: len(cols)])
 
     ddl = f"`{columns.row_id}` bigint, path string, pos string" + ", value string" * with_values
-    return df.select(columns.row_id, columns.payload).mapInArrow(_renamed(scan, columns.row_id), ddl)
+    rows = resolved.attach(df.select(columns.row_id, columns.payload, columns.source, columns.file), columns)
+    return rows.select(columns.row_id, columns.payload, "_names").mapInArrow(_renamed(scan, columns.row_id), ddl)
 
 
 def _renamed(scan, name: str):
@@ -174,13 +181,19 @@ def list_levels(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return record, np.where(first, 0, 1), definition
 
 
+def without_nan(leaf: pa.Array) -> pa.Array:
+    """A leaf column with NaN as null; columns of other types as they are."""
+    return pc.if_else(pc.is_nan(leaf), pa.scalar(None, leaf.type), leaf) if pa.types.is_floating(leaf.type) else leaf
+
+
 def child_table(df: DataFrame, row_id: str, column: str) -> DataFrame:
     """Children of one typed list column as a flat table with parent id and place.
 
     A list of structs gives one column per field, a list of scalars the column
     ``value``; inner fields keep their types.  A field named like the id or
     ``pos`` is prefixed by the list's name.  Null and empty lists give no rows,
-    null elements keep their place but give no row.
+    null elements keep their place but give no row; NaN is no value and comes
+    out null.
     """
     element = df.schema[column].dataType.elementType
     inner = [(f.name, f.dataType) for f in element.fields] if isinstance(element, T.StructType) else [("value", element)]
@@ -195,7 +208,7 @@ def child_table(df: DataFrame, row_id: str, column: str) -> DataFrame:
             there = np.flatnonzero(definition == 2)
             elements = lists.flatten()
             elements = elements.filter(elements.is_valid())
-            leaves = [pc.struct_field(elements, i) for i in range(len(inner))] if struct else [elements]
+            leaves = [without_nan(leaf) for leaf in ([pc.struct_field(elements, i) for i in range(len(inner))] if struct else [elements])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(record[there])), pa.array(place[there].astype(np.int32)), *leaves], names=[row_id, "pos", *[n for n, _ in out]])
 
     schema = T.StructType([T.StructField(row_id, df.schema[row_id].dataType), T.StructField("pos", T.IntegerType()), *[T.StructField(n, t) for n, t in out]])

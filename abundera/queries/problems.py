@@ -32,26 +32,31 @@ def feature_canon(spark: SparkSession, sf_dir: str) -> drift.Canon:
     return drift.Canon((*schema.names, *EXTRA_FIELDS), (*inner, *EXTRA_INNER), aliases)
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[drift.Canon, DataFrame, DataFrame, drift.NameMap]:
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[drift.Canon, DataFrame, drift.Resolved]:
     canon, drop = feature_canon(spark, sf_dir), table(spark, sf_dir, "feature_drop")
-    pairs = drift.drift_pairs(drop)
-    return canon, drop, pairs, drift.resolve_names(drop, canon, pairs)
+    return canon, drop, drift.resolve_files(drop, canon)
 
 
 @R.add("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of every field between a file and the one before it, and between the three tables."""
-    canon, _, pairs, names = _names(spark, sf_dir)
+    canon, _, resolved = _resolved(spark, sf_dir)
     layouts = [(n, table(spark, sf_dir, n).schema) for n in ("feature_legacy", "feature_interim", "feature")]
     steps = [(new, f, kind) for (_, a), (new, b) in zip(layouts, layouts[1:]) for f, kind in drift.table_changes(a, b, canon)]
     of_tables = spark.createDataFrame(steps, "file_name string, field_name string, change_kind string")
-    return drift.file_changes(pairs, names, INNER_OF).unionByName(of_tables)
+    return drift.file_changes(resolved, INNER_OF).unionByName(of_tables)
+
+
+@R.add("p1_scripts")
+def p1_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minimum-cost edit scripts between consecutive files, with their costs and moves."""
+    return drift.file_scripts(_resolved(spark, sf_dir)[2], INNER_OF)
 
 
 @R.add("p1_unified")
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent feature table from the three tables and the raw records."""
-    canon, drop, _, names = _names(spark, sf_dir)
+    canon, drop, resolved = _resolved(spark, sf_dir)
     known, known_inner = canon.known(), canon.known_inner()
     scalars = {
         "sequence": "string", "peptidoform": "string", "charge": "int", "run_file_name": "string", "is_decoy": "boolean", "unique": "boolean", "anchor_protein": "string",
@@ -73,17 +78,17 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build
 
     def adapt(df: DataFrame, name: str, row_id: str) -> DataFrame:
-        have = {names.top.get(drift.S.norm(f.name), f.name): f for f in df.schema.fields}
+        have = {known.get(drift.S.norm(f.name), f.name): f for f in df.schema.fields}
         cols = [F.lit(name).alias("source_table"), F.col(row_id).alias("source_id")]
         cols += [(lenient(F.col(f"`{have[c].name}`"), t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in scalars.items()]
         for c, inner in lists.items():
             element = have[c].dataType.elementType
-            fields = {names.inner.get((c, drift.S.norm(g.name)), g.name): g.name for g in element.fields} if isinstance(element, T.StructType) else {"accession": None}
+            fields = {known_inner.get((c, drift.S.norm(g.name)), g.name): g.name for g in element.fields} if isinstance(element, T.StructType) else {"accession": None}
 
             cols.append(F.transform(F.col(f"`{have[c].name}`"), rebuild(inner, fields)).alias(c))
         return df.select(*cols)
 
-    out = adapt(drift.unified_records(drop, names), "feature_drop", "record_id")
+    out = adapt(drift.unified_records(drop, resolved), "feature_drop", "record_id")
     for n in ("feature_legacy", "feature_interim", "feature"):
         out = out.unionByName(adapt(table(spark, sf_dir, n), n, "feature_id"))
     return out
@@ -144,15 +149,15 @@ def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each child of each readable raw record."""
-    _, drop, _, names = _names(spark, sf_dir)
-    return shred.shred_payloads(drop, REPEATED, names)
+    _, drop, resolved = _resolved(spark, sf_dir)
+    return shred.shred_payloads(drop, REPEATED, resolved)
 
 
 @R.add("p6_children")
 def p6_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The children of the raw records with their content and their parent's place."""
-    _, drop, _, names = _names(spark, sf_dir)
-    rows = shred.shred_payloads(drop, REPEATED, names, with_values=True)
+    _, drop, resolved = _resolved(spark, sf_dir)
+    rows = shred.shred_payloads(drop, REPEATED, resolved, with_values=True)
     return rows.withColumn("parent_pos", F.when(F.instr("pos", ".") > 0, F.regexp_replace("pos", r"\.[^.]*$", "")))
 
 
@@ -169,9 +174,9 @@ def _p6_feature(column: str, fields: str):
     return query
 
 
-_p6_feature("intensities", "l[i].label AS label, l[i].intensity AS intensity")
+_p6_feature("intensities", "l[i].label AS label, CASE WHEN NOT isnan(l[i].intensity) THEN l[i].intensity END AS intensity")
 _p6_feature("pg_accessions", 'l[i].accession AS accession, l[i].start AS start, l[i]."end" AS "end", l[i].pre AS pre, l[i].post AS post')
-_p6_feature("additional_scores", "l[i].score_name AS score_name, l[i].score_value AS score_value, l[i].higher_better AS higher_better")
+_p6_feature("additional_scores", "l[i].score_name AS score_name, CASE WHEN NOT isnan(l[i].score_value) THEN l[i].score_value END AS score_value, l[i].higher_better AS higher_better")
 _p6_feature("modifications", "l[i].name AS name, l[i].accession AS accession")
 
 

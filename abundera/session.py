@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "abundera", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,12 +31,15 @@ def build_session(app: str = "abundera", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which every executor reaches.
 
-    Only where the setting is absent (local tests) a temporary folder of this
-    machine stands in, once per application.
+    Where the setting is absent, the checkpoint folder the context was given
+    stands in; where there is none either, a temporary folder of this machine,
+    once per application, but only in local mode, where all tasks run here.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="abundera-")
@@ -43,7 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
-    return f"{shared_dir(spark)}/abundera-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/abundera-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate tables this application has written; results read from them must have been used by then."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -59,3 +75,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
+    """All rows on the driver, or an error if there are more than ``limit``; never a cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return rows
+
+
+def pandas_bounded(df: DataFrame, limit: int, what: str):
+    """The same as a pandas frame."""
+    pdf = df.limit(limit + 1).toPandas()
+    if len(pdf) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return pdf

@@ -1,5 +1,6 @@
 """Drifting schemas, heavy keys, nested records and gap filling on small fixtures, against brute force."""
 
+import itertools
 import json
 import math
 import random
@@ -37,10 +38,8 @@ def renamed(r, a, b):
 
 
 def changes(spark, files):
-    df = records(spark, files)
-    pairs = drift.drift_pairs(df)
-    names = drift.resolve_names(df, CANON, pairs)
-    return {tuple(r) for r in drift.file_changes(pairs, names, ["intensities"]).collect()}, names
+    resolved = drift.resolve_files(records(spark, files), CANON)
+    return {tuple(r) for r in drift.file_changes(resolved, ["intensities"]).collect()}, resolved.names
 
 
 def test_every_kind_of_change(spark):
@@ -69,11 +68,68 @@ def test_inner_fields_count_only_between_arrays_of_objects(spark):
 
 
 def test_value_types():
-    assert [S.type_mask(v) for v in (1, 1.0, "1", True, {}, [{}], ["a", None], [None], [], None, [1])] == [S.INTEGER, S.DECIMAL, S.STRING, S.BOOLEAN, S.OBJECT, S.OBJECTS, S.STRINGS, 0, 0, 0, S.OTHERS]
+    assert [S.type_mask([v]) for v in (1, 1.0, "1", True, {}, [{}], ["a", None], [None], [], None, [1])] == [S.INTEGER, S.DECIMAL, S.STRING, S.BOOLEAN, S.OBJECT, S.OBJECTS, S.STRINGS, 0, 0, 0, S.OTHERS]
+
+
+def tree(**fields):
+    """Fields as nodes; a dict value is a list of objects with those inner fields."""
+    return {k: S.Node(k, frozenset({k}), S.OBJECTS if isinstance(v, dict) else v, tree(**v) if isinstance(v, dict) else {}) for k, v in fields.items()}
+
+
+def test_assignment_is_minimal():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 6))
+        cost = rng.integers(-5, 20, (n, n + int(rng.integers(0, 3)))).astype(float)
+        got = S.assign(cost)
+        assert [r for r, _ in got] == list(range(n)) and len({c for _, c in got}) == n
+        assert sum(cost[p] for p in got) == min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(cost.shape[1]), n))
+
+
+def test_edit_distance_against_all_matchings():
+    """The distance equals the cheapest of all ways to match two sets of fields that fit no canonical one."""
+    rng = random.Random(4)
+    for _ in range(60):
+        sides = [[S.Node(f"{s}{i}", frozenset({f"{s}{i}"}), 1, {}, False, np.array([rng.random() for _ in range(S.PROFILE_SIZE)])) for i in range(rng.randint(0, 4))] for s in "ab"]
+        old, new = sides
+        best = math.inf
+        for k in range(min(len(old), len(new)) + 1):
+            for left in itertools.combinations(range(len(old)), k):
+                for right in itertools.permutations(range(len(new)), k):
+                    best = min(best, sum(S.same_field(old[i], new[j]) for i, j in zip(left, right)) + S.UNIT * (len(old) + len(new) - 2 * k))
+        assert S.tree_edit(old, new, S.same_field).cost == pytest.approx(best)
 
 
 def test_moves():
-    assert S.with_moves([("a.x", "removed"), ("b.x", "added"), ("y", "added")]) == [("y", "added"), ("a.x -> b.x", "moved")]
+    """An inner field that goes from one list to another is one move, dearer than nothing and cheaper than removing and adding it."""
+    old, new = tree(l={"x": 1, "y": 1}, m={"z": 1}, u=2), tree(l={"y": 1}, m={"z": 1, "x": 1}, u=4)
+    cost, steps = S.edit_script_with_moves(old, new)
+    assert sorted(steps, key=str) == [("l.x", "moved", "m.x"), ("u", "retyped", None)] and cost == S.UNIT + S.RETYPE
+    plain = S.edit_script(old, new)
+    assert set(plain[1]) == {("l.x", "removed"), ("m.x", "added"), ("u", "retyped")} and plain[0] == 2 * S.UNIT + S.RETYPE
+
+
+def test_a_planted_move_is_reported(spark):
+    canon = drift.Canon(("charge", "peaks", "parts"), ("peaks.label", "peaks.mass", "parts.code", "parts.mass"))
+    before = {"charge": 2, "peaks": [{"label": "a", "mass": 1.5}], "parts": [{"code": "x"}]}
+    after = {"charge": 2, "peaks": [{"label": "a"}], "parts": [{"code": "x", "mass": 1.5}]}
+    resolved = drift.resolve_files(records(spark, [("e", "f1", 0, [before]), ("e", "f2", 1, [after])]), canon)
+    assert [tuple(r)[2:] for r in drift.file_scripts(resolved, ["peaks", "parts"]).collect()] == [("peaks.mass", "moved", "parts.mass")]
+    assert {tuple(r)[1:] for r in drift.file_changes(resolved, ["peaks", "parts"]).collect()} == {("peaks.mass", "removed"), ("parts.mass", "added")}
+
+
+def test_a_name_with_two_meanings(spark):
+    """One exporter writes the charge as ``val``, another the score; each file is read by its own projection."""
+    many = [rec(i) for i in range(40)]
+    files = [
+        ("a", "a1", 0, many), ("a", "a2", 1, [renamed(r, "charge", "val") for r in many]),
+        ("b", "b1", 0, many), ("b", "b2", 1, [renamed(r, "score", "val") for r in many]), ("b", "b3", 2, [renamed(r, "score", "val") for r in many]),
+    ]
+    df = records(spark, files)
+    resolved = drift.resolve_files(df, CANON)
+    assert {tuple(r) for r in drift.file_changes(resolved, ["intensities"]).collect()} == {("a2", "charge", "renamed"), ("b2", "score", "renamed")}
+    read = {r["record_id"]: r for r in drift.unified_records(df, resolved).collect()}
+    assert all(read[i]["charge"] == str(many[i % 40]["charge"]) and float(read[i]["score"]) == many[i % 40]["score"] for i in range(200))
 
 
 def test_drift_on_empty_and_unreadable(spark):
@@ -83,8 +139,7 @@ def test_drift_on_empty_and_unreadable(spark):
 
 def test_unified_records(spark):
     df = records(spark, [("e", "a", 0, [rec(1, intensities=json.dumps([{"channel": "126", "intensity": 2}])), "{"])])
-    pairs = drift.drift_pairs(df)
-    r = drift.unified_records(df, drift.resolve_names(df, CANON, pairs)).collect()
+    r = drift.unified_records(df, drift.resolve_files(df, CANON)).collect()
     assert len(r) == 1 and r[0]["intensities"][0].asDict() == {"intensity": "2", "label": "126"} and r[0]["charge"] == str(rec(1)["charge"])
 
 
@@ -119,8 +174,8 @@ def test_shredding_agrees_with_walking(spark):
     rng = random.Random(3)
     recs = [random_record(rng) for _ in range(300)]
     df = records(spark, [("e", "f", 0, [*recs, "{broken", None])])
-    names = drift.NameMap(MODS.known())
-    got = sorted(tuple(r) for r in shred.shred_payloads(df, PATHS, names).collect())
+    resolved = drift.Resolved(df, drift.NameMap(MODS.known()), None)
+    got = sorted(tuple(r) for r in shred.shred_payloads(df, PATHS, resolved).collect())
     assert got == sorted((i, path, pos) for i, r in enumerate(recs) for path, pos in brute(r))
 
 
@@ -128,6 +183,11 @@ def test_places_from_levels():
     assert shred.places(np.array([0, 1, 2, 0, 2, 1]), 2).tolist() == [[0, 0], [1, 0], [1, 1], [0, 0], [0, 1], [1, 0]]
 
 
+def test_nan_in_typed_children_is_null(spark, rows):
+    df = spark.createDataFrame([(1, [("a", float("nan")), ("b", 2.0)])], "id long, items array<struct<label:string,v:double>>")
+    assert rows(shred.child_table(df, "id", "items")) == [(1, 0, "a", None), (1, 1, "b", 2.0)]
+
+
 def test_typed_children(spark, rows):
     df = spark.createDataFrame([(1, [("a", 1), None, ("b", None)]), (2, []), (3, None), (4, [None])], "pos long, items array<struct<pos:string,n:int>>")
     assert rows(shred.child_table(df.withColumnRenamed("pos", "id"), "id", "items")) == [(1, 0, "a", 1), (1, 2, "b", None)]

@@ -24,6 +24,8 @@ def duck():
 
 
 def shown(v):
+    if isinstance(v, float) and v != v:
+        return object()  # NaN equals nothing, as in the driver's comparison
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
@@ -33,7 +35,7 @@ def shown(v):
 
 def table(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(shown(r[i]) for i in order) for r in rows)
+    return sorted((tuple(shown(r[i]) for i in order) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("registry, name", WITH_SQL, ids=[n for _, n in WITH_SQL])
