@@ -21,6 +21,7 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from abundera.operators import schema_tree as S
-from abundera.session import collect_bounded, cut_lineage
+from abundera.session import collect_bounded, materialize
 
 #: A driver-side table of names must stay the size of a schema.
 MAX_NAMES = 100_000
@@ -109,7 +110,7 @@ class DropColumns:
 
 
 def scan_records(df: DataFrame, canon: Canon, columns: DropColumns = DropColumns()) -> DataFrame:
-    """The one pass over the payloads, behind a reliable checkpoint.
+    """The one pass over the payloads, written once to the shared folder.
 
     ``(pooled, source, file, parent, name, cell, n, mask, at)``: per file and
     written name the value types (cell -1) and, for names the canonical layout
@@ -195,7 +196,7 @@ def scan_records(df: DataFrame, canon: Canon, columns: DropColumns = DropColumns
     ddl = f"pooled boolean, source string, file string, parent string, name string, cell smallint, n bigint, mask int, at {at_type}"
     found = df.select(c.source, c.file, c.at, c.payload).mapInArrow(scan, ddl)
     keys = ["pooled", "source", "file", "parent", "name", "cell"]
-    return cut_lineage(found.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("at").alias("at")))
+    return materialize(found.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("at").alias("at")), "schemas")
 
 
 def file_fields(scanned: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def with_previous(files: DataFrame, value: str = "fields") -> DataFrame:
     return joined.select("source", "file", "at", value, F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("prev")).alias("previous"))
 
 
-def _context(pairs: DataFrame, canon: Canon) -> dict[str, Counter]:
+def _context(files: DataFrame, canon: Canon) -> dict[str, Counter]:
     """Where unknown names stand: ``files`` that hold one, ``beside`` which field, where one ``came``, and ``went`` which field there.
 
     Keyed by (parent field or '', name) and, with a field, by that too: at most
@@ -231,6 +232,7 @@ def _context(pairs: DataFrame, canon: Canon) -> dict[str, Counter]:
     """
     known, known_inner = canon.known(), canon.known_inner()
     lists = {p for p, _ in known_inner}
+    pairs = with_previous(files.withColumn("fields", F.transform("fields", lambda s: F.struct(s["parent"].alias("parent"), s["name"].alias("name")))))
 
     def by_parent(fields: Iterable[dict] | None) -> dict[str, tuple[set[str], set[str]]]:
         out: dict[str, tuple[set[str], set[str]]] = {}
@@ -263,8 +265,7 @@ def _context(pairs: DataFrame, canon: Canon) -> dict[str, Counter]:
             rows = [(*k, n) for k, n in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["what", "parent", "x", "f", "n"])
 
-    narrow = [F.transform(c, lambda s: F.struct(s["parent"].alias("parent"), s["name"].alias("name"))).alias(c) for c in ("fields", "previous")]
-    found = pairs.select(*narrow).mapInArrow(scan, "what string, parent string, x string, f string, n long").groupBy("what", "parent", "x", "f").agg(F.sum("n").alias("n"))
+    found = pairs.select("fields", "previous").mapInArrow(scan, "what string, parent string, x string, f string, n long").groupBy("what", "parent", "x", "f").agg(F.sum("n").alias("n"))
     out: dict[str, Counter] = {k: Counter() for k in ("files", "beside", "came", "went")}
     for r in collect_bounded(found, MAX_NAMES, "pairs of field names: this is no schema"):
         out[r["what"]][(r["parent"], r["x"], r["f"]) if r["f"] else (r["parent"], r["x"])] = r["n"]
@@ -274,7 +275,7 @@ def _context(pairs: DataFrame, canon: Canon) -> dict[str, Counter]:
 class Resolver:
     """Matches a file's schema tree with the canonical one."""
 
-    def __init__(self, canon: Canon, pools: dict[tuple[str, str], np.ndarray], backing: dict[tuple[str, str], np.ndarray], context: dict[str, Counter]) -> None:
+    def __init__(self, canon: Canon, pools: dict[tuple[str, str], np.ndarray], backing: dict[str, np.ndarray], context: dict[str, Counter]) -> None:
         self.known, self.known_inner, self.context, self.backing = canon.known(), canon.known_inner(), context, backing
         self.lists = {p for p, _ in self.known_inner}
         self.at: dict[str, dict[str, int]] = defaultdict(dict)
@@ -389,13 +390,36 @@ class Resolver:
 _NODE = "struct<parent:string,key:string,names:array<string>,mask:int,price:float,known:boolean,cells:array<struct<cell:smallint,n:bigint>>>"
 
 
-@dataclass
 class Resolved:
-    """The files' resolved trees, the projection most files share, and the files that read a name otherwise."""
+    """The files' resolved trees; from them, when first asked for, the projection most files share and the files that read a name otherwise."""
+
+    def __init__(self, files: DataFrame | None, canon: Canon) -> None:
+        self.files, self.canon = files, canon
+
+    @cached_property
+    def _compiled(self) -> tuple[NameMap, DataFrame | None]:
+        names = NameMap(self.canon.known(), self.canon.known_inner())
+        if self.files is None:
+            return names, None
+        flat = self.files.select(F.explode("nodes").alias("n")).select(F.col("n.parent").alias("parent"), F.explode("n.names").alias("name"), F.col("n.key").alias("key"))
+        votes: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        for r in collect_bounded(flat.groupBy("parent", "name", "key").agg(F.count(F.lit(1)).alias("n")), MAX_NAMES, "field names: this is no schema"):
+            votes[r["parent"], S.norm(r["name"])][r["key"]] += r["n"]
+        for (parent, n), keys in votes.items():
+            most = min(keys, key=lambda k: (-keys[k], k))
+            if parent:
+                names.inner[parent, n] = most
+            else:
+                names.top[n] = most
+        return names, _exceptions(self.files, names) if any(len(keys) > 1 for keys in votes.values()) else None
 
-    files: DataFrame
-    names: NameMap
-    exceptions: DataFrame | None
+    @property
+    def names(self) -> NameMap:
+        return self._compiled[0]
+
+    @property
+    def exceptions(self) -> DataFrame | None:
+        return self._compiled[1]
 
     def attach(self, df: DataFrame, columns: DropColumns) -> DataFrame:
         """``df`` with the column ``_names``: what a record's file reads otherwise, as text, mostly null."""
@@ -442,19 +466,15 @@ def resolve_files(df: DataFrame, canon: Canon, columns: DropColumns = DropColumn
     """
     scanned = scan_records(df, canon, columns)
 
-    def profiles(part: DataFrame, key: list[str]) -> dict[tuple[str, ...], np.ndarray]:
-        by = part.where("cell >= 0").groupBy(*key, "cell").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-        out: dict[tuple[str, ...], np.ndarray] = {}
-        for r in collect_bounded(by, MAX_NAMES, "field names: this is no schema"):
-            vec = out.setdefault(tuple(r[k] if key != ["name"] else S.norm(r[k]) for k in key), np.zeros(S.PROFILE_SIZE))
-            for c in r["cells"]:
-                vec[c["cell"]] += c["n"]
-        return out
-
-    pools = profiles(scanned.where("pooled"), ["parent", "name"])
-    backing = {k[0]: v for k, v in profiles(scanned.where("NOT pooled"), ["name"]).items()}
+    by_cell = scanned.where("cell >= 0").groupBy("pooled", F.when(F.col("pooled"), F.col("parent")).alias("parent"), "name", "cell").agg(F.sum("n").alias("n"))
+    pools, backing = {}, {}
+    for r in collect_bounded(by_cell.groupBy("pooled", "parent", "name").agg(F.collect_list(F.struct("cell", "n")).alias("cells")), MAX_NAMES, "field names: this is no schema"):
+        into, key = (pools, (r["parent"], r["name"])) if r["pooled"] else (backing, S.norm(r["name"]))
+        vec = into.setdefault(key, np.zeros(S.PROFILE_SIZE))
+        for cell, n in r["cells"]:
+            vec[cell] += n
     fields = file_fields(scanned)
-    resolver = Resolver(canon, pools, backing, _context(with_previous(fields), canon))
+    resolver = Resolver(canon, pools, backing, _context(fields, canon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,21 +482,8 @@ def resolve_files(df: DataFrame, canon: Canon, columns: DropColumns = DropColumn
                 trees = [_rows_of(resolver.resolve(f)) for f in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(trees, _NODE_ARROW)], names=["source", "file", "at", "nodes"])
 
-    files = cut_lineage(fields.mapInArrow(run, f"source string, file string, at {df.schema[columns.at].dataType.simpleString()}, nodes array<{_NODE}>"))
-    flat = files.select("source", "file", F.explode("nodes").alias("n")).select("source", "file", F.col("n.parent").alias("parent"), F.explode("n.names").alias("name"), F.col("n.key").alias("key"))
-    names = NameMap(canon.known(), canon.known_inner())
-    votes: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    for r in collect_bounded(flat.groupBy("parent", "name", "key").agg(F.count(F.lit(1)).alias("n")), MAX_NAMES, "field names: this is no schema"):
-        votes[r["parent"], S.norm(r["name"])][r["key"]] += r["n"]
-    split = False
-    for (parent, n), keys in votes.items():
-        most = min(keys, key=lambda k: (-keys[k], k))
-        split |= len(keys) > 1
-        if parent:
-            names.inner[parent, n] = most
-        else:
-            names.top[n] = most
-    return Resolved(files, names, _exceptions(files, names) if split else None)
+    files = materialize(fields.mapInArrow(run, f"source string, file string, at {df.schema[columns.at].dataType.simpleString()}, nodes array<{_NODE}>"), "resolved")
+    return Resolved(files, canon)
 
 
 _NODE_ARROW = pa.list_(

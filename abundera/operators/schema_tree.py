@@ -313,11 +313,16 @@ def tree_edit(old: list[Node], new: list[Node], rename, inner_counts=lambda a, b
     gone, come = np.array([UNIT * old[i].size() for i in rows]), np.array([UNIT * new[j].size() for j in cols])
     if rows and cols:
         price = np.array([[match(i, j) for j in cols] for i in rows]) - come[None, :]
-        full = np.hstack([np.where(price < gone[:, None], price, FORBIDDEN), np.where(np.eye(len(rows), dtype=bool), gone[:, None], FORBIDDEN)])
-        if (price < gone[:, None]).any():
-            found = [(rows[r], cols[c]) for r, c in assign(full) if c < len(cols)]
-            cost += sum(float(price[rows.index(i), cols.index(j)]) + UNIT * new[j].size() for i, j in found)
-            pairs = pairs + found
+        better = price < gone[:, None]
+        if better.any():
+            if len(rows) == 1 or len(cols) == 1:  # one pair at most
+                r, c = divmod(int(np.where(better, price - gone[:, None], INF).argmin()), len(cols))
+                chosen = [(r, c)]
+            else:
+                full = np.hstack([np.where(better, price, FORBIDDEN), np.where(np.eye(len(rows), dtype=bool), gone[:, None], FORBIDDEN)])
+                chosen = [(r, c) for r, c in assign(full) if c < len(cols)]
+            cost += sum(float(price[r, c] + come[c]) for r, c in chosen)
+            pairs = pairs + [(rows[r], cols[c]) for r, c in chosen]
     left, right = {i for i, _ in pairs}, {j for _, j in pairs}
     removed, added = [a for i, a in enumerate(old) if i not in left], [b for j, b in enumerate(new) if j not in right]
     cost += UNIT * sum(n.size() for n in (*removed, *added))

@@ -155,12 +155,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("p6_children")
 def p6_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The children of the raw records with their content and their parent's place."""
+    """The leaves of the raw records and of all their children, each with its own and its parent's place."""
     _, drop, resolved = _resolved(spark, sf_dir)
-    rows = shred.shred_payloads(drop, REPEATED, resolved, with_values=True)
+    rows = shred.shred_leaves(drop, REPEATED, resolved)
     return rows.withColumn("parent_pos", F.when(F.instr("pos", ".") > 0, F.regexp_replace("pos", r"\.[^.]*$", "")))
 
 
+_PARENTS = "feature_id, sequence, peptidoform, charge, run_file_name, is_decoy, \"unique\", anchor_protein, peptide_qvalue, pg_global_qvalue, identification_type, id_run_file_name, acquired_at, ingested_at"
+
+
+@R.add("p6_feature_parents", f"SELECT {_PARENTS} FROM feature")
+def p6_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents of the feature table's children."""
+    return shred.parent_table(table(spark, sf_dir, "feature"))
+
+
 def _p6_sql(column: str, fields: str) -> str:
     return f"""SELECT feature_id, CAST(i - 1 AS INTEGER) AS pos, {fields} FROM (
   SELECT feature_id, unnest(range(1, len({column}) + 1)) AS i, {column} AS l FROM feature) WHERE l[i] IS NOT NULL"""

@@ -174,7 +174,7 @@ def test_shredding_agrees_with_walking(spark):
     rng = random.Random(3)
     recs = [random_record(rng) for _ in range(300)]
     df = records(spark, [("e", "f", 0, [*recs, "{broken", None])])
-    resolved = drift.Resolved(df, drift.NameMap(MODS.known()), None)
+    resolved = drift.Resolved(None, MODS)
     got = sorted(tuple(r) for r in shred.shred_payloads(df, PATHS, resolved).collect())
     assert got == sorted((i, path, pos) for i, r in enumerate(recs) for path, pos in brute(r))
 
@@ -183,6 +183,32 @@ def test_places_from_levels():
     assert shred.places(np.array([0, 1, 2, 0, 2, 1]), 2).tolist() == [[0, 0], [1, 0], [1, 1], [0, 0], [0, 1], [1, 0]]
 
 
+def test_leaves_keep_null_and_absent_apart(spark, rows):
+    recs = [{"seq": "A", "n": None, "intensities": [{"label": "x", "v": None}, None, {"label": "y"}, 5]}, {"mods": [{"positions": [{"p": 1, "scores": [{"s": 2.5}]}]}]}]
+    df = records(spark, [("e", "f", 0, [*recs, "{broken"])])
+    got = rows(shred.shred_leaves(df, PATHS, drift.Resolved(None, MODS)))
+    assert got == sorted([
+        (0, "", "", "seq", "A"), (0, "", "", "n", None), (0, "intensities", "0", "label", "x"), (0, "intensities", "0", "v", None), (0, "intensities", "2", "label", "y"),
+        (0, "intensities", "3", "value", "5"), (1, "mods.positions", "0.0", "p", "1"), (1, "mods.positions.scores", "0.0.0", "s", "2.5"),
+    ], key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+def test_levels_of_a_leaf():
+    stream = shred.Stream(1, [0, 0, 1], [0, 1, 0], [2, 1, 0], {"v": shred.Leaf([0], [None])})
+    assert stream.leaves["v"].definition(stream).tolist() == [3, 1, 0]
+
+
+def test_nested_typed_lists(spark, rows):
+    ddl = "id long, name string, mods array<struct<m:string,positions:array<struct<p:int,scores:array<double>>>>>"
+    nan = float("nan")
+    data = [(1, "a", [("x", [(1, [0.5, nan]), None, (2, None)]), ("y", None), None, ("z", [])]), (2, "b", None), (3, "c", []), (4, "d", [("w", [(7, [])])])]
+    tables = shred.flat_tables(spark.createDataFrame(data, ddl), "id")
+    assert set(tables) == {"", "mods", "mods.positions", "mods.positions.scores"} and tables[""].columns == ["id", "name"]
+    assert rows(tables["mods"]) == [(1, 0, "x"), (1, 1, "y"), (1, 3, "z"), (4, 0, "w")]
+    assert rows(tables["mods.positions"]) == [(1, "0.0", 1), (1, "0.2", 2), (4, "0.0", 7)]
+    assert [tuple(r) for r in tables["mods.positions.scores"].orderBy("pos").collect()] == [(1, "0.0.0", 0.5), (1, "0.0.1", None)]
+
+
 def test_nan_in_typed_children_is_null(spark, rows):
     df = spark.createDataFrame([(1, [("a", float("nan")), ("b", 2.0)])], "id long, items array<struct<label:string,v:double>>")
     assert rows(shred.child_table(df, "id", "items")) == [(1, 0, "a", None), (1, 1, "b", 2.0)]
