@@ -5,9 +5,10 @@ numbers by predictive mean matching: a group-aware additive predictor is fitted
 on all measured rows, donors are range-searched among the predictions of the
 same group, and the donor's observed value is copied together with its id.
 
-No step gathers a group: sums and counts combine before they are shuffled, and
-the range search runs over prediction bins, of which a group has at most
-``2 * BINS_PER_LOG2 * 2100`` however many rows it holds.
+No step gathers a group: sums and counts combine before they are shuffled, keys
+that hold many rows are joined by broadcast, and the range search runs over
+prediction bins, of which a group has at most ``2 * BINS_PER_LOG2 * 2100``
+however many rows it holds.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from abundera.functions.values import is_measured, is_missing
+from abundera.operators.heavy import hot_hashes, join_hot
 from abundera.session import materialize
 
-#: Predictions closer than 1/64 of a doubling count as equal in the donor search.
+#: The donor search runs over bins of 1/64 of a doubling; within and between them the nearest prediction counts.
 BINS_PER_LOG2 = 64
 
 
@@ -83,44 +85,53 @@ def condition_fills(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("_condition").isNull() & F.col("_sample2").isNotNull()).select("_id", "_sample2").join(by_sample, "_sample2").select("_id", "_fill", "_donor")
 
 
-def value_fills(rows: DataFrame) -> DataFrame:
+def value_fills(rows: DataFrame, hot: dict[str, list[int]] | None = None) -> DataFrame:
     """Predictive mean matching; ``(_id, _fill, _donor, _distance)`` of each value that can be filled.
 
     The prediction of a row is the mean log2 value of its entity and sample plus
     the shrunken mean deviation of its item and charge over all samples (0 where
     the item was never measured).  The donor is the measured row of the same
-    entity and sample whose prediction is nearest; among those that share its
-    prediction bin, and between a bin below and one above at the same distance,
-    the one of smallest id.
+    entity and sample whose prediction is nearest; among those of the same
+    prediction, and between one below and one above at the same distance, the
+    one of smallest id.
+
+    Rows are reduced to one per group and item first.  The nearest donor is
+    searched in the row's own prediction bin, and from the outermost donors of
+    the next bins that hold one, so no window holds a whole group's rows.
+    ``hot`` routes the keys that hold many rows (see ``heavy.join_hot``).
     """
-    usable = rows.where(F.col("g").isNotNull()).select("_id", "g", "k", "_value")
+    hot = hot or {}
     ok = is_measured("_value")
-    groups = (
-        usable.groupBy("g")
-        .agg(F.avg(F.when(ok, F.log2("_value"))).alias("mean"), F.max((~ok).cast("int")).alias("lacks"), F.max(ok.cast("int")).alias("has"))
-        .where("has = 1")
-        .select("g", "mean", "lacks")
-    )
-    donors = usable.where(ok).join(groups, "g").select("_id", "g", "k", "_value", "mean", "lacks")
-    effects = donors.groupBy("k").agg(F.sum(F.log2("_value") - F.col("mean")).alias("s"), F.count(F.lit(1)).alias("n")).select("k", (F.col("s") / (F.col("n") + 1)).alias("effect"))
-    bin_of = F.floor((F.col("mean") + F.coalesce("effect", F.lit(0.0))) * BINS_PER_LOG2).cast("int").alias("bin")
-    donor_bins = (
-        donors.where("lacks = 1").join(effects, "k").select("g", bin_of, "_id", "_value")
-        .groupBy("g", "bin").agg(F.min(F.col("_id")).alias("d"), F.min_by("_value", "_id").alias("v"))
-        .select("g", "bin", F.struct("bin", "d", "v").alias("donor"), F.lit(0).alias("asks"))
+    usable = rows.where(F.col("g").isNotNull())
+    items = usable.groupBy("g", "k").agg(
+        F.coalesce(F.sum(F.when(ok, F.log2("_value"))), F.lit(0.0)).alias("s"), F.count(F.when(ok, 1)).alias("n"), F.count(F.when(~ok, 1)).alias("asked"),
+        F.min(F.when(ok, F.col("_id"))).alias("d"), F.min_by("_value", F.when(ok, F.col("_id"))).alias("v"),
+    )
+    groups = items.groupBy("g").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), (F.sum("asked") > 0).alias("lacks")).where("mean IS NOT NULL")
+    placed = join_hot(items, groups, ["g"], F.col("g"), hot.get("g", []))
+    effects = placed.where("n > 0").groupBy("k").agg((F.sum(F.col("s") - F.col("n") * F.col("mean")) / (F.sum("n") + 1)).alias("effect"))
+    p, d, v = F.col("p"), F.col("d"), F.col("v")
+    points = join_hot(placed.where("lacks"), effects, ["k"], F.col("k"), hot.get("k", []), "left").select(
+        "g", "k", (F.col("mean") + F.coalesce("effect", F.lit(0.0))).alias("p"), "asked", "d", "v"
+    ).withColumn("bin", F.floor(p * BINS_PER_LOG2).cast("int"))
+    under, over = F.when(d.isNotNull(), F.struct(p.alias("p"), (-d).alias("d"), v.alias("v"))), F.when(d.isNotNull(), F.struct(p.alias("p"), d.alias("d"), v.alias("v")))
+    cell = W.partitionBy("g", "bin")
+    near = points.select(
+        "g", "k", "p", "bin", "asked", F.max(under).over(cell.orderBy("p")).alias("lo"), F.min(over).over(cell.orderBy(p.desc())).alias("hi"),
+        F.row_number().over(cell.orderBy(p.desc())).alias("nth"), F.max(under).over(cell).alias("top"), F.min(over).over(cell).alias("bottom"),
     )
-    asking = usable.where(~ok).select("_id", "g", "k").join(groups.where("lacks = 1"), "g").join(effects, "k", "left").select("_id", "g", bin_of)
-    asked = asking.groupBy("g", "bin").agg(F.lit(None).cast(donor_bins.schema["donor"].dataType).alias("donor"), F.lit(1).alias("asks"))
-    line = W.partitionBy("g").orderBy("bin", "asks")
-    below = F.last("donor", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
-    above = F.first("donor", ignorenulls=True).over(line.rowsBetween(W.currentRow, W.unboundedFollowing))
-    near = donor_bins.unionByName(asked).select("g", "bin", "asks", below.alias("lo"), above.alias("hi")).where("asks = 1")
-    gap_lo, gap_hi = F.col("bin") - F.col("lo.bin"), F.col("hi.bin") - F.col("bin")
-    take_lo = F.col("hi").isNull() | (F.col("lo").isNotNull() & ((gap_lo < gap_hi) | ((gap_lo == gap_hi) & (F.col("lo.d") <= F.col("hi.d")))))
-    chosen = near.select("g", "bin", F.when(take_lo, F.col("lo")).otherwise(F.col("hi")).alias("donor"))
-    return asking.join(chosen, ["g", "bin"]).select(
-        "_id", F.col("donor.v").alias("_fill"), F.col("donor.d").alias("_donor"), (F.abs(F.col("donor.bin") - F.col("bin")) / F.lit(float(BINS_PER_LOG2))).alias("_distance")
+    line = W.partitionBy("g")
+    before = lambda order: line.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    beside = near.where("nth = 1").select(  # one row a bin, at most 2 * BINS_PER_LOG2 * 2100 a group
+        "g", "bin", F.max("top").over(before(F.col("bin").asc())).alias("under"), F.min("bottom").over(before(F.col("bin").desc())).alias("over")
     )
+    found = near.where("asked > 0").select("g", "k", "p", "bin", "lo", "hi").join(beside, ["g", "bin"]).select("g", "k", "p", F.coalesce("lo", "under").alias("lo"), F.coalesce("hi", "over").alias("hi"))
+    gap_lo, gap_hi = p - F.col("lo.p"), F.col("hi.p") - p
+    take_lo = F.col("hi").isNull() | (F.col("lo").isNotNull() & ((gap_lo < gap_hi) | ((gap_lo == gap_hi) & (-F.col("lo.d") <= F.col("hi.d")))))
+    lo = F.struct(F.col("lo.p").alias("p"), (-F.col("lo.d")).alias("d"), F.col("lo.v").alias("v"))
+    of_items = found.select("g", "k", "p", F.when(take_lo, lo).otherwise(F.col("hi")).alias("donor")).select("g", "k", "donor", F.abs(F.col("donor.p") - p).alias("_distance"))
+    asking = usable.where(~ok).select("_id", "g", "k")
+    return join_hot(asking, of_items, ["g", "k"], F.struct("g", "k"), hot.get("gk", [])).select("_id", F.col("donor.v").alias("_fill"), F.col("donor.d").alias("_donor"), "_distance")
 
 
 def fills(df: DataFrame, columns: FillColumns = FillColumns()) -> DataFrame:
@@ -136,12 +147,13 @@ def fills(df: DataFrame, columns: FillColumns = FillColumns()) -> DataFrame:
     """
     c = columns
     rows = materialize(_keyed(with_filled_samples(_base(df, c))), "filled-samples")  # read by every branch below
+    hot = hot_hashes(rows, {"g": F.col("g"), "k": F.col("k"), "gk": F.struct("g", "k")})
     none = F.lit(None).cast("double")
     of_sample = rows.where("_sample_donor IS NOT NULL").select(
         F.col("_id").alias(c.row_id), F.lit(c.sample).alias("field_name"), F.col("_sample2").alias("filled_value"), F.col("_sample_donor").alias("donor_id"), none.alias("distance")
     )
     of_condition = condition_fills(rows).select(F.col("_id").alias(c.row_id), F.lit(c.condition).alias("field_name"), F.col("_fill").alias("filled_value"), F.col("_donor").alias("donor_id"), none.alias("distance"))
-    of_value = value_fills(rows).select(F.col("_id").alias(c.row_id), F.lit(c.value).alias("field_name"), F.col("_fill").cast("string").alias("filled_value"), F.col("_donor").alias("donor_id"), F.col("_distance").alias("distance"))
+    of_value = value_fills(rows, hot).select(F.col("_id").alias(c.row_id), F.lit(c.value).alias("field_name"), F.col("_fill").cast("string").alias("filled_value"), F.col("_donor").alias("donor_id"), F.col("_distance").alias("distance"))
     return of_sample.unionByName(of_condition).unionByName(of_value)
 
 

@@ -79,3 +79,27 @@ def salted(df: DataFrame, key: str, spread: Column, share: float = 0.001, name:
     heavy = F.broadcast(heavy_keys(df.select(key), key, share).select(key, salts))
     tagged = df.join(heavy, key, "left")
     return tagged.withColumn(name, F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+
+
+def hot_hashes(df: DataFrame, keys: dict[str, Column], share: float = 0.005) -> dict[str, list[int]]:
+    """For each named key, the 64-bit hashes held by at least about ``share`` of the rows; one pass, at most ``2 / share`` each.
+
+    A hash only routes rows, so two keys of one hash do no harm.
+    """
+    k = math.ceil(2 / share)
+    aggs = [F.expr(f"approx_top_k(`_h_{n}`, {k}, {max(SKETCH_ITEMS, k)})").alias(n) for n in keys]
+    found = df.select(*[F.xxhash64(c).alias(f"_h_{n}") for n, c in keys.items()]).agg(*aggs, F.count(F.lit(1)).alias("_n")).first()
+    return {n: sorted(i["item"] for i in found[n] or () if i["count"] >= 0.5 * share * found["_n"]) for n in keys}
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], by: Column, hot: list[int], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key, without gathering a hot key's rows in one task.
+
+    ``hot`` are the hashes of ``by`` (a column of both sides) from
+    ``hot_hashes``; their few rows of ``keyed`` are broadcast, all other keys
+    meet by an ordinary shuffle.
+    """
+    if not hot:
+        return rows.join(keyed, keys, how)
+    is_hot = F.xxhash64(by).isin(*hot)
+    return rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), keys, how).unionByName(rows.where(~is_hot).join(keyed.where(~is_hot), keys, how))

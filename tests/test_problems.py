@@ -290,6 +290,62 @@ def test_donor_is_the_nearest_prediction(spark):
     assert len(r) == 1 and data[r[0]["donor_id"]][2] == "c" and float(r[0]["filled_value"]) == 2**12.0
 
 
+def brute_fills(data):
+    """Donor of each value that can be filled, by comparing every prediction of the group."""
+    ok = lambda v: v is not None and math.isfinite(v) and v > 0
+    groups, effects = defaultdict(list), defaultdict(list)
+    for r in data:
+        groups[r[1], r[5]].append(r)
+    means = {g: np.mean([math.log2(r[7]) for r in rs if ok(r[7])]) for g, rs in groups.items() if any(ok(r[7]) for r in rs)}
+    for r in data:
+        if ok(r[7]):
+            effects[r[2], r[3]].append(math.log2(r[7]) - means[r[1], r[5]])
+    effect = {k: sum(v) / (len(v) + 1) for k, v in effects.items()}
+    out = {}
+    for g, rs in groups.items():
+        for r in rs:
+            if not ok(r[7]) and g in means:
+                p = effect.get((r[2], r[3]), 0.0)
+                out[r[0]] = min(abs(effect[d[2], d[3]] - p) for d in rs if ok(d[7]))
+    return out, effect
+
+
+@pytest.mark.parametrize("share", [0.05, 0.001])
+def test_donors_against_brute_force(spark, share):
+    """The nearest prediction of the whole group, with and without hot keys."""
+    rng = random.Random(8)
+    data = []
+    for i in range(1500):
+        g = 0 if rng.random() < 0.4 else rng.randrange(12)  # one group holds the most
+        data.append((i, f"P{g}", f"item{rng.randrange(60)}", 2, f"r{g}", f"s{g}", "c", None if rng.random() < 0.2 else float(2 ** rng.uniform(5, 20))))
+    base = gap_rows(spark, data)
+    rows = fill._keyed(fill.with_filled_samples(fill._base(base, fill.FillColumns()))).cache()
+    hot = heavy.hot_hashes(rows, {"g": F.col("g"), "k": F.col("k"), "gk": F.struct("g", "k")}, share)
+    assert hot["g"]
+    got = {r["_id"]: r for r in fill.value_fills(rows, hot).collect()}
+    want, effect = brute_fills(data)
+    assert set(got) == set(want)
+    for i, r in got.items():
+        donor = data[r["_donor"]]
+        assert donor[1] == data[i][1] and r["_fill"] == donor[7] and r["_distance"] == pytest.approx(want[i], abs=1e-9)
+
+
+def test_filled_values_beat_the_group_mean(spark):
+    """Hidden cells of a table with items of clear levels: donors of near predictions come closer than the group's mean."""
+    rng = random.Random(5)
+    level, data, truth = {f"i{k}": rng.uniform(8, 20) for k in range(25)}, [], {}
+    for s in range(30):
+        for n, (item, v) in enumerate(level.items()):
+            i, value = 100 * s + n, 2 ** (v + rng.gauss(0, 0.3) + 0.1 * s)
+            hide = rng.random() < 0.1
+            truth[i] = value
+            data.append((i, "P", item, 2, f"r{s}", f"s{s}", "c", None if hide else float(value)))
+    got = fill.fills(gap_rows(spark, data)).where("field_name = 'NormIntensity'").collect()
+    error = np.median([abs(math.log2(float(r["filled_value"]) / truth[r["peptide_row_id"]])) for r in got])
+    spread = np.median([abs(math.log2(truth[r["peptide_row_id"]]) - 14) for r in got])
+    assert error < 0.4 * spread
+
+
 def test_missing_and_measured(spark):
     d = spark.createDataFrame([("",), ("  ",), ("N/A",), ("Empty",), ("control",), (None,)], "v string")
     assert [r[0] for r in d.select(is_missing("v")).collect()] == [True, True, True, True, False, True]
