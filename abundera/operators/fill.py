@@ -41,9 +41,12 @@ class FillColumns:
     value: str = "NormIntensity"
 
 
-def _key(*cols: Column) -> Column:
-    """96-bit key of a group: far narrower to shuffle than the strings it stands for."""
-    return F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
+#: Flat 96-bit keys of a group (entity and sample) and of an item (with its charge): far narrower to shuffle than the strings.
+G, K = ["ga", "gb"], ["ka", "kb"]
+
+
+def _key(names: list[str], *cols: Column) -> list[Column]:
+    return [F.xxhash64(*cols).alias(names[0]), F.hash(*cols).alias(names[1])]
 
 
 def majority(df: DataFrame, group: str, value: str, row_id: str) -> DataFrame:
@@ -75,8 +78,9 @@ def with_filled_samples(base: DataFrame) -> DataFrame:
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """What the fills need: hashed keys of entity and sample (null without either) and of item and charge instead of strings."""
-    group = F.when(F.col("_entity").isNotNull() & F.col("_sample2").isNotNull(), _key(F.col("_entity"), F.col("_sample2")))
-    return rows.select("_id", "_sample2", "_sample_donor", "_condition", group.alias("g"), _key(F.col("_item"), F.col("_charge")).alias("k"), "_value")
+    has = F.col("_entity").isNotNull() & F.col("_sample2").isNotNull()
+    group = [F.when(has, c).alias(n) for n, c in zip(G, _key(G, F.col("_entity"), F.col("_sample2")))]
+    return rows.select("_id", "_sample2", "_sample_donor", "_condition", *group, *_key(K, F.col("_item"), F.col("_charge")), "_value")
 
 
 def condition_fills(rows: DataFrame) -> DataFrame:
@@ -95,43 +99,51 @@ def value_fills(rows: DataFrame, hot: dict[str, list[int]] | None = None) -> Dat
     prediction, and between one below and one above at the same distance, the
     one of smallest id.
 
-    Rows are reduced to one per group and item first.  The nearest donor is
-    searched in the row's own prediction bin, and from the outermost donors of
-    the next bins that hold one, so no window holds a whole group's rows.
-    ``hot`` routes the keys that hold many rows (see ``heavy.join_hot``).
+    The nearest donor is searched in the row's own prediction bin, and from the
+    outermost donors of the next bins that hold one, so no window holds a whole
+    group's rows.  ``hot`` routes the keys that hold many rows (see
+    ``heavy.join_hot``); of a group and item that does, one row stands for all.
     """
     hot = hot or {}
-    ok = is_measured("_value")
-    usable = rows.where(F.col("g").isNotNull())
-    items = usable.groupBy("g", "k").agg(
-        F.coalesce(F.sum(F.when(ok, F.log2("_value"))), F.lit(0.0)).alias("s"), F.count(F.when(ok, 1)).alias("n"), F.count(F.when(~ok, 1)).alias("asked"),
-        F.min(F.when(ok, F.col("_id"))).alias("d"), F.min_by("_value", F.when(ok, F.col("_id"))).alias("v"),
-    )
-    groups = items.groupBy("g").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), (F.sum("asked") > 0).alias("lacks")).where("mean IS NOT NULL")
-    placed = join_hot(items, groups, ["g"], F.col("g"), hot.get("g", []))
-    effects = placed.where("n > 0").groupBy("k").agg((F.sum(F.col("s") - F.col("n") * F.col("mean")) / (F.sum("n") + 1)).alias("effect"))
+    ok, g_hot, k_hot, gk = is_measured("_value"), hot.get("g", []), hot.get("k", []), F.struct(*G, *K)
+    g_by, k_by = F.struct(*G), F.struct(*K)
+    usable = rows.where(F.col("ga").isNotNull()).select("_id", *G, *K, "_value")
+    groups = usable.groupBy(*G).agg(F.avg(F.when(ok, F.log2("_value"))).alias("mean"), F.bool_or(~ok).alias("lacks")).where("mean IS NOT NULL")
+    donors = join_hot(usable.where(ok), groups, G, g_by, g_hot)
+    effects = donors.groupBy(*K).agg((F.sum(F.log2("_value") - F.col("mean")) / (F.count(F.lit(1)) + 1)).alias("effect"))
+    asking, same = usable.where(~ok).select("_id", *G, *K), hot.get("gk", [])
+    donors, asks = donors.where("lacks").drop("lacks"), asking
+    if same:
+        many = F.xxhash64(gk).isin(*same)
+        one = donors.where(many).groupBy(*G, *K, "mean").agg(F.min("_id").alias("_id"), F.min_by("_value", "_id").alias("_value"))
+        donors = donors.where(~many).unionByName(one)
+        asks = asks.where(~many).unionByName(asks.where(many).groupBy(*G, *K).agg(F.min("_id").alias("_id")))
+    asks = join_hot(asks, groups.where("lacks").select(*G, "mean"), G, g_by, g_hot).withColumn("_value", F.lit(None).cast("double"))
     p, d, v = F.col("p"), F.col("d"), F.col("v")
-    points = join_hot(placed.where("lacks"), effects, ["k"], F.col("k"), hot.get("k", []), "left").select(
-        "g", "k", (F.col("mean") + F.coalesce("effect", F.lit(0.0))).alias("p"), "asked", "d", "v"
-    ).withColumn("bin", F.floor(p * BINS_PER_LOG2).cast("int"))
-    under, over = F.when(d.isNotNull(), F.struct(p.alias("p"), (-d).alias("d"), v.alias("v"))), F.when(d.isNotNull(), F.struct(p.alias("p"), d.alias("d"), v.alias("v")))
-    cell = W.partitionBy("g", "bin")
+    points = join_hot(donors.unionByName(asks), effects, K, k_by, k_hot, "left").select(*G, (F.col("mean") + F.coalesce("effect", F.lit(0.0))).alias("p"), F.col("_id").alias("d"), F.col("_value").alias("v"))
+    points = points.withColumn("bin", F.floor(p * BINS_PER_LOG2).cast("int"))
+    under, over = F.when(v.isNotNull(), F.struct(p.alias("p"), (-d).alias("d"), v.alias("v"))), F.when(v.isNotNull(), F.struct(p.alias("p"), d.alias("d"), v.alias("v")))
+    cell = W.partitionBy(*G, "bin")
     near = points.select(
-        "g", "k", "p", "bin", "asked", F.max(under).over(cell.orderBy("p")).alias("lo"), F.min(over).over(cell.orderBy(p.desc())).alias("hi"),
-        F.row_number().over(cell.orderBy(p.desc())).alias("nth"), F.max(under).over(cell).alias("top"), F.min(over).over(cell).alias("bottom"),
+        *G, "p", "bin", "d", "v", F.max(under).over(cell.orderBy("p")).alias("lo"), F.min(over).over(cell.orderBy(p.desc())).alias("hi"), F.row_number().over(cell.orderBy(p.desc())).alias("nth"),
+        F.max(under).over(cell).alias("top"), F.min(over).over(cell).alias("bottom"),
     )
-    line = W.partitionBy("g")
+    line = W.partitionBy(*G)
     before = lambda order: line.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     beside = near.where("nth = 1").select(  # one row a bin, at most 2 * BINS_PER_LOG2 * 2100 a group
-        "g", "bin", F.max("top").over(before(F.col("bin").asc())).alias("under"), F.min("bottom").over(before(F.col("bin").desc())).alias("over")
+        *G, "bin", F.max("top").over(before(F.col("bin").asc())).alias("under"), F.min("bottom").over(before(F.col("bin").desc())).alias("over")
     )
-    found = near.where("asked > 0").select("g", "k", "p", "bin", "lo", "hi").join(beside, ["g", "bin"]).select("g", "k", "p", F.coalesce("lo", "under").alias("lo"), F.coalesce("hi", "over").alias("hi"))
+    found = near.where("v IS NULL").select(*G, "p", "bin", "d", "lo", "hi").join(beside, [*G, "bin"]).select("d", "p", F.coalesce("lo", "under").alias("lo"), F.coalesce("hi", "over").alias("hi"))
     gap_lo, gap_hi = p - F.col("lo.p"), F.col("hi.p") - p
     take_lo = F.col("hi").isNull() | (F.col("lo").isNotNull() & ((gap_lo < gap_hi) | ((gap_lo == gap_hi) & (-F.col("lo.d") <= F.col("hi.d")))))
     lo = F.struct(F.col("lo.p").alias("p"), (-F.col("lo.d")).alias("d"), F.col("lo.v").alias("v"))
-    of_items = found.select("g", "k", "p", F.when(take_lo, lo).otherwise(F.col("hi")).alias("donor")).select("g", "k", "donor", F.abs(F.col("donor.p") - p).alias("_distance"))
-    asking = usable.where(~ok).select("_id", "g", "k")
-    return join_hot(asking, of_items, ["g", "k"], F.struct("g", "k"), hot.get("gk", [])).select("_id", F.col("donor.v").alias("_fill"), F.col("donor.d").alias("_donor"), "_distance")
+    chosen = found.select(F.col("d").alias("_id"), F.when(take_lo, lo).otherwise(F.col("hi")).alias("donor"), "p")
+    out = chosen.select("_id", F.col("donor.v").alias("_fill"), F.col("donor.d").alias("_donor"), F.abs(F.col("donor.p") - p).alias("_distance"))
+    if not same:
+        return out
+    sole = asking.where(F.xxhash64(gk).isin(*same))  # the rows that one asked for, as few groups as there are hot keys
+    of_many = sole.groupBy(*G, *K).agg(F.min("_id").alias("_first")).join(out.withColumnRenamed("_id", "_first"), "_first").drop("_first")
+    return out.join(sole.select("_id"), "_id", "left_anti").unionByName(sole.join(F.broadcast(of_many), [*G, *K]).select(*out.columns))
 
 
 def fills(df: DataFrame, columns: FillColumns = FillColumns()) -> DataFrame:
@@ -147,7 +159,7 @@ def fills(df: DataFrame, columns: FillColumns = FillColumns()) -> DataFrame:
     """
     c = columns
     rows = materialize(_keyed(with_filled_samples(_base(df, c))), "filled-samples")  # read by every branch below
-    hot = hot_hashes(rows, {"g": F.col("g"), "k": F.col("k"), "gk": F.struct("g", "k")})
+    hot = hot_hashes(rows.where("ga IS NOT NULL"), {"g": F.struct(*G), "k": F.struct(*K), "gk": F.struct(*G, *K)})
     none = F.lit(None).cast("double")
     of_sample = rows.where("_sample_donor IS NOT NULL").select(
         F.col("_id").alias(c.row_id), F.lit(c.sample).alias("field_name"), F.col("_sample2").alias("filled_value"), F.col("_sample_donor").alias("donor_id"), none.alias("distance")

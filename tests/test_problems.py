@@ -310,7 +310,7 @@ def brute_fills(data):
     return out, effect
 
 
-@pytest.mark.parametrize("share", [0.05, 0.001])
+@pytest.mark.parametrize("share", [0.05, 0.002])
 def test_donors_against_brute_force(spark, share):
     """The nearest prediction of the whole group, with and without hot keys."""
     rng = random.Random(8)
@@ -320,7 +320,7 @@ def test_donors_against_brute_force(spark, share):
         data.append((i, f"P{g}", f"item{rng.randrange(60)}", 2, f"r{g}", f"s{g}", "c", None if rng.random() < 0.2 else float(2 ** rng.uniform(5, 20))))
     base = gap_rows(spark, data)
     rows = fill._keyed(fill.with_filled_samples(fill._base(base, fill.FillColumns()))).cache()
-    hot = heavy.hot_hashes(rows, {"g": F.col("g"), "k": F.col("k"), "gk": F.struct("g", "k")}, share)
+    hot = heavy.hot_hashes(rows, {"g": F.struct(*fill.G), "k": F.struct(*fill.K), "gk": F.struct(*fill.G, *fill.K)}, share)
     assert hot["g"]
     got = {r["_id"]: r for r in fill.value_fills(rows, hot).collect()}
     want, effect = brute_fills(data)
