@@ -3,8 +3,8 @@
 Two passes over the texts.  The first counts, over all distinct texts, in how many
 each word with a character outside ASCII stands, and the pairs of neighbouring
 characters; the counts go into a frequency sketch of fixed size (three rows of
-``WORD_CELLS`` counters, one of ``PAIR_CELLS``), the only thing collected and
-sent to the tasks, whatever the size of the corpus.  The second pass decodes:
+``word_cells`` counters, one of ``PAIR_CELLS``), the only thing collected and
+sent to the tasks, of bounded size whatever the corpus.  The second pass decodes:
 for every word, each channel (true encoding, encoding it was read in) gives a
 lattice of bytes; characters that stand for lost bytes are wildcards.  A beam
 Viterbi search fills the lattice under the pair counts, and the corpus counts
@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_CELLS = 1 << 19
+#: Counters of a row of the word sketch: four for each text of the corpus, rounded up to a power of two between these bounds.
+LEAST_CELLS, MOST_CELLS = 1 << 19, 1 << 22
 WORD_ROWS = 3
 PAIR_CELLS = 1 << 18
 #: A restoration must be in this many times as many documents as the word it replaces.
@@ -45,8 +46,6 @@ RARE_GAIN = 500.0
 SPELLING_GAIN = 2.0
 #: A word in less than this share of the texts is rare, in fewer than ``GAIN`` texts in any case.
 RARE_SHARE = 4e-4
-#: Words longer than this (texts without blanks) are searched in segments, in time linear in their length.
-LONG = 200
 #: Hypotheses kept in the lattice search.
 BEAM = 24
 LOST = "�"
@@ -84,18 +83,25 @@ def pieces(word: str) -> list[str]:
     return [_DIGITS.sub("0", bare)]
 
 
-def _cells(piece: str) -> list[int]:
+def _cells(piece: str, size: int) -> list[int]:
+    """Counters of a word in a sketch of ``size`` counters a row, behind those of the pairs."""
     h = xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"))
-    return [row * WORD_CELLS + ((h >> (20 * row)) & (WORD_CELLS - 1)) for row in range(WORD_ROWS)]
+    return [PAIR_CELLS + row * size + ((h >> (21 * row)) & (size - 1)) for row in range(WORD_ROWS)]
 
 
 def _pair_cell(a: str, b: str) -> int:
-    return WORD_ROWS * WORD_CELLS + ((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA6B) >> 7) % PAIR_CELLS
+    return ((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA6B) >> 7) % PAIR_CELLS
+
+
+def word_cells(texts: int) -> int:
+    """Counters of a row for a corpus of so many texts."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * texts - 1).bit_length() if texts else 0))
 
 
 def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
     """The frequency sketch of all distinct texts: texts per word piece and per pair of characters, at the end the number of texts."""
-    last = WORD_ROWS * WORD_CELLS + PAIR_CELLS
+    size = word_cells(df.count())
+    last = WORD_ROWS * size + PAIR_CELLS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -115,10 +121,15 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
                 for word in set(words_of(t)):
                     cells = memo.get(word)
                     if cells is None:
-                        cells = [c for p in set(pieces(word)) for c in _cells(p)]
+                        cells = [c for p in set(pieces(word)) for c in _cells(p, size)]
                         level = "".join(pieces(word))
                         cells += [_pair_cell(a, b) for a, b in zip(f"\x02{level}", f"{level}\x03") if a > "\x7f" or b > "\x7f"]
                         cells += [_pair_cell(c, "\x00") for c in set(level) if c > "\x7f"]
+                        if _WIDE.search(word):  # the signs between the runs, with their neighbours
+                            whole = _DIGITS.sub("0", word)
+                            signs = {c for c in whole if c > "\x7f" and _WIDE_BREAK.match(c)}
+                            cells += [_pair_cell(a, b) for a, b in zip(f"\x02{whole}", f"{whole}\x03") if a in signs or b in signs] if signs else []
+                            cells += [_pair_cell(c, "\x00") for c in signs]
                         if len(memo) > 50_000:
                             memo.clear()
                         memo[word] = cells
@@ -209,16 +220,28 @@ def _word_like(text: str) -> bool:
     return bool(runs) and all((r.islower() or r.isupper() or r[0].isupper() and r[1:].islower()) and len({_script(c) for c in r}) == 1 for r in runs)
 
 
+def _text_of(link: tuple) -> str:
+    """The characters of a chain of links, the last one first in it."""
+    out = []
+    while link:
+        link, ch = link
+        out.append(ch)
+    return "".join(reversed(out))
+
+
 class Decoder:
     """The noisy channel: counts of the corpus, channels, and the lattice search."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
+        self.size = (len(counts) - 1 - PAIR_CELLS) // WORD_ROWS
         self.rare = max(GAIN, RARE_SHARE * int(counts[-1]))
         self.maps = _byte_maps()
         self.silent = {enc: sorted(b for ch, b in table.items() if ord(ch) == b and 0x80 <= b < 0xC0 and _undefined(b, enc)) for enc, table in self.maps.items()}
         self.latin = _high_letters("cp1252")
         self.high = {enc: _high_letters(enc) for enc in TRUE_ENCODINGS if enc not in MULTIBYTE}
+        self.known = self._known_characters()
+        self.rows: dict[tuple[str, int], np.ndarray] = {}
         self.memo: dict[str, tuple[str, str]] = {}
         self.sound: set[str] = set()
 
@@ -227,13 +250,25 @@ class Decoder:
     def frequency(self, word: str) -> float:
         """Geometric mean of the document counts of a word's pieces."""
         parts = pieces(word)
-        return math.exp(sum(math.log(min(int(self.counts[c]) for c in _cells(p)) + 0.05) for p in parts) / len(parts))
+        return math.exp(sum(math.log(min(int(self.counts[c]) for c in _cells(p, self.size)) + 0.05) for p in parts) / len(parts))
 
     def _pair(self, a: str, b: str) -> float:
         if a <= "\x7f" and b <= "\x7f":
             return 0.0
         return math.log(int(self.counts[_pair_cell(a, b)]) + 0.02)
 
+    def _known_characters(self) -> dict[bytes, list[str]]:
+        """Characters of the corpus by their UTF-8 bytes without the first, and by the first alone: what may stand where bytes were lost."""
+        out: dict[bytes, list[str]] = {}
+        for block in ((0x80, 0xD800), (0xE000, 0x10000), (0x1F000, 0x1FB00)):
+            codes = np.arange(*block, dtype=np.uint64)
+            cells = ((codes * 0x9E3779B1) >> 7) % PAIR_CELLS
+            for code in codes[self.counts[cells] > 0].tolist():
+                data = chr(code).encode("utf-8")
+                out.setdefault(data[1:], []).append(chr(code))
+                out.setdefault(data[:1], []).append(chr(code))
+        return out
+
     # -- lattices ----------------------------------------------------------------------------------------------------
 
     def _bytes(self, word: str, read_as: str) -> list[int | None] | None:
@@ -262,64 +297,54 @@ class Decoder:
         most = sum(b is not None and b >= 0x80 for b in data) // 2  # a lost byte needs two that were kept
         if not most or not self._gaps_at_most(data, most):
             return None
-        silent = self.silent.get(read_as, [])
-        if len(data) <= LONG:
-            best = sorted(self._search(data, "\x02", silent), reverse=True)[:BEAM]
-            return max(best, key=lambda d: (self.frequency(d[1]), d[0]))[1] if best else None
-        out, last = [], "\x02"
-        parts = list(self._segments(data))
-        for k, part in enumerate(parts):
-            best = max(self._search(part, last, silent, "\x03" if k + 1 == len(parts) else ""), default=None)
-            if best is None:
-                return None
-            out.append(best[1])
-            last = best[1][-1]
-        return "".join(out)
-
-    def _search(self, data: list[int | None], last: str, silent: list[int], end: str = "\x03") -> list[tuple[float, str]]:
-        """Readings of a lattice with their scores; ``silent`` are the bytes the reader has no sign for."""
-        beams: dict[tuple[int, str], tuple[float, str]] = {(0, last): (0.0, "")}
-        done: list[tuple[float, str]] = []
-        options: dict[int, list[tuple[str, int, int]]] = {}
-        while beams:
-            nxt: dict[tuple[int, str], tuple[float, str]] = {}
-            for (i, last), (score, text) in sorted(beams.items(), key=lambda kv: -kv[1][0])[:BEAM]:
-                if i >= len(data):
-                    done.append((score + (self._pair(last, end) if end else 0.0), text))
-                    continue
-                if i not in options:
-                    found = list(self._next(data, i, silent))
-                    options[i] = [o for o in found if int(self.counts[_pair_cell(o[0], "\x00")])] or found if len(found) > 1 else found
-                for ch, j, used in options[i]:
-                    cand = (score + self._pair(last, ch) - 6.0 * used, text + ch)
-                    if (j, ch) not in nxt or cand[0] > nxt[j, ch][0]:
-                        nxt[j, ch] = cand
-            beams = nxt
-        return done
+        best = self._search(data, self.silent.get(read_as, []))
+        return max(best, key=lambda d: (self.frequency(d[1]), d[0]))[1] if best else None
 
-    @staticmethod
-    def _segments(data: list[int | None]) -> Iterator[list[int | None]]:
-        """A long text without blanks in parts that begin with whole characters, each searched in bounded time."""
-        start = 0
-        for i, b in enumerate(data):
-            if i - start >= LONG // 2 and b is not None and not 0x80 <= b < 0xC0:
-                yield data[start:i]
-                start = i
-        yield data[start:]
+    def _search(self, data: list[int | None], silent: list[int]) -> list[tuple[float, str]]:
+        """The ``BEAM`` best readings of a lattice with their scores; ``silent`` are the bytes the reader has no sign for.
+
+        Hypotheses that end at one place in one character are one, and each
+        holds a link to the one before it, so time and memory grow with the
+        length of the word, however long it is.
+        """
+        waiting: dict[int, dict[str, tuple[float, tuple]]] = {0: {"\x02": (0.0, ())}}
+        for i in range(len(data)):
+            here = waiting.pop(i, None)
+            if not here:
+                continue
+            found = list(self._next(data, i, silent))
+            if len(found) > 1:
+                found = [o for o in found if int(self.counts[_pair_cell(o[0], "\x00")])] or found
+            kept = sorted(here.items(), key=lambda kv: -kv[1][0])[:BEAM]
+            for ch, j, used in found:
+                score, link = max(((s + self._pair(last, ch), n) for last, (s, n) in kept), key=lambda x: x[0])
+                at = waiting.setdefault(j, {})
+                score -= 6.0 * used
+                if ch not in at or score > at[ch][0]:
+                    at[ch] = (score, (link, ch))
+        ends = sorted(((s + self._pair(last, "\x03"), n) for last, (s, n) in waiting.get(len(data), {}).items()), key=lambda x: -x[0])[:BEAM]
+        return [(score, _text_of(link)) for score, link in ends]
 
     @staticmethod
     def _gaps_at_most(data: list[int | None], most: int) -> bool:
         """Whether the bytes have the shape of UTF-8 but for so many lost ones: one quick pass before the search."""
-        gaps = need = 0
+        gaps = need = free = 0
         for b in data:
             if b is None:
-                gaps, need = gaps + 1, max(0, need - 1)
+                if need:
+                    need -= 1
+                else:  # a first byte: up to three more may follow
+                    free = 3
+                gaps += 1
             elif 0x80 <= b < 0xC0:
-                if not need:
+                if need:
+                    need -= 1
+                elif free:
+                    free -= 1
+                else:
                     return False
-                need -= 1
             else:
-                gaps, need = gaps + need, 0
+                gaps, need, free = gaps + need, 0, 0
                 if b >= 0xC0:
                     if not 0xC2 <= b <= 0xF4:
                         return False
@@ -333,7 +358,16 @@ class Decoder:
         if b is not None and b < 0x80:
             yield chr(b), i + 1, 0
             return
-        if b is None or not 0xC2 <= b <= 0xF4:
+        if b is None:  # a lost first byte: characters of the corpus whose other bytes stand here
+            tail: list[int] = []
+            for t in data[i + 1 : i + 4]:
+                if t is None or not 0x80 <= t < 0xC0:
+                    break
+                tail.append(t)
+                for ch in self.known.get(bytes(tail), ()):
+                    yield ch, i + 1 + len(tail), 1
+            return
+        if not 0xC2 <= b <= 0xF4:
             return
         need = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
         tail, j = [], i + 1
@@ -347,8 +381,13 @@ class Decoder:
         elif holes == 1:
             fills = [(f,) for f in range(0x80, 0xC0)]
         else:  # several bytes of one character: those the reader has no sign for
-            fills = list(itertools.product(silent, repeat=holes))
+            fills = list(itertools.product(silent, repeat=holes)) if dropped else []
         seen = set()
+        if holes > 1 and not dropped:  # or, where signs stand for them, any character of the corpus that fits
+            for ch in self.known.get(bytes([b]), ()):
+                code = ch.encode("utf-8")
+                if len(code) == need + 1 and all(t is None or t == c for t, c in zip(tail, code[1:])):
+                    yield ch, j, holes
         for at in itertools.combinations(range(need), dropped):  # a byte dropped without a sign may have stood at any place
             rest = iter(tail)
             slots = [None if k in at else next(rest) for k in range(need)]
@@ -365,20 +404,38 @@ class Decoder:
     def _lost_letters(self, word: str, high: list[str] | None = None) -> str | None:
         """Single-byte text read as UTF-8, or with ``high`` in another multibyte encoding: each replacement sign stands for one letter."""
         high = high or self.latin
-        if len(word) > LONG or word.count(LOST) > 8:  # each sign by its two neighbours
-            chars = list(f"\x02{word}\x03")
-            for i, ch in enumerate(chars):
-                if ch == LOST:
-                    chars[i] = max(high, key=lambda c: self._pair(chars[i - 1], c) + self._pair(c, chars[i + 1]))
-            return "".join(chars[1:-1])
-        beams = [(0.0, "\x02")]
-        for ch in word + "\x03":
-            options = high if ch == LOST else (ch,)
-            grown = [(s + self._pair(t[-1], c), t + c) for s, t in beams for c in options]
-            grown.sort(reverse=True)
-            beams = grown[: 4 * BEAM]
-        best = max(beams, key=lambda st: (self.frequency(st[1][1:-1]), st[0]))
-        return best[1][1:-1]
+        scores, last, steps = np.zeros(1), np.array(["\x02"]), []
+        width = 4 * BEAM
+        for ch in f"{word}\x03":
+            options = high if ch == LOST else [ch]
+            names, inverse = np.unique(last, return_inverse=True)
+            grown = scores[:, None] + np.stack([self._row(n, options) for n in names.tolist()])[inverse]
+            flat = grown.ravel()
+            if len(flat) > width:
+                top = np.argpartition(-flat, width - 1)[:width]
+                top = top[np.argsort(-flat[top], kind="stable")]
+            else:
+                top = np.argsort(-flat, kind="stable")
+            parents, letters = np.divmod(top, len(options))
+            scores, last = flat[top], np.array(options)[letters]
+            steps.append((parents, last))
+        texts = []
+        for k in range(min(BEAM, len(scores))):
+            out, at = [], k
+            for parents, letters in reversed(steps):
+                out.append(str(letters[at]))
+                at = parents[at]
+            texts.append(("".join(reversed(out))[:-1], float(scores[k])))
+        return max(texts, key=lambda t: (self.frequency(t[0]), t[1]))[0]
+
+    def _row(self, last: str, options: list[str]) -> np.ndarray:
+        """Log counts of the pairs of a character and each option."""
+        if len(options) == 1:
+            return np.array([self._pair(last, options[0])])
+        row = self.rows.get((last, id(options)))
+        if row is None:
+            row = self.rows[last, id(options)] = np.array([self._pair(last, c) for c in options])
+        return row
 
     def _fill(self, data: list[int | None], true: str) -> str:
         """Single-byte text whose last or undefined bytes a multibyte reader lost, each filled with a letter."""

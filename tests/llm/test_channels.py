@@ -42,3 +42,39 @@ def test_a_damaged_word_may_recur(spark):
 def test_many_lost_bytes_in_a_text_without_blanks(spark, errors):
     texts = [CLEAN[5] * 6, CLEAN[5] * 60]  # 108 and 1,080 characters
     assert restored(spark, [t.encode().decode("cp1252", errors) for t in texts]) == [[t] for t in texts]
+
+
+def test_more_than_eight_lost_letters(spark):
+    text = "Prüflösungsmengenänderungsüberprüfungsausschüsse für Größenänderungen überall"
+    base = [(i, f"{text} {CLEAN[1]} {i}") for i in range(200)]
+    damaged = "".join(w + " " for w in text.split())[:-1].encode("latin-1").decode("utf-8", "replace")
+    assert damaged.split()[0].count("\ufffd") > 4
+    long_word = "ä".join(["Größe", "für", "Lösung", "Säule", "größtenteils", "Auffälligkeiten"])
+    assert long_word.encode("latin-1").decode("utf-8", "replace").count("\ufffd") == 13
+    rows = base + [(300 + i, f"{long_word} {i}") for i in range(50)] + [(1000, damaged), (1001, long_word.encode("latin-1").decode("utf-8", "replace"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restore_documents(df, "doc_id", "text").collect()}
+    assert got == {1000: text, 1001: long_word}
+
+
+def test_lost_first_bytes(spark):
+    """A replacement sign for the first byte of a character; the others still stand."""
+    text = CLEAN[5]
+    data, lost = text.encode(), [3, 12, 24]
+    damaged = "".join("\ufffd" if i in lost else bytes([b]).decode("latin-1") for i, b in enumerate(data))
+    assert restored(spark, [damaged]) == [[text]]
+
+
+@pytest.mark.parametrize("times", [17, 170])
+def test_gaps_in_words_of_any_length(spark, times):
+    """306 and 3,060 characters without a blank, every tenth continuation byte lost: one search."""
+    text = CLEAN[5] * times
+    out, n = [], 0
+    for b in text.encode():
+        n += 0x80 <= b < 0xC0
+        out.append("\ufffd" if 0x80 <= b < 0xC0 and n % 10 == 0 else bytes([b]).decode("latin-1"))
+    assert restored(spark, ["".join(out)]) == [[text]]
+
+
+def test_the_sketch_grows_with_the_corpus():
+    assert mojibake.word_cells(0) == mojibake.word_cells(100_000) == mojibake.LEAST_CELLS < mojibake.word_cells(1_000_000) == mojibake.MOST_CELLS
