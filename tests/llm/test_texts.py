@@ -70,10 +70,40 @@ def test_completion_beats_best_fit():
     rng = random.Random(1)
     sizes = [rng.randint(20, 60) for _ in range(200)]
     assert len(packing.complete(sizes, 100)) < len(packing.best_fit(sizes, 100))
-    assert packing.dominates((5, 5), (5, 3, 2)) and not packing.dominates((5, 4), (5, 5))
     assert packing.complete([], 10) == []
 
 
+def test_fillings_are_the_undominated_ones():
+    """Against all sub-multisets: none that a swap of some items for one larger item within the room improves."""
+    rng = random.Random(7)
+    for _ in range(60):
+        items, slack = sorted(rng.randint(1, 12) for _ in range(rng.randint(1, 7))), rng.randint(1, 25)
+        every = {tuple(sorted((items[i] for i in c), reverse=True)) for n in range(len(items) + 1) for c in itertools.combinations(range(len(items)), n)}
+        fits = [f for f in every if sum(f) <= slack]
+
+        def swapped(f):
+            left = list(items)
+            for x in f:
+                left.remove(x)
+            room = slack - sum(f)
+            for n in range(len(f) + 1):
+                for c in itertools.combinations(f, n):
+                    if any(sum(c) <= x <= sum(c) + room and c != (x,) for x in left):
+                        return True
+            return False
+
+        got = list(packing.fillings(packing.Stock(items), slack))
+        assert sorted(got) == sorted(f for f in fits if not swapped(f)) and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_lower_bound():
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 7))]
+        assert packing.lower_bound(sizes, 20) <= fewest(sizes, 20)
+    assert packing.lower_bound([11] * 5, 20) == 5
+
+
 def test_packing_in_spark(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ITEMS", 300)
     rng = random.Random(2)
