@@ -32,10 +32,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_measured("NormIntensity") & F.col("ProteinName").isNotNull() & ~is_missing("SampleID") & F.col("PeptideCanonical").isNotNull()
     )
     top = topn.top_items(rows, ["ProteinName", "SampleID"], "PeptideCanonical", "NormIntensity", "peptide_row_id", 4)
-    size = F.max("place").over(W.partitionBy("g"))  # at most four rows a group
+    size = F.max("place").over(W.partitionBy(*topn.G))  # at most four rows a group
     return top.withColumn("size", size).where("size > 3 AND place <= 3").select(F.col("id").alias("peptide_row_id"))
 
 
+@R.add("p3_skipping")
+def p3_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups read and skipped for the three best peptides of each protein, file by file."""
+    rows = table(spark, sf_dir, "peptide").where(is_measured("NormIntensity") & F.col("ProteinName").isNotNull() & F.col("PeptideCanonical").isNotNull())
+    return topn.skipping(spark, topn.cluster(rows, ["ProteinName"], "PeptideCanonical", "NormIntensity", "peptide_row_id"), 3)
+
+
 def _intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "peptide").where(is_measured("NormIntensity") & ~is_missing("SampleID"))
 
