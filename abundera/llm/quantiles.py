@@ -24,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abundera.functions.values import is_measured
 from abundera.operators.heavy import salted
 
 MANTISSA = 10
-BITS = 11 + MANTISSA
-EXACT_BITS = 11
+MAGNITUDE_BITS = 11 + MANTISSA
+BITS = 1 + MAGNITUDE_BITS
+EXACT_BITS = 12
 WIDTH_BITS = 8
 WIDTH = 1 << WIDTH_BITS
 DEPTH = 5
 LEVELS = BITS - EXACT_BITS
 CELLS = (1 << EXACT_BITS) + LEVELS * DEPTH * WIDTH
 RANK_ERROR = 0.015
+#: Distinct codes up to which a sketch keeps them themselves with their counts, which is exact.
+SMALL = 512
 #: No task builds a sketch from much more than this share of all rows.
 TASK_SHARE = 0.001
 
@@ -54,13 +56,19 @@ _ROWS = (np.arange(DEPTH, dtype=np.int64) * WIDTH).reshape(DEPTH, 1)
 
 
 def encode(values: np.ndarray) -> np.ndarray:
-    """Order-preserving codes of positive finite doubles."""
-    return np.asarray(values, dtype=np.float64).view(np.int64) >> (52 - MANTISSA)
+    """Order-preserving codes of finite doubles: sign, exponent and the first bits of the mantissa; -0 as 0."""
+    v = np.asarray(values, dtype=np.float64)
+    size = np.abs(v).view(np.int64) >> (52 - MANTISSA)
+    return np.where(v < 0, (1 << MAGNITUDE_BITS) - 1 - size, (1 << MAGNITUDE_BITS) + size)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    """Middle of each code's interval."""
-    return ((np.asarray(codes, dtype=np.int64) << (52 - MANTISSA)) | (1 << (51 - MANTISSA))).view(np.float64)
+    """Middle of each code's interval; 0 for the one around 0."""
+    codes = np.asarray(codes, dtype=np.int64)
+    below = codes < 1 << MAGNITUDE_BITS
+    size = np.where(below, (1 << MAGNITUDE_BITS) - 1 - codes, codes - (1 << MAGNITUDE_BITS))
+    middle = np.where(size > 0, ((size << (52 - MANTISSA)) | (1 << (51 - MANTISSA))).view(np.float64), 0.0)
+    return np.where(below, -middle, middle)
 
 
 def _cells(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +79,51 @@ def _cells(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class DyadicSketch:
-    """Counters of all levels in one array: the exact level first, then the sketched ones from coarse to fine."""
+    """Counters of all levels in one array: the exact level first, then the sketched ones from coarse to fine.
 
-    __slots__ = ("cells",)
+    As long as it has seen at most ``SMALL`` distinct codes it holds these with
+    their counts instead; the counters are a sum over codes, so it can turn to
+    them at any time.
+    """
+
+    __slots__ = ("cells", "codes", "counts")
 
-    def __init__(self, cells: np.ndarray | None = None) -> None:
-        self.cells = np.zeros(CELLS, dtype=np.int64) if cells is None else cells
+    def __init__(self) -> None:
+        self.cells: np.ndarray | None = None
+        self.codes, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     @property
     def n(self) -> int:
-        return int(self.cells[: 1 << EXACT_BITS].sum())
+        return int(self.counts.sum() if self.cells is None else self.cells[: 1 << EXACT_BITS].sum())
 
     def _level(self, level: int) -> np.ndarray:
         at = (1 << EXACT_BITS) + level * DEPTH * WIDTH
         return self.cells[at : at + DEPTH * WIDTH]
 
+    def dense(self) -> np.ndarray:
+        """The counters, which the sketch holds from now on."""
+        if self.cells is None:
+            self.cells = np.zeros(CELLS, dtype=np.int64)
+            codes, counts = self.codes, self.counts
+            self.codes = self.counts = np.zeros(0, dtype=np.int64)
+            self._count(codes, counts)
+        return self.cells
+
     def add(self, codes: np.ndarray, weight: int = 1) -> None:
         """Add (weight 1) or delete (weight -1) encoded values."""
-        if not len(codes):
+        if len(codes):
+            codes, counts = np.unique(codes, return_counts=True)
+            self._count(codes, counts * weight)
+
+    def _count(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        if self.cells is None:
+            self.codes, at = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+            both = np.concatenate([self.counts, counts])
+            self.counts = np.zeros(len(self.codes), dtype=np.int64)
+            np.add.at(self.counts, at, both)
+            if len(self.codes) > SMALL:
+                self.dense()
             return
-        codes, counts = np.unique(codes, return_counts=True)
-        counts = counts * weight
         np.add.at(self.cells, codes >> (BITS - EXACT_BITS), counts)
         for level in range(LEVELS):
             keys = codes >> (LEVELS - 1 - level)
@@ -99,7 +131,12 @@ class DyadicSketch:
             self._level(level)[:] += np.bincount(place.ravel(), weights=(sign * counts[None, :]).ravel(), minlength=DEPTH * WIDTH).astype(np.int64)
 
     def merge(self, other: "DyadicSketch") -> None:
-        self.cells += other.cells
+        if other.cells is None:
+            if len(other.codes):
+                self._count(other.codes, other.counts)
+        else:
+            self.dense()
+            self.cells += other.cells
 
     def estimate(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Estimated rows under each key of a sketched level: the median over the signed counters."""
@@ -111,7 +148,9 @@ class DyadicSketch:
         n, p = self.n, np.atleast_1d(np.asarray(p, dtype=np.float64))
         if n <= 0:
             return np.full(len(p), np.nan)
-        rank = p * (n - 1) + 1
+        rank = np.floor(p * (n - 1) + 0.5) + 1  # the row nearest to the share
+        if self.cells is None:
+            return decode(self.codes[np.searchsorted(np.cumsum(self.counts), rank - 1e-9)])
         total = np.cumsum(self.cells[: 1 << EXACT_BITS])
         key = np.searchsorted(total, rank - 1e-9)
         mass = self.cells[key].astype(np.float64)
@@ -128,13 +167,21 @@ class DyadicSketch:
         return decode(key)
 
     def to_bytes(self) -> bytes:
+        if self.cells is None:
+            return b"\0" + self.codes.astype(np.int32).tobytes() + self.counts.tobytes()
         small = self.cells.astype(np.int32) if np.abs(self.cells).max(initial=0) < 2**31 else self.cells
         return bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "DyadicSketch":
-        kind = np.int32 if data[0] == 4 else np.int64
-        return cls(np.frombuffer(zlib.decompress(data[1:]), dtype=kind).astype(np.int64))
+        out = cls()
+        if not data[0]:
+            n = (len(data) - 1) // 12
+            out.codes = np.frombuffer(data, dtype=np.int32, count=n, offset=1).astype(np.int64)
+            out.counts = np.frombuffer(data[1 + 4 * n :], dtype=np.int64).copy()
+        else:
+            out.cells = np.frombuffer(zlib.decompress(data[1:]), dtype=np.int32 if data[0] == 4 else np.int64).astype(np.int64)
+        return out
 
 
 def _runs(keys: list) -> Iterator[tuple[object, int, int]]:
@@ -148,15 +195,15 @@ def _runs(keys: list) -> Iterator[tuple[object, int, int]]:
 def build_sketches(df: DataFrame, key: str, value: str, spread: Column, weight: str | None = None) -> DataFrame:
     """``(key, n, sketch)``: partial sketches of each key, one a task that held part of it.
 
-    Only positive finite values count; null, NaN, infinite and other values are
-    left out, a null key is a key of its own.  Rows arrive sorted by key, so a
+    Finite values of any sign count; null, NaN and infinite ones are left out, a
+    null key is a key of its own.  Rows arrive sorted by key, so a
     task holds one sketch at a time whatever the size of the group; keys with
     many rows are spread by ``spread`` (a hash of stable columns).  ``weight``
     names a column of 1 and -1 for additions and deletions; other weights are
     left out.  An empty table gives no row.
     """
     w = F.col(weight).cast("int") if weight else F.lit(1)
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w"), spread.alias("spread")).where(is_measured("v"))
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w"), spread.alias("spread")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     spreadout = salted(rows, "k", F.col("spread"), TASK_SHARE, "salt").select("k", "salt", "v", "w")
     ordered = spreadout.repartition("k", "salt").sortWithinPartitions("k")
 

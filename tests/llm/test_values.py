@@ -133,16 +133,39 @@ def test_merging_and_deleting_are_exact():
     more = quantiles.DyadicSketch()
     more.add(b)
     parts.merge(quantiles.DyadicSketch.from_bytes(more.to_bytes()))
-    assert np.array_equal(whole.cells, parts.cells)
+    assert np.array_equal(whole.dense(), parts.dense())
     whole.add(b, -1)
     less.add(a)
-    assert np.array_equal(whole.cells, less.cells) and np.isnan(quantiles.DyadicSketch().quantile(SHARES)).all()
+    assert np.array_equal(whole.dense(), less.dense()) and np.isnan(quantiles.DyadicSketch().quantile(SHARES)).all()
 
 
-def test_sketches_leave_out_what_is_not_measured(spark):
-    df = spark.createDataFrame([("a", v, i) for i, v in enumerate([None, 0.0, -1.0, float("nan"), float("inf"), 8.0])] + [(None, 2.0, 9)], "k string, v double, id long")
-    got = {r["k"]: (r["n"], r["m"]) for r in quantiles.percentiles(quantiles.build_sketches(df, "k", "v", F.xxhash64("id")), "k", [0.5], ["m"]).collect()}
-    assert got["a"][0] == 1 and got["a"][1] == pytest.approx(8.0, rel=1e-3) and got[None][0] == 1
+def test_signed_values_and_small_sketches():
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(0, 100, 30_000), np.zeros(3000), [-0.0]])
+    s = quantiles.DyadicSketch()
+    s.add(quantiles.encode(v))
+    got, ordered = s.quantile(SHARES), np.sort(v)
+    for p, x in zip(SHARES, got):
+        slack = abs(x) * 0.0007 + 1e-300
+        lo, hi = np.searchsorted(ordered, x - slack, "left") / len(v), np.searchsorted(ordered, x + slack, "right") / len(v)
+        assert lo - quantiles.RANK_ERROR <= p <= hi + quantiles.RANK_ERROR
+    few = rng.normal(0, 1, 400)
+    exact = quantiles.DyadicSketch()
+    exact.add(quantiles.encode(few))
+    assert exact.cells is None and exact.quantile(SHARES) == pytest.approx(np.quantile(few, SHARES, method="nearest"), rel=6e-4, abs=0.05)
+    again = quantiles.DyadicSketch.from_bytes(exact.to_bytes())
+    again.add(quantiles.encode(few), -1)
+    assert len(exact.to_bytes()) < 5000 and again.n == 0 and np.isnan(again.quantile(SHARES)).all()
+    s.merge(exact)
+    both = quantiles.DyadicSketch()
+    both.add(quantiles.encode(np.concatenate([v, few])))
+    assert np.array_equal(s.dense(), both.dense()) and quantiles.decode(quantiles.encode(np.array([0.0, -0.0, -8.0]))) == pytest.approx([0, 0, -8], rel=6e-4)
+
+
+def test_sketches_leave_out_what_is_no_number(spark):
+    df = spark.createDataFrame([("a", v, i) for i, v in enumerate([None, 0.0, -1.0, float("nan"), float("inf"), float("-inf"), 8.0])] + [(None, 2.0, 9)], "k string, v double, id long")
+    got = {r["k"]: (r["n"], r["m"]) for r in quantiles.percentiles(quantiles.build_sketches(df, "k", "v", F.xxhash64("id")), "k", [1.0], ["m"]).collect()}
+    assert got["a"][0] == 3 and got["a"][1] == pytest.approx(8.0, rel=1e-3) and got[None][0] == 1
 
 
 def test_sketches_in_spark(spark):
