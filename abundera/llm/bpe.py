@@ -23,8 +23,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 60
-#: Pieces kept with their ids in each worker.
-MEMO = 400_000
+#: Bytes of pieces and ids that a task remembers.
+MEMO_BYTES = 64 << 20
 
 
 def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> bytes:
@@ -66,6 +66,7 @@ class Encoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.split = regex.compile(PATTERN).findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
@@ -106,9 +107,14 @@ class Encoder:
         for piece in self.split(text):
             ids = memo.get(piece)
             if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[piece] = self.merge(piece.encode("utf-8", "replace"))
+                ids = self.merge(piece.encode("utf-8", "replace"))
+                size = 200 + 4 * len(piece) + 8 * len(ids)
+                if size <= MEMO_BYTES // 1000:
+                    self.held += size
+                    if self.held > MEMO_BYTES:
+                        memo.clear()
+                        self.held = size
+                    memo[piece] = ids
             out += ids
         return out
 

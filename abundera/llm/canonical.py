@@ -3,9 +3,9 @@
 Distinct values are matched once each, against a trie of the reference terms
 with their synonyms and codes as alias paths.  A value is tried, in this order,
 as a code, as an exact path after normalisation (case, accents, width,
-separators, plural, word order, lost blanks), as exact paths inside a longer
-text, and by the Levenshtein automaton within a distance that grows with the
-entry's length.  Two different targets at the same rank mean none: the value is
+separators, plural, word order, lost blanks: all of them paths of the trie), as
+exact paths inside a longer text, and by the Levenshtein automaton within a
+distance that grows with the entry's length.  Two different targets at the same rank mean none: the value is
 reported as unmatched.
 """
 
@@ -45,57 +45,62 @@ def alias_distance(key: str) -> int:
     return 0 if len(key) <= 5 else 1 if len(key) <= 13 else 2
 
 
+SORTED, GLUED, PLURAL, CODE = "sorted", "glued", "plural", "code"
+
+
 class Reference:
-    """The entries of one field."""
+    """The entries of one field: one trie of terms and synonyms, with alias paths for other orders of words, lost blanks, plurals and codes."""
 
     def __init__(self, rows: list[tuple[int, str, str | None, list[str] | None]]) -> None:
-        self.exact: dict[str, set[int]] = {}
-        self.codes: dict[str, int] = {}
         self.limit: dict[str, int] = {}
+        paths: list[tuple[str, int, str]] = []
+        codes: dict[str, int] = {}
         for target, term, code, synonyms in sorted(rows, key=lambda r: r[0]):
             for text, limit in [(term, term_distance), *((s, alias_distance) for s in synonyms or () if s)]:
                 key = plain(text)
                 if key:
-                    self.exact.setdefault(key, set()).add(target)
+                    paths += [(key, target, Trie.ENTRY), (" ".join(sorted(key.split())), target, SORTED), (key.replace(" ", ""), target, GLUED), (f"{key}s", target, PLURAL)]
                     self.limit[key] = max(self.limit.get(key, 0), limit(key))
             if code:
-                self.codes[plain(code)] = target
-        self.trie = Trie((k, t) for k, targets in self.exact.items() for t in targets)
-        self.sorted_words: dict[str, set[int]] = {}
-        self.glued: dict[str, set[int]] = {}
-        for k, targets in self.exact.items():
-            self.sorted_words.setdefault(" ".join(sorted(k.split())), set()).update(targets)
-            self.glued.setdefault(k.replace(" ", ""), set()).update(targets)
-        self.longest = max((len(k.split()) for k in self.exact), default=0)
-        self.code_parts = sorted({c.split()[0] for c in self.codes if c})
+                codes[plain(code)] = target
+        self.trie = Trie(paths + [(k, t, CODE) for k, t in codes.items() if k])
+        self.most = max(self.limit.values(), default=0)
 
     def _one(self, targets: set[int]) -> int | None:
         return next(iter(targets)) if len(targets) == 1 else None
 
     def _by_code(self, words: list[str]) -> set[int]:
-        return {self.codes[k] for k in (" ".join(words[i : i + n]) for n in (1, 2) for i in range(len(words))) if k in self.codes}
+        return {t for n in (1, 2) for i in range(len(words) - n + 1) for t in self.trie.find(" ".join(words[i : i + n]), CODE)}
 
     def _whole(self, key: str) -> set[int]:
-        for table, k in ((self.exact, key), (self.sorted_words, " ".join(sorted(key.split()))), (self.glued, key.replace(" ", ""))):
-            if k in table:
-                return table[k]
-        if key.endswith("s") and key[:-1] in self.exact:
-            return self.exact[key[:-1]]
-        return set()
+        paths = ((key, Trie.ENTRY), (" ".join(sorted(key.split())), SORTED), (key.replace(" ", ""), GLUED), (key, PLURAL))
+        return next((found for k, kind in paths if (found := self.trie.find(k, kind))), set())
 
     def _inside(self, words: list[str]) -> set[int]:
         """Targets of the exact entries inside a longer text, longest first, without overlap."""
         if NEGATIONS & set(words):
             return set()
-        free, found = [True] * len(words), set()
-        for n in range(min(self.longest, len(words)), 0, -1):
-            for i in range(len(words) - n + 1):
-                window = " ".join(words[i : i + n])
-                hit = self.exact.get(window) or (self.exact.get(window[:-1]) if window.endswith("s") else None)
-                if hit and all(free[i : i + n]) and len(window) > 2:
-                    found |= hit
-                    free[i : i + n] = [False] * n
-        return found
+        text, starts = " ".join(words), [0]
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
+        place = {at: i for i, at in enumerate(starts)}
+        hits = []
+        for i, start in enumerate(starts[:-1]):
+            found: dict[int, set[int]] = {}
+            for kind in (PLURAL, Trie.ENTRY):  # an entry goes before the plural of another
+                found.update(self.trie.prefixes(text, start, kind))
+            hits += [(place[end + 1] - i, i, targets) for end, targets in found.items() if end + 1 in place and end - start > 2]
+        free, out = [True] * len(words), set()
+        for n, i, targets in sorted(hits, key=lambda h: (-h[0], h[1])):
+            if all(free[i : i + n]):
+                out |= targets
+                free[i : i + n] = [False] * n
+        return out
+
+    def candidates(self, text: str) -> list[tuple[int, str, int]]:
+        """All ``(distance, entry, target)`` within the distance that the entry's length allows, nearest first."""
+        wider = self.trie.within(text, self.most + 1, lambda k: self.limit[k] + 1)  # a letter between two swapped ones takes the automaton one edit more
+        return sorted(w for w in ((edits(text, k), k, t) for _, k, t in wider) if w[0] <= self.limit[w[1]])
 
     def match(self, value: str) -> int:
         """The target the value means, or ``UNMATCHED``."""
@@ -108,10 +113,7 @@ class Reference:
             if found:
                 return self._one(found) or UNMATCHED
         text = plain(named.group(1)) if named else key
-        near = self.trie.within(text, 2, self.limit.__getitem__)
-        if not near:  # a letter between two swapped ones takes the automaton three edits
-            wider = [(edits(text, k), k, t) for _, k, t in self.trie.within(text, 3, lambda k: self.limit[k] + 1)]
-            near = sorted(w for w in wider if w[0] <= self.limit[w[1]])
+        near = self.trie.within(text, self.most, self.limit.__getitem__) or self.candidates(text)
         if near:
             best = {t for d, _, t in near if d == near[0][0]}
             return self._one(best) or UNMATCHED
@@ -147,9 +149,25 @@ def match_values(values: DataFrame, references: dict[str, Reference], target: st
     return pairs.mapInArrow(scan, f"field_name string, value string, {target} long")
 
 
+def near_entries(values: DataFrame, references: dict[str, Reference], target: str = "term_id") -> DataFrame:
+    """``(field_name, value, entry, distance)`` and the id of all entries within the length-dependent distance of each distinct value."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (f, v, entry, d, t) for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if f in references
+                for d, entry, t in references[f].candidates(plain(v))
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["field_name", "value", "entry", "distance", target])
+
+    pairs = values.where(F.col("value").isNotNull()).select("field_name", "value").distinct()
+    return pairs.mapInArrow(scan, f"field_name string, value string, entry string, distance int, {target} long")
+
+
 def map_rows(rows: DataFrame, terms: DataFrame, references: dict[str, Reference] | None = None) -> DataFrame:
     """``rows`` of ``(row id.., field_name, value)`` with the ``term_id`` of each value that is no term letter for letter."""
     references = references or load_references(terms)
     known = terms.select(F.col("field_name"), F.col("term").alias("value")).where("value IS NOT NULL").distinct()
-    odd = rows.where(F.col("value").isNotNull()).join(F.broadcast(known), ["field_name", "value"], "left_anti")
+    odd = rows.where(F.col("value").isNotNull()).join(known, ["field_name", "value"], "left_anti")
     return odd.join(match_values(odd, references), ["field_name", "value"])

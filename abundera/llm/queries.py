@@ -17,12 +17,21 @@ SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 SHARE_NAMES = ["p05", "p25", "p50", "p75", "p95", "p99"]
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ", ".join(f"'{f}', `characteristics[{f}]`" for f in CHARACTERISTICS)
+    return table(spark, sf_dir, "sdrf").selectExpr("sdrf_row_id", f"stack({len(CHARACTERISTICS)}, {fields}) AS (field_name, value)").where(~is_missing("value"))
+
+
 @R.add("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The term that each freely typed characteristic means, or -1."""
-    fields = ", ".join(f"'{f}', `characteristics[{f}]`" for f in CHARACTERISTICS)
-    rows = table(spark, sf_dir, "sdrf").selectExpr("sdrf_row_id", f"stack({len(CHARACTERISTICS)}, {fields}) AS (field_name, value)").where(~is_missing("value"))
-    return canonical.map_rows(rows, table(spark, sf_dir, "term_list")).select("sdrf_row_id", "field_name", "term_id")
+    return canonical.map_rows(_typed(spark, sf_dir), table(spark, sf_dir, "term_list")).select("sdrf_row_id", "field_name", "term_id")
+
+
+@R.add("p2_near_entries")
+def p2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within the length-dependent distance of every distinct value."""
+    return canonical.near_entries(_typed(spark, sf_dir), canonical.load_references(table(spark, sf_dir, "term_list")))
 
 
 @R.add("p3_found")

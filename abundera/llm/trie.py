@@ -6,19 +6,23 @@ from collections.abc import Iterable
 
 
 class Trie:
-    """Keys that lead to sets of targets; aliases are paths of their own to the same target."""
+    """Reference entries and their alias paths: ``(key, target)`` or ``(key, target, kind)``, each kind below a root of its own."""
 
-    __slots__ = ("nodes", "ends", "keys")
+    ENTRY = ""
 
-    def __init__(self, entries: Iterable[tuple[str, int]] = ()) -> None:
+    def __init__(self, entries) -> None:
         self.nodes: list[dict[str, int]] = [{}]
+        self.roots: dict[str, int] = {self.ENTRY: 0}
         self.ends: dict[int, set[int]] = {}
         self.keys: dict[int, str] = {}
-        for key, target in entries:
-            self.add(key, target)
-
-    def add(self, key: str, target: int) -> None:
-        at = 0
+        for key, target, *kind in entries:
+            self._insert(key, target, kind[0] if kind else self.ENTRY)
+
+    def _insert(self, key: str, target: int, kind: str) -> None:
+        at = self.roots.get(kind)
+        if at is None:
+            at = self.roots[kind] = len(self.nodes)
+            self.nodes.append({})
         for ch in key:
             nxt = self.nodes[at].get(ch)
             if nxt is None:
@@ -29,6 +33,26 @@ class Trie:
         self.ends.setdefault(at, set()).add(target)
         self.keys[at] = key
 
+    def find(self, key: str, kind: str = ENTRY) -> set[int]:
+        """Targets of the path that spells the key exactly."""
+        at = self.roots.get(kind)
+        for ch in key:
+            if at is None:
+                return set()
+            at = self.nodes[at].get(ch)
+        return self.ends.get(at, set()) if at is not None else set()
+
+    def prefixes(self, text: str, start: int, kind: str = ENTRY) -> list[tuple[int, set[int]]]:
+        """``(end, targets)`` of all paths that spell a part of the text from ``start``."""
+        at, out = self.roots.get(kind), []
+        for i in range(start, len(text)):
+            at = self.nodes[at].get(text[i]) if at is not None else None
+            if at is None:
+                break
+            if at in self.ends:
+                out.append((i + 1, self.ends[at]))
+        return out
+
     def within(self, word: str, limit: int, allowed) -> list[tuple[int, str, int]]:
         """All ``(distance, key, target)`` whose distance is at most ``limit`` and ``allowed(key)``."""
         auto = LevenshteinAutomaton(word, limit)

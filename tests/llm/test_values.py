@@ -184,3 +184,14 @@ def test_sketches_in_spark(spark):
     gone = quantiles.percentiles(quantiles.merge_sketches(quantiles.build_sketches(signed, "sample", "v", F.xxhash64("id"), "w"), "sample"), "sample", [0.5], ["m"])
     assert gone.where("sample = 'b'").first()["n"] == 0 and gone.where("sample = 'b'").first()["m"] is None
     assert quantiles.merge_sketches(quantiles.build_sketches(df.limit(0), "sample", "v", F.xxhash64("id")), "sample").count() == 0
+
+
+def test_all_entries_within_the_distance():
+    """Against the edit distance to every entry."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abc", k=rng.randint(2, 9))) for _ in range(60)]
+    ref = canonical.Reference([(i, w, None, None) for i, w in enumerate(words, 1)])
+    for _ in range(60):
+        text = "".join(rng.choices("abc", k=rng.randint(2, 9)))
+        want = {(edits(text, w), w, i) for i, w in enumerate(words, 1) if edits(text, w) <= canonical.term_distance(w)}
+        assert set(ref.candidates(text)) == want
