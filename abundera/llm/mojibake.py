@@ -26,7 +26,7 @@ import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,7 @@ TWICE = frozenset({"cp1252", "latin-1"})
 MULTIBYTE = frozenset({"utf-8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr"})
 
 _DIGITS = re.compile(r"[0-9]+")
-_ODD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_BLANKS = re.compile("([ \t\r\n]+)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NO_LETTER = re.compile(r"[^\w\x00-\x7f]")
 _CONTROL = re.compile("[\x80-\x9f]")
@@ -72,7 +72,12 @@ _WIDE_BREAK = re.compile("[\x00-\x7f　-〄〈-〿＀-／：-＠°]+")
 
 def words_of(text: str) -> list[str]:
     """Runs without ASCII white space that hold a character outside ASCII."""
-    return _ODD.findall(text)
+    return [w for w in _BLANKS.split(text) if not w.isascii()]
+
+
+def replace_words(text: str, fix) -> str:
+    """The text with each such run replaced by what ``fix`` makes of it."""
+    return "".join([w if w.isascii() else fix(w) for w in _BLANKS.split(text)])
 
 
 def pieces(word: str) -> list[str]:
@@ -240,7 +245,6 @@ class Decoder:
         self.silent = {enc: sorted(b for ch, b in table.items() if ord(ch) == b and 0x80 <= b < 0xC0 and _undefined(b, enc)) for enc, table in self.maps.items()}
         self.latin = _high_letters("cp1252")
         self.high = {enc: _high_letters(enc) for enc in TRUE_ENCODINGS if enc not in MULTIBYTE}
-        self.known = self._known_characters()
         self.rows: dict[tuple[str, int], np.ndarray] = {}
         self.memo: dict[str, tuple[str, str]] = {}
         self.sound: set[str] = set()
@@ -257,7 +261,8 @@ class Decoder:
             return 0.0
         return math.log(int(self.counts[_pair_cell(a, b)]) + 0.02)
 
-    def _known_characters(self) -> dict[bytes, list[str]]:
+    @cached_property
+    def known(self) -> dict[bytes, list[str]]:
         """Characters of the corpus by their UTF-8 bytes without the first, and by the first alone: what may stand where bytes were lost."""
         out: dict[bytes, list[str]] = {}
         for block in ((0x80, 0xD800), (0xE000, 0x10000), (0x1F000, 0x1FB00)):
@@ -514,7 +519,8 @@ class Decoder:
         for channel, text, strict in self.candidates(word):
             if text not in seen:
                 seen[text] = self.frequency(text)
-            ok = seen[text] > (RARE_GAIN if self._trivial(word, text, channel) else GAIN) * max(own, 0.5)
+            ratio = seen[text] / max(own, 0.5)
+            ok = ratio > GAIN and (ratio > RARE_GAIN or not self._trivial(word, text, channel))
             if not ok and channel.split(">")[-1] not in MULTIBYTE:
                 foreign = sum(c > "\x7f" for c in text)
                 if strict:
@@ -572,26 +578,25 @@ class Decoder:
         """The text with its damaged words restored, and the channels met."""
         channels: list[str] = []
 
-        def fix(m: re.Match) -> str:
-            found = self.restore(m.group())
+        def fix(word: str) -> str:
+            found = self.restore(word)
             if found is None:
-                return m.group()
+                return word
             channels.append(found[0])
             return found[1]
 
-        fixed = _ODD.sub(fix, text)
+        fixed = replace_words(text, fix)
         if channels:  # words that were no evidence alone follow the channels proven in this text
             proven = set(channels)
 
-            def follow(m: re.Match) -> str:
-                word = m.group()
+            def follow(word: str) -> str:
                 own, options = self.frequency(word), []
                 for channel, t, strict in self.candidates(word, only=proven):
                     if channel in proven and LOST not in t and (strict or self.frequency(t) > own or self._narrow(channel) and _MIXED.search(word) and _word_like(t)):
                         options.append((self.frequency(t), self._typical(t), t))
                 return max(options)[2] if options else word
 
-            fixed = _ODD.sub(follow, fixed)
+            fixed = replace_words(fixed, follow)
         return fixed, channels
 
 
