@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundera.functions.values import is_measured
-from abundera.session import collect_bounded
+from abundera.session import collect_bounded, materialize
 
 #: Whole-matrix steps work on the collapsed matrix only; more cells are refused.
 MAX_CELLS = 50_000_000
 #: Tables of one row a sample may come to the driver up to this length.
 MAX_SAMPLES = 100_000
+#: Partial sums that come to the driver in one pass.
+MAX_PARTS = 64
 
 
 def sample_prefix(col: Column | str) -> Column:
@@ -189,22 +194,65 @@ def combat_long(long: DataFrame, batches: DataFrame, **options) -> DataFrame:
     return fixed.unionByName(long.join(complete, "protein", "left_anti").select("protein", "sample", "value"))
 
 
-def pca_scores(long: DataFrame, n_components: int = 2) -> DataFrame:
-    """``(sample, component, score)``: principal components of the samples over complete entities (log2)."""
-    n = long.agg(F.count_distinct("sample").alias("n")).scalar()
-    v = long.where(is_measured("value")).withColumn("value", F.log2("value"))
-    complete = v.groupBy("protein").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).select("protein")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="sample", columns="protein", values="value").sort_index(axis=0).sort_index(axis=1)
-        x = wide.to_numpy(float)
-        u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        k = min(n_components, len(s))
-        u = u * np.sign(u[np.abs(u).argmax(axis=0), range(u.shape[1])])  # the largest score of a component is positive
-        score = u[:, :k] * s[:k]
-        return pd.DataFrame({"sample": np.repeat(wide.index.to_numpy(), k), "component": np.tile(np.arange(1, k + 1), len(x)), "score": score.ravel()})
+def pca_scores(long: DataFrame, n_components: int = 2, tol: float = 1e-9) -> DataFrame:
+    """``(sample, component, score)``: principal components of the samples over complete entities (log2).
 
-    return v.join(complete, "protein", "left_semi").select("protein", "sample", "value").groupBy().applyInPandas(run, "sample string, component int, score double")
+    Block Krylov iteration on the samples' Gram matrix, which is never formed: a
+    pass over the entities (one array of all samples each, written once) adds up
+    products with a thin block, so a task holds one entity at a time and the
+    driver some vectors of one number a sample.  The largest score of a
+    component is positive; without a complete entity there is no row.
+    """
+    spark = long.sparkSession
+    v = long.where(is_measured("value")).select("protein", "sample", F.log2("value").alias("y"))
+    names = sorted(r["sample"] for r in collect_bounded(v.select("sample").distinct(), MAX_SAMPLES, "samples"))
+    n = len(names)
+    lists = v.groupBy("protein").agg(F.array_sort(F.collect_list(F.struct("sample", "y"))).alias("l")).where(F.size("l") == n)
+    rows = materialize(lists.select(F.transform("l", lambda e: e["y"]).alias("x")), "entities").coalesce(MAX_PARTS)
+    block = min(n, n_components + 8)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(q.shape)
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, n)
+                    x = x - x.mean(axis=1, keepdims=True)
+                    total += x.T @ (x @ q)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["t"])
+
+        parts = rows.mapInArrow(scan, "t array<double>").collect()
+        return np.sum([np.array(r["t"]) for r in parts], axis=0).reshape(q.shape) if parts else np.zeros(q.shape)
+
+    def centred(q: np.ndarray) -> np.ndarray:
+        return q - q.mean(axis=0)
+
+    schema = "sample string, component int, score double"
+    if not n or not rows.limit(1).count():
+        return spark.createDataFrame([], schema)
+    q = np.linalg.qr(centred(np.random.default_rng(0).normal(size=(n, block))))[0]
+    basis, images, vectors, values = np.zeros((n, 0)), np.zeros((n, 0)), q, np.zeros(0)
+    for _ in range(60):
+        q = q - basis @ (basis.T @ q)
+        q, r = np.linalg.qr(q - basis @ (basis.T @ q))
+        q = q[:, np.abs(np.diag(r)) > 1e-12]
+        if not q.shape[1]:
+            break
+        basis, images = np.hstack([basis, q]), np.hstack([images, centred(product(q))])
+        inner = basis.T @ images
+        values, vectors_in = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-values)[:block]
+        values, vectors_in = values[order], vectors_in[:, order]
+        vectors = basis @ vectors_in
+        k = min(n_components, len(values))
+        gap = images @ vectors_in[:, :k] - vectors[:, :k] * values[:k]
+        if np.linalg.norm(gap) <= tol * max(values[0], 1e-300) or basis.shape[1] >= n - 1:
+            break
+        q = images[:, -q.shape[1] :]
+    k = min(n_components, len(values))
+    u = vectors[:, :k] * np.sign(vectors[np.abs(vectors[:, :k]).argmax(axis=0), range(k)])
+    score = u * np.sqrt(np.maximum(values[:k], 0))
+    return spark.createDataFrame([(s, j + 1, float(score[i, j])) for i, s in enumerate(names) for j in range(k)], schema)
 
 
 def hdbscan(points: np.ndarray, min_samples: int = 3, min_cluster_size: int = 3) -> np.ndarray:
@@ -294,7 +342,7 @@ def outlier_samples(long: DataFrame, rounds: int = 5, min_samples: int = 3) -> l
     gone: list[str] = []
     for _ in range(rounds):
         left = long.where(~F.col("sample").isin(*gone)) if gone else long
-        scores = pca_scores(left).groupBy("sample").pivot("component", [1, 2]).agg(F.first("score")).orderBy("sample").limit(100_000).collect()
+        scores = pca_scores(left).groupBy("sample").pivot("component", [1, 2]).agg(F.first("score")).orderBy("sample").collect()  # as many as ``pca_scores`` let through
         if len(scores) <= min_samples:
             break
         labels = hdbscan(np.array([[r[1], r[2]] for r in scores], float), min_samples)

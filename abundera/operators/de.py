@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundera.functions import special
-from abundera.functions.special import digamma, inverse_trigamma, lowess, trigamma
+from abundera.functions.special import digamma, inverse_trigamma, trigamma
 from abundera.functions.values import is_measured
 from abundera.operators import fdr
 from abundera.operators.windows import benjamini_hochberg
+from abundera.session import cut_lineage, pandas_bounded
 
 #: Cells of the collapsed matrix a resampling method sends to its tasks.
 MAX_MATRIX = 20_000_000
+#: Distinct peptide counts of proteins.
+MAX_COUNTS = 100_000
 
 
 def group_stats(long: DataFrame, samples: DataFrame, a: str, b: str) -> DataFrame:
@@ -45,20 +48,31 @@ def fit_prior(e_mean: float, e_var: float, trig_mean: float, s2_mean: float, mea
     return math.inf, s2_mean
 
 
+def _of_df(df: str, fn) -> Column:
+    """A function of the degrees of freedom, by an Arrow UDF that evaluates it once per distinct value."""
+
+    @F.pandas_udf("double")
+    def apply(v: pd.Series) -> pd.Series:
+        return v.map({d: float(fn(d)) if d > 0 else np.nan for d in v.dropna().unique()}).astype(float)
+
+    return apply(F.col(df).cast("double"))
+
+
+def _log_bias(d: float) -> float:
+    return math.log(d / 2) - float(digamma(d / 2)[0])
+
+
+def _trigamma_half(d: float) -> float:
+    return float(trigamma(d / 2)[0])
+
+
 def prior_moments(stats: DataFrame) -> tuple[float, float, float, float, int]:
-    """Moments that the prior is fitted from: one aggregate, psi and its derivative read per distinct df."""
+    """Moments that the prior is fitted from: one aggregate over one row a protein."""
     base = stats.where("df > 0 AND s2 IS NOT NULL")
     floor = base.agg((F.median("s2") * 1e-5).alias("m")).scalar()
-    dfs = [r["df"] for r in base.select("df").distinct().orderBy("df").limit(100_000).collect()]
-    if not dfs:
-        return 0.0, 0.0, 0.0, 0.0, 0
-    table = lambda f: F.create_map(*[F.lit(float(x)) for d in dfs for x in (d, f(d))])
-    bias = table(lambda d: math.log(d / 2) - float(digamma(d / 2)[0]))
-    trig = table(lambda d: float(trigamma(d / 2)[0]))
-    key = F.col("df").cast("double")
-    rows = base.withColumn("_s", F.greatest("s2", floor)).where("_s > 0").select((F.log("_s") + F.element_at(bias, key)).alias("e"), F.element_at(trig, key).alias("t"), F.col("_s").alias("s2"))
+    rows = base.withColumn("_s", F.greatest("s2", floor)).where("_s > 0").select((F.log("_s") + _of_df("df", _log_bias)).alias("e"), _of_df("df", _trigamma_half).alias("t"), F.col("_s").alias("s2"))
     r = rows.agg(F.avg("e").alias("em"), F.var_samp("e").alias("ev"), F.avg("t").alias("tm"), F.avg("s2").alias("sm"), F.count(F.lit(1)).alias("n")).first()
-    return r["em"], r["ev"] or 0.0, r["tm"], r["sm"], r["n"]
+    return (r["em"], r["ev"] or 0.0, r["tm"], r["sm"], r["n"]) if r["n"] else (0.0, 0.0, 0.0, 0.0, 0)
 
 
 def _t_pvalue(t: str, df: str) -> Column:
@@ -83,7 +97,7 @@ def _with_df(stats: DataFrame, min_n: int = 2) -> DataFrame:
 
 def _moderated(rows: DataFrame, d0: Column, s02: Column, total_df: float) -> DataFrame:
     post = F.when(d0 == float("inf"), s02).otherwise((F.col("df") * F.col("s2") + d0 * s02) / (F.col("df") + d0))
-    se = F.sqrt(post * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    se = F.sqrt(post * (F.col("unscaled") if "unscaled" in rows.columns else 1 / F.col("n_a") + 1 / F.col("n_b")))
     df = F.least(F.col("df") + d0, F.lit(float(total_df)))
     out = rows.withColumn("s2_post", post).withColumn("t", F.try_divide(F.col("log2FC"), se)).withColumn("df_total", df)
     p = _t_pvalue("t", "df_total")
@@ -106,32 +120,86 @@ def finish(tests: DataFrame, a: str, b: str, level: float = 0.05, gate: float =
     return adjusted.withColumn("significance", fdr.significance("adj_pvalue", "log2FC", level, gate))
 
 
-def deqms(long: DataFrame, samples: DataFrame, counts: DataFrame, a: str, b: str) -> DataFrame:
-    """Moderated t-test whose prior variance follows the peptide count: a smooth trend of log variance on log2 count.
-
-    ``counts`` is ``(protein, count)``.  The trend is fitted on the proteins'
-    (log count, log variance) pairs on the driver, one number each, which the
-    collapsed matrix bounds.  With fewer than four points or one count it is
-    the plain moderated test.
+def quadratic_loess(x: np.ndarray, n: np.ndarray, y: np.ndarray, span: float = 0.75) -> np.ndarray:
+    """Local quadratic fit at each distinct x from its number of points and their mean y; exact, since the weights depend on x alone."""
+    fit = np.empty(len(x))
+    nearest = max(1, min(int(math.floor(span * n.sum())), int(n.sum())))
+    for i, at in enumerate(x):
+        gap = np.abs(x - at)
+        order = np.argsort(gap, kind="stable")
+        radius = gap[order][np.searchsorted(np.cumsum(n[order]), nearest)]
+        w = n * np.clip(1 - (gap / radius) ** 3, 0, None) ** 3 if radius > 0 else np.where(gap == 0, n, 0.0)
+        design = np.sqrt(w)[:, None] * np.stack([np.ones(len(x)), x - at, (x - at) ** 2], axis=1)
+        scale = np.maximum(np.linalg.norm(design, axis=0), 1e-300)
+        beta = np.linalg.lstsq(design / scale, np.sqrt(w) * y, rcond=100 * np.finfo(float).eps)[0] / scale
+        fit[i] = beta[0]
+    return fit
+
+
+def prior_df(target: float) -> float:
+    """Prior degrees of freedom on a grid of 0.1 whose trigamma of the half is nearest to ``target``."""
+    if target <= 0:
+        return math.inf
+    steps = max(1.0, math.floor(20 * inverse_trigamma(target)))
+    return min(((steps + k) / 10 for k in (0, 1)), key=lambda d: abs(_trigamma_half(d) - target))
+
+
+def precision_stats(long: DataFrame, samples: DataFrame, precision: DataFrame, a: str, b: str) -> DataFrame:
+    """``group_stats`` with each value weighted by its precision: means, pooled variance and unscaled variance of a weighted fit.
+
+    A cell without a precision takes the 5 % quantile of those measured; every
+    weight w counts as 1 / (1 / w + t), t the median of 1 / w, so that one well
+    measured cell can't outweigh the biological variance.
     """
-    rows = _with_df(group_stats(long, samples, a, b)).join(counts, "protein", "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    v = long.where(is_measured("value")).join(samples.where(F.col("condition").isin(a, b)), "sample").withColumn("y", F.log2("value"))
+    v = v.join(precision.select("protein", "sample", F.when(is_measured("precision"), F.col("precision")).alias("w")), ["protein", "sample"], "left")
+    typical = v.agg(F.percentile(1 / F.col("w"), 0.5).alias("t"), F.percentile("w", 0.05).alias("low")).first()
+    tau, low = typical["t"] or 0.0, typical["low"] or 1.0
+    v = v.withColumn("w", 1 / (1 / F.coalesce("w", F.lit(low)) + F.lit(tau)))
+    pick = lambda c, x: F.when(F.col("condition") == c, x)
+    w, y = F.col("w"), F.col("y")
+    cols = {}
+    for name, c in (("a", a), ("b", b)):
+        cols |= {f"_w{name}": F.sum(pick(c, w)), f"_wy{name}": F.sum(pick(c, w * y)), f"_wyy{name}": F.sum(pick(c, w * y * y)), f"n_{name}": F.count(pick(c, y))}
+    out = v.groupBy("protein").agg(*[c.alias(k) for k, c in cols.items()])
+    for name in "ab":
+        mean = F.try_divide(F.col(f"_wy{name}"), F.col(f"_w{name}"))
+        out = out.withColumns({f"mean_{name}": mean, f"_rss{name}": F.greatest(F.lit(0.0), F.col(f"_wyy{name}") - F.col(f"_wy{name}") * mean)})
+    ok = out.where("n_a >= 2 AND n_b >= 2").withColumn("df", F.col("n_a") + F.col("n_b") - 2)
+    return ok.withColumns({"s2": (F.col("_rssa") + F.col("_rssb")) / F.col("df"), "unscaled": 1 / F.col("_wa") + 1 / F.col("_wb"), "log2FC": F.col("mean_b") - F.col("mean_a")}).drop(*[k for k in cols if k[0] == "_"], "_rssa", "_rssb")
+
+
+def deqms(long: DataFrame, samples: DataFrame, counts: DataFrame, a: str, b: str, precision: DataFrame | None = None) -> DataFrame:
+    """Moderated t-test whose prior variance follows the peptide count: a local quadratic trend of log variance on log2 count.
+
+    ``counts`` is ``(protein, count)``.  The trend needs the proteins of each
+    count only as number, sum and sum of squares of their log variances, so what
+    comes to the driver is one row a distinct count (checked).  With fewer than
+    four points or one count it is the plain moderated test.  ``precision``
+    (``protein, sample, precision``) weights the values.
+    """
+    if precision is None:
+        rows = _with_df(group_stats(long, samples, a, b)).withColumn("unscaled", 1 / F.col("n_a") + 1 / F.col("n_b"))
+    else:
+        rows = precision_stats(long, samples, precision, a, b)
+    rows = cut_lineage(rows.join(counts, "protein", "left").withColumn("count", F.coalesce("count", F.lit(1))))  # one row a protein, read by every step
     low = rows.agg(F.min("count").alias("m")).first()["m"]
-    rows = rows.withColumn("count", F.col("count") + (1 if low == 0 else 0)).withColumn("_x", F.log2("count"))
-    pts = rows.where("s2 > 0").select("_x", F.log("s2").alias("y"), "df").orderBy("_x", "y").limit(1_000_000).toPandas()
+    rows = rows.withColumn("count", F.col("count") + (1 if low == 0 else 0))
+    y = F.log("s2")
+    points = rows.where("s2 > 0").groupBy("count").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(_of_df("df", _trigamma_half)).alias("t"))
+    pts = pandas_bounded(points.orderBy("count"), MAX_COUNTS, "distinct peptide counts")
     total = rows.agg(F.sum("df").alias("s")).first()["s"] or 0
-    if len(pts) < 4 or pts["_x"].nunique() < 2:
+    if pts["n"].sum() < 4 or len(pts) < 2:
+        return limma(long, samples, a, b)
+    n, mean = pts["n"].to_numpy(float), (pts["y"] / pts["n"]).to_numpy(float)
+    trend = quadratic_loess(np.log2(pts["count"].to_numpy(float)), n, mean)
+    if not np.isfinite(trend).all():
         return limma(long, samples, a, b)
-    trend = lowess(pts["_x"].to_numpy(), pts["y"].to_numpy(), 0.75)
-    xs, first = np.unique(pts["_x"].to_numpy(), return_index=True)
-    level = trend[first]
-    target = float(np.mean((pts["y"].to_numpy() - trend) ** 2 - trigamma(pts["df"].to_numpy() / 2)))
-    d0 = 2 * inverse_trigamma(target) if target > 0 else math.inf
-    half = (float(digamma(d0 / 2)[0]) - math.log(d0 / 2)) if math.isfinite(d0) else 0.0
-    knots = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(xs, level)])
-    near = F.element_at(F.filter(knots, lambda k: k["x"] >= F.col("_x") - 1e-9), 1)["y"]  # every count is a knot
-    dfs = [r["df"] for r in rows.select("df").distinct().limit(100_000).collect()]
-    bias = F.element_at(F.create_map(*[F.lit(float(v)) for d in dfs for v in (d, math.log(d / 2) - float(digamma(d / 2)[0]))]), F.col("df").cast("double"))
-    rows = rows.withColumn("_s0", F.exp(F.coalesce(near, F.lit(float(level[-1]))) + bias + half))
+    target = float((pts["yy"] - 2 * trend * pts["y"] + n * trend**2 - pts["t"]).sum() / n.sum())
+    d0 = prior_df(target)
+    half = -_log_bias(d0) if math.isfinite(d0) else 0.0
+    table = long.sparkSession.createDataFrame([(int(c), float(t)) for c, t in zip(pts["count"], trend)], "count bigint, _trend double")
+    rows = rows.join(table, "count", "left").withColumn("_s0", F.exp(F.coalesce("_trend", F.lit(float(trend[-1]))) + _of_df("df", _log_bias) + half)).drop("_trend")
     return finish(_moderated(rows, F.lit(d0), F.col("_s0"), total), a, b)
 
 
@@ -161,6 +229,7 @@ def difference_and_error(x: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray,
         return mb - ma, np.sqrt(ss / (na + nb - 2) * (1 / na + 1 / nb))
 
 
+# Smoothing constants tried.
 SMOOTHING = np.concatenate([np.arange(0, 0.21, 0.01), np.arange(0.22, 1.01, 0.02), np.arange(1.2, 5.01, 0.2)])
 
 
@@ -373,14 +442,14 @@ def auto_method(quant: str, complete: bool) -> str:
     return "deqms" if quant == "directlfq" or not complete else "limrots"
 
 
-def differential(long: DataFrame, samples: DataFrame, a: str, b: str, method: str = "limma", counts: DataFrame | None = None) -> DataFrame:
+def differential(long: DataFrame, samples: DataFrame, a: str, b: str, method: str = "limma", counts: DataFrame | None = None, precision: DataFrame | None = None) -> DataFrame:
     """Any method by name on ``(protein, sample, value)``."""
     if method == "limma":
         return limma(long, samples, a, b)
     if method == "deqms":
         if counts is None:
             raise ValueError("deqms needs peptide counts")
-        return deqms(long, samples, counts, a, b)
+        return deqms(long, samples, counts, a, b, precision)
     if method in ("rots", "limrots"):
         return rots(long, samples, a, b, moderated=method == "limrots")
     if method == "proda":

@@ -20,24 +20,30 @@ from pyspark.sql import Window as W
 from abundera.functions import special
 from abundera.functions.values import log2_positive
 from abundera.operators.batch import whole_matrix
+from abundera.session import materialize
 
 #: The grid has one array element per sample, so samples are counted first.
 MAX_SAMPLES = 100_000
 
 
 def grid(long: DataFrame, entity: str = "protein") -> DataFrame:
-    """``(entity, sample, v)``: every entity in every sample, log2 value or null.
+    """``(entity, sample, v)``: every entity in every sample, log2 value or null; see ``grid_and_cells``."""
+    return grid_and_cells(long, entity)[0]
+
+
+def grid_and_cells(long: DataFrame, entity: str = "protein") -> tuple[DataFrame, DataFrame]:
+    """The grid, and the cells with a row of their own, from which statistics of the samples are read.
 
     Built by exploding the sorted array of all samples per entity, not by a
     cross join; the number of samples is checked.
     """
-    names = long.where("sample IS NOT NULL").select("sample").distinct()
+    values = materialize(long.where(F.col(entity).isNotNull()).groupBy(entity, "sample").agg(F.max(log2_positive("value")).alias("v")), "cells")  # read four times
+    names = values.where("sample IS NOT NULL").select("sample").distinct()
     if names.limit(MAX_SAMPLES + 1).count() > MAX_SAMPLES:
         raise ValueError(f"more than {MAX_SAMPLES} samples")
     all_samples = names.agg(F.array_sort(F.collect_list("sample")).alias("s")).scalar()
-    cells = long.where(F.col(entity).isNotNull()).select(entity).distinct().select(entity, F.explode(all_samples).alias("sample"))
-    values = long.groupBy(entity, "sample").agg(F.max(log2_positive("value")).alias("v"))
-    return cells.join(values, [entity, "sample"], "left")
+    cells = values.select(entity).distinct().select(entity, F.explode(all_samples).alias("sample"))
+    return cells.join(values, [entity, "sample"], "left"), values
 
 
 def _linear(v: Column) -> Column:
@@ -57,13 +63,13 @@ def constant(long: DataFrame, value: float = 0.0, entity: str = "protein") -> Da
 
 def by_sample(long: DataFrame, how: str, entity: str = "protein", q: float = 0.01) -> DataFrame:
     """Mean, median, most frequent value, or the q-quantile (``mindet``) of each sample on the log2 scale."""
-    g = grid(long, entity)
+    g, cells = grid_and_cells(long, entity)
     agg = {"mean": lambda: F.avg("v"), "median": lambda: F.median("v"), "mindet": lambda: F.percentile("v", q)}
     if how == "most_frequent":
-        counts = g.where("v IS NOT NULL").groupBy("sample", "v").agg(F.count(F.lit(1)).alias("n"))
+        counts = cells.where("v IS NOT NULL").groupBy("sample", "v").agg(F.count(F.lit(1)).alias("n"))
         stat = counts.groupBy("sample").agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), "v")).alias("_f"))
     else:
-        stat = g.groupBy("sample").agg(agg[how]().alias("_f"))
+        stat = cells.groupBy("sample").agg(agg[how]().alias("_f"))
     return _finish(g.join(stat, "sample"), F.col("_f"), entity)
 
 
@@ -74,8 +80,8 @@ def _ordinals(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def min_prob(long: DataFrame, q: float = 0.01, tune: float = 1.0, seed: int = 42, entity: str = "protein") -> DataFrame:
     """Draws from N(q-quantile of the sample, (tune * median entity sd)^2); sd over entities seen in more than half the samples."""
-    g = grid(long, entity)
-    stat = g.groupBy("sample").agg(F.percentile("v", q).alias("_q"))
+    g, cells = grid_and_cells(long, entity)
+    stat = cells.groupBy("sample").agg(F.percentile("v", q).alias("_q"))
     sd = g.groupBy(entity).agg(F.stddev_samp("v").alias("s"), F.count("v").alias("n"), F.count(F.lit(1)).alias("all")).where("n > all / 2 AND s IS NOT NULL").agg(F.coalesce(F.median("s"), F.lit(0.0)).alias("m")).scalar()
     rows = _ordinals(long, entity, "_row")
     indexed = g.join(rows, entity).join(_ordinals(long, "sample", "_col"), "sample").join(stat, "sample")

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from abundera.functions.values import is_measured
 from abundera.operators.normalize import align_profiles
+from abundera.session import materialize
 
 #: Cells (species by samples) of a protein up to which it is solved from its rows.
 MAX_CELLS = 2_000_000
@@ -77,16 +78,21 @@ def pair_medians(logs: np.ndarray, min_shared: int = 2, stabilize: bool = False,
     """
     have, out = np.isfinite(logs), []
     counts = have.sum(axis=0)
+    need = max(1, min_shared)
     for i in range(logs.shape[1] - 1):
-        for j in range(i + 1, logs.shape[1]):
-            both = have[:, i] & have[:, j]
-            n = int(both.sum())
-            if n >= max(1, min_shared):
-                d = float(np.median(logs[both, j] - logs[both, i]))
-                if stabilize:
-                    w = float(np.clip((max(counts[i], counts[j]) / n - 2.5) / 2.5, 0, 1))
-                    d = (1 - w) * d + w * float(np.log2(totals[j] / totals[i]))
-                out.append((i, j, d))
+        rows = have[:, i]
+        if rows.sum() < need:
+            continue
+        gaps = np.sort(logs[rows, i + 1 :] - logs[rows, i : i + 1], axis=0)  # missing ones last
+        shared = have[rows, i + 1 :].sum(axis=0)
+        at = np.flatnonzero(shared >= need)
+        n = shared[at]
+        d = (gaps[(n - 1) // 2, at] + gaps[n // 2, at]) / 2
+        j = at + i + 1
+        if stabilize:
+            w = np.clip((np.maximum(counts[i], counts[j]) / n - 2.5) / 2.5, 0, 1)
+            d = (1 - w) * d + w * np.log2(totals[j] / totals[i])
+        out += zip([i] * len(j), j.tolist(), d.tolist())
     return out
 
 
@@ -107,12 +113,16 @@ def maxlfq(ions: DataFrame, min_shared: int = 2, stabilize: bool = False) -> Dat
         keep = np.isfinite(v)
         return pd.DataFrame({"protein": pdf["protein"].iat[0], "sample": wide.columns.to_numpy()[keep], "value": v[keep]})
 
-    cells = species_cells(ions)
-    sizes = cells.groupBy("protein").agg((F.count_distinct("peptidoform", "charge") * F.count_distinct("sample")).alias("_n"))
-    small = cells.join(sizes.where(F.col("_n") <= MAX_CELLS).select("protein"), "protein", "left_semi")
-    large = cells.join(sizes.where(F.col("_n") > MAX_CELLS).select("protein"), "protein", "left_semi")
-    solved = small.groupBy("protein").applyInPandas(solve, "protein string, sample string, value double")
-    return solved.unionByName(_maxlfq_of_pairs(large, min_shared, stabilize))
+    cells = materialize(species_cells(ions), "species")
+    rows = cells.groupBy("protein").agg(F.count(F.lit(1)).alias("_r"), F.approx_count_distinct("sample").alias("_s"))
+    # a protein of r rows has at most r species in at most r samples: only those of many rows can have many cells
+    sizes = cells.join(rows.where(F.col("_r") * F.col("_s") * 1.2 > MAX_CELLS).select("protein"), "protein", "left_semi").groupBy("protein").agg((F.count_distinct("peptidoform", "charge") * F.count_distinct("sample")).alias("_n"))
+    big = sizes.where(F.col("_n") > MAX_CELLS).select("protein")
+    out = "protein string, sample string, value double"
+    if not rows.where(F.col("_r") * F.col("_s") * 1.2 > MAX_CELLS).limit(1).count():
+        return cells.groupBy("protein").applyInPandas(solve, out)
+    solved = cells.join(big, "protein", "left_anti").groupBy("protein").applyInPandas(solve, out)
+    return solved.unionByName(_maxlfq_of_pairs(cells.join(big, "protein", "left_semi"), min_shared, stabilize))
 
 
 def ratio_pairs(cells: DataFrame) -> DataFrame:
