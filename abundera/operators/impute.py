@@ -15,11 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from abundera.functions import special
 from abundera.functions.values import log2_positive
 from abundera.operators.batch import whole_matrix
+from abundera.operators.windows import global_ordinals
 from abundera.session import materialize
 
 #: The grid has one array element per sample, so samples are counted first.
@@ -75,7 +75,7 @@ def by_sample(long: DataFrame, how: str, entity: str = "protein", q: float = 0.0
 
 def _ordinals(df: DataFrame, col: str, name: str) -> DataFrame:
     """Place of each distinct name in sorted order, the index of the counter-based draws."""
-    return df.select(col).distinct().withColumn(name, F.row_number().over(W.orderBy(col)) - 1)
+    return global_ordinals(df, col, name)
 
 
 def min_prob(long: DataFrame, q: float = 0.01, tune: float = 1.0, seed: int = 42, entity: str = "protein") -> DataFrame:
@@ -94,7 +94,7 @@ def min_prob(long: DataFrame, q: float = 0.01, tune: float = 1.0, seed: int = 42
     return _finish(indexed, F.col("_q") + tune * sd * draw((F.col("_col") * total + F.col("_row")).cast("bigint")), entity)
 
 
-def qrilc_fill(v: np.ndarray, u: np.ndarray, tune: float = 1.0) -> np.ndarray:
+def qrilc_fill(v: np.ndarray, u: np.ndarray, tune: float = 1.0, sparse: str = "error") -> np.ndarray:
     """Left-censored draws for the missing values of one sample; see ``qrilc``."""
     lack = ~np.isfinite(v)
     m = lack.mean()
@@ -102,6 +102,8 @@ def qrilc_fill(v: np.ndarray, u: np.ndarray, tune: float = 1.0) -> np.ndarray:
         return v
     have = v[~lack]
     if m >= 0.99 or len(have) < 2:
+        if sparse == "leave":
+            return v
         raise ValueError("too few values for a quantile regression")
     p = 0.001 + np.arange(100) * 0.01
     z = special.normal_quantile(m + 0.001 + (0.99 - m) * np.arange(100) / 99)
@@ -122,14 +124,18 @@ def _by_sample_step(long: DataFrame, entity: str, step: Callable[[np.ndarray, in
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(entity)
         v = pdf["v"].to_numpy(float)
-        return pd.DataFrame({entity: pdf[entity], "sample": pdf["sample"], "value": np.exp2(step(v, int(pdf["_col"].iat[0]))), "imputed": ~np.isfinite(v)})
+        return pd.DataFrame({entity: pdf[entity], "sample": pdf["sample"], "value": np.exp2(step(v, int(pdf["_col"].iat[0]))), "imputed": ~np.isfinite(v)}).dropna(subset=["value"])
 
     return g.groupBy("sample").applyInPandas(run, f"`{entity}` string, sample string, value double, imputed boolean")
 
 
-def qrilc(long: DataFrame, tune: float = 1.0, seed: int = 42, entity: str = "protein") -> DataFrame:
-    """Quantile regression of left-censored values: the normal the observed quantiles come from, drawn below its censoring point."""
-    return _by_sample_step(long, entity, lambda v, col: qrilc_fill(v, special.uniforms(seed, col * len(v) + np.arange(len(v))), tune))
+def qrilc(long: DataFrame, tune: float = 1.0, seed: int = 42, entity: str = "protein", sparse: str = "error") -> DataFrame:
+    """Quantile regression of left-censored values: the normal the observed quantiles come from, drawn below its censoring point.
+
+    A sample with 99 % missing is an error, or with ``sparse="leave"`` stays as
+    it is (its missing cells have no row).
+    """
+    return _by_sample_step(long, entity, lambda v, col: qrilc_fill(v, special.uniforms(seed, col * len(v) + np.arange(len(v))), tune, sparse))
 
 
 def gaussian_mixture(long: DataFrame, entity: str = "protein") -> DataFrame:

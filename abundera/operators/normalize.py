@@ -283,9 +283,40 @@ def irs(long: DataFrame, design: DataFrame, stat: str = "median", missing: str =
 def is_reference_name(col: Column | str) -> Column:
     """Whether a name marks a reference channel."""
     c = F.col(col) if isinstance(col, str) else col
+    # Fixed value: pattern of reference names.
     return F.coalesce(F.lower(c).rlike("pool|powder|ref|reference|bridge"), F.lit(False))
 
 
+def reference_samples(sdrf: DataFrame, pooled: str | None = None, column: str | None = None, values: tuple[str, ...] = (), explicit: tuple[str, ...] = (), name: str = "sample") -> DataFrame:
+    """``(sample, is_reference)`` by the first rule that marks a sample: the pooled column, named samples, a column's values, the name itself."""
+    marks = []
+    if pooled:
+        marks.append(F.lower(F.trim(F.col(f"`{pooled}`"))).isin("pooled", "yes", "true", "1"))
+    if explicit:
+        marks.append(F.col("sample").isin(*explicit))
+    if column and values:
+        marks.append(F.col(f"`{column}`").isin(*values))
+    marks.append(is_reference_name(F.col(f"`{name}`")))
+    flags = sdrf.groupBy("sample").agg(*[F.max(F.coalesce(m, F.lit(False)).cast("int")).alias(f"_m{i}") for i, m in enumerate(marks)])
+    found = flags.agg(*[F.max(f"_m{i}").alias(f"_m{i}") for i in range(len(marks))]).first()
+    rule = next((i for i in range(len(marks)) if found[f"_m{i}"]), None)
+    return flags.select("sample", (F.col(f"_m{rule}") == 1 if rule is not None else F.lit(False)).alias("is_reference"))
+
+
+def plexes(sdrf: DataFrame, column: str | None = None, pattern: str = "(?i)(plex|tmt|set|mixture|batch)[_ -]?([0-9]+)") -> DataFrame:
+    """``(sample, plex)`` by the first rule that gives at least two plexes or covers all samples: a column, equal sets of data files, the name."""
+    if column:
+        named = sdrf.where(F.col(f"`{column}`").isNotNull()).groupBy("sample").agg(F.min(F.col(f"`{column}`").cast("string")).alias("plex"))
+        if named.limit(1).count():
+            return named
+    files = plex_by_files(sdrf)
+    sizes = files.groupBy("plex").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if sizes and sizes > 1:  # samples measured together
+        return files.select("sample", "plex")
+    hit = F.regexp_extract("sample", pattern, 2)
+    return sdrf.select("sample").distinct().select("sample", F.when(hit != "", hit).otherwise(F.lit("1")).alias("plex"))
+
+
 def plex_by_files(sdrf: DataFrame) -> DataFrame:
     """``(sample, plex)``: samples measured in the same set of data files share a plex, named after its first file."""
     sets = sdrf.where("run_key IS NOT NULL").groupBy("sample").agg(F.array_sort(F.collect_set("run_key")).alias("_s"))

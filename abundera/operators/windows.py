@@ -8,6 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from abundera.session import materialize
+
+
+def global_ordinals(df: DataFrame, col: str, name: str) -> DataFrame:
+    """``(col, name)``: the place of each distinct value in sorted order, from 0, without one task that holds them all.
+
+    The values are range-partitioned and written once; the places within a
+    partition are moved by the sizes of those before it (one number a partition).
+    """
+    parts = materialize(df.select(col).distinct().repartitionByRange(col).withColumn("_p", F.spark_partition_id()), "ordinals")
+    sizes = sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    moved, at = [], 0
+    for p, n in sizes:
+        moved.append((p, at))
+        at += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(moved, "_p int, _o bigint"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(col)) - 1
+    return parts.withColumn("_i", place).join(offsets, "_p").select(col, (F.col("_i") + F.col("_o")).alias(name))
+
 
 def run_ordinals(ions: DataFrame) -> DataFrame:
     """``(sample, run, ordinal)``: place of each run among its sample's runs, over the distinct pairs only."""

@@ -5,14 +5,26 @@ from __future__ import annotations
 import argparse
 import json
 
+from abundera.operators import pibaq
 from abundera.plans import pipeline
 from abundera.session import build_session
-from abundera.sources import sinks, tables
+from abundera.sources import features, sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="abundera")
     sub = p.add_subparsers(dest="command", required=True)
+    extra = {
+        "correct-batches": ("correct batches in a long table of log values", {"--batches": "parquet of sample and batch"}),
+        "differential": ("test a long protein table", {"--design": "parquet of sample and condition", "--contrast": "two conditions, as A:B", "--counts": "parquet of protein and count"}),
+        "pibaq": ("peptide table to shared-signal abundances", {"--fasta": "sequences to digest", "--mode": "proportional, unique or stable-ratio"}),
+        "spectral-count": ("PSM table to counts", {"--features": "feature table"}),
+    }
+    for name, (text, options) in extra.items():
+        c = sub.add_parser(name, help=text)
+        for option, help_ in {"--input": "table", "--output": "folder", "--config": "JSON configuration", "--method": "method", **options}.items():
+            c.add_argument(option, help=help_, required=option in ("--input", "--output", "--batches", "--design", "--contrast", "--features"))
+        c.add_argument("--wide", action="store_true")
     for name, text in (("proteins", "peptide table to protein matrix"), ("peptides", "ion table to peptide table"), ("impute", "fill a long protein table"), ("normalize", "normalise a long protein table")):
         c = sub.add_parser(name, help=text)
         c.add_argument("--input", required=True)
@@ -37,6 +49,20 @@ def main(argv: list[str] | None = None) -> int:
         if "peptidoform" not in ions.columns:
             ions = ions.withColumn("peptidoform", ions["peptide"])
         out = pipeline.features_to_proteins(ions, config) if args.command == "proteins" else pipeline.features_to_peptides(ions, config)
+    elif args.command == "correct-batches":
+        out = pipeline.REGISTRY.get("batch", args.method or "combat")(spark.read.parquet(args.input), spark.read.parquet(args.batches), **options)
+    elif args.command == "differential":
+        a, b = args.contrast.split(":")
+        config = pipeline.PipelineConfig.from_dict(options | {"contrasts": [(a, b)]} | ({"de_method": args.method} if args.method else {}))
+        counts = spark.read.parquet(args.counts) if args.counts else None
+        out = pipeline.differential_expression(spark.read.parquet(args.input), spark.read.parquet(args.design), config, counts)
+    elif args.command == "pibaq":
+        config = pipeline.PipelineConfig.from_dict(options | {"quant": "pibaq"} | ({"pibaq_mode": args.mode} if args.mode else {}))
+        edges = pibaq.digest(tables.read_fasta(spark, args.fasta)) if args.fasta else None
+        out = pipeline.pibaq_values(tables.read_peptides(spark, args.input), config, edges)
+    elif args.command == "spectral-count":
+        config = pipeline.PipelineConfig.from_dict(options | {"quant": "spectral_count"})
+        out = pipeline.spectral_counts(features.read_psms(spark, args.input), features.feature_groups(features.read_features(spark, args.features)), config)
     else:
         long = spark.read.parquet(args.input)
         group = "imputation" if args.command == "impute" else "normalization.sample"

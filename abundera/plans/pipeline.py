@@ -7,16 +7,21 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundera.operators import batch, de, filters, normalize, rollup
+from abundera.operators import batch, de, filters, lfq, normalize, pibaq, rollup
 from abundera.plans.registry import REGISTRY, parse_quant, quantifier
 from abundera.schema import require
 
 
+PIBAQ_MODES = ("proportional", "unique", "stable-ratio")
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     """Options of features-to-proteins; unknown names and impossible combinations fail when it is made."""
 
     quant: str = "sum"
+    pibaq_mode: str = "proportional"
+    directlfq_shifts: bool = False
     run_normalization: str = "none"
     sample_normalization: str | None = None
     min_intensity: float = 0.0
@@ -52,6 +57,12 @@ class PipelineConfig:
             raise ValueError("counts are not negative")
         if self.irs and method == "ratio":
             raise ValueError("ratios are scaled to the reference already: irs does not apply")
+        if self.pibaq_mode not in PIBAQ_MODES:
+            raise ValueError(f"unknown way to share signal {self.pibaq_mode!r}; known are {', '.join(PIBAQ_MODES)}")
+        if self.directlfq_shifts and method != "directlfq":
+            raise ValueError("sample shifts of ions belong to directlfq")
+        if method in ("pibaq", "spectral_count") and self.sample_normalization not in (None, "none"):
+            raise ValueError(f"{method} takes no sample normalisation")
         if self.irs_missing not in ("keep", "drop", "plex_median"):
             raise ValueError(f"unknown irs policy {self.irs_missing!r}")
         if self.de_method not in ("auto", "limma", "deqms", "rots", "limrots", "proda"):
@@ -103,14 +114,54 @@ def peptides_to_proteins(rows: DataFrame, config: PipelineConfig, level: str = "
     return fn(rows)
 
 
-def features_to_proteins(ions: DataFrame, config: PipelineConfig, design: DataFrame | None = None) -> DataFrame:
+def group_edges(ions: DataFrame) -> DataFrame:
+    """``(accession, peptide)`` of the protein groups themselves, where no digest is given."""
+    return ions.select(F.explode(F.split("protein", ";")).alias("accession"), "peptide").where("accession <> '' AND peptide IS NOT NULL").distinct()
+
+
+def pibaq_values(ions: DataFrame, config: PipelineConfig, edges: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """``(protein, sample, value, ...)``: signal shared within families over theoretical peptides, in the configured way.
+
+    ``unique`` gives families without unique evidence one row under the family's
+    name; the two others come with evidence level, family and denominator.
+    """
+    e = group_edges(ions) if edges is None else edges.select("accession", "peptide").distinct()
+    observed = ions.select("peptide", "sample", "intensity").where("peptide IS NOT NULL")
+    fam = pibaq.families(e, overrides=overrides)
+    if config.pibaq_mode == "unique":
+        return pibaq.unique_mode(observed, e, fam).withColumnRenamed("accession", "protein")
+    shared = pibaq.allocate(observed, e, fam) if config.pibaq_mode == "proportional" else pibaq.stable_ratio(observed, e, fam)
+    out = pibaq.per_theoretical(shared, e, fam, observed)
+    return out.select(F.col("accession").alias("protein"), "sample", F.col("pibaq").alias("value"), "evidence", "family", "family_size", "denominator")
+
+
+def spectral_counts(psms: DataFrame, groups: DataFrame, config: PipelineConfig) -> DataFrame:
+    """``(protein, sample, value)``: distinct PSMs of each protein group and run; a repeated PSM id is an error."""
+    if rollup.repeated_ids(psms).limit(1).count():
+        raise ValueError("a PSM id stands in more than one row")
+    named = psms.withColumnRenamed("run_file_name", "sample")
+    return rollup.spectral_count(named, groups, ("protein", "sample"), config.min_unique)
+
+
+def features_to_proteins(ions: DataFrame, config: PipelineConfig, design: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """``(protein, sample, value)`` after the fixed order: roll-up, normalisation, reference scaling, correlation, coverage, imputation, batches.
 
     ``design`` is ``(sample, condition[, plex, is_reference, batch])``, needed by
-    the steps that compare samples.
+    the steps that compare samples; ``edges`` is a digest (``accession,
+    peptide``) for piBAQ, the protein groups stand in for it.
     """
     fn, level = quantifier(config.quant)
-    out = fn(clean_ions(ions, config) if level == "ions" else gated_peptides(ions, config))
+    method = parse_quant(config.quant)[0]
+    if method == "spectral_count":
+        raise ValueError("spectral counts come from PSMs: use spectral_counts")
+    if method == "pibaq":
+        out = pibaq_values(clean_ions(ions, config, gate=False), config, edges).select("protein", "sample", "value")
+    elif config.directlfq_shifts:
+        rows = clean_ions(ions, config)
+        cells = lfq.species_cells(rows).select(F.concat_ws("|", "protein", "peptidoform", "charge").alias("protein"), "sample", F.col("intensity").alias("value"))
+        out = lfq.directlfq(rows, shifts=normalize.hierarchical_shifts(cells))
+    else:
+        out = fn(clean_ions(ions, config) if level == "ions" else gated_peptides(ions, config))
     if config.normalization not in ("none", "global-median"):
         out = REGISTRY.get("normalization.sample", config.normalization)(out)
     need = config.irs or config.coverage or config.min_correlation is not None or config.batch_correction

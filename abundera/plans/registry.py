@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from importlib import metadata
 
-from abundera.operators import impute, lfq, normalize, rollup
+from abundera.operators import batch, impute, lfq, normalize, pibaq, rollup
 
 GROUPS = ("quantification", "imputation", "normalization.run", "normalization.sample", "batch")
 
@@ -49,10 +49,10 @@ class PluginRegistry:
 REGISTRY = PluginRegistry()
 
 # What a roll-up works on: peptide rows or ion rows.
-INPUT_LEVEL = {"maxlfq": "ions", "directlfq": "ions", "ratio": "ions"}
+INPUT_LEVEL = {"maxlfq": "ions", "directlfq": "ions", "ratio": "ions", "pibaq": "ions", "spectral_count": "psms"}
 for _name, _fn in {
     "sum": rollup.sum_of_peptides, "median": rollup.median_of_peptides, "mean": rollup.mean_of_peptides, "abd": rollup.log2_abundance, "intensity": rollup.sum_of_peptides,
-    "peptide_count": rollup.peptide_count, "peptide_count_distinct": rollup.peptide_count_distinct, "maxlfq": lfq.maxlfq, "directlfq": lfq.directlfq, "ratio": rollup.ratio_to_reference,
+    "peptide_count": rollup.peptide_count, "peptide_count_distinct": rollup.peptide_count_distinct, "maxlfq": lfq.maxlfq, "directlfq": lfq.directlfq, "ratio": rollup.ratio_to_reference, "pibaq": pibaq.allocate, "spectral_count": rollup.spectral_count,
 }.items():
     REGISTRY.register("quantification", _name)(_fn)
 for _name in ("zero", "constant", "mean", "median", "most_frequent", "mindet", "minprob", "qrilc", "gms", "knn", "seqknn", "bpca", "impseq", "impseqrob", "missforest"):
@@ -62,6 +62,8 @@ for _name, _fn in normalize.SAMPLE_METHODS.items():
 for _name in ("median", "mean", "max", "global", "iqr"):
     REGISTRY.register("normalization.run", _name)(lambda ions, _n=_name: normalize.scale_runs(ions, normalize.run_factors(ions, _n)))
 REGISTRY.register("normalization.run", "max-min")(normalize.run_max_min)
+REGISTRY.register("batch", "combat")(batch.combat_long)
+REGISTRY.register("batch", "location-scale")(batch.location_scale)
 REGISTRY.register("normalization.run", "none")(lambda ions: ions)
 
 
@@ -74,7 +76,7 @@ def parse_quant(name: str) -> tuple[str, int | None]:
         if n < 1:
             raise ValueError("top0 keeps nothing")
         return "topn", n
-    alias = {"all": "sum", "lfq": "maxlfq", "max_lfq": "maxlfq", "direct_lfq": "directlfq", "counts": "peptide_count"}
+    alias = {"all": "sum", "lfq": "maxlfq", "max_lfq": "maxlfq", "direct_lfq": "directlfq", "counts": "peptide_count", "ibaq": "pibaq", "spectral_counts": "spectral_count"}
     return alias.get(low, low), None
 
 

@@ -13,13 +13,17 @@ from abundera.operators import atlas, batch, de, fdr, lfq, normalize, pibaq, rol
 from abundera.plans import pipeline, registry
 from abundera.queries import base as B
 from abundera.queries import numeric as N
+from abundera.queries import relational as REL
 from abundera.queries.common import Registry, table
-from abundera.session import scratch_path
+from abundera.session import pandas_bounded, scratch_path
+from abundera.sources import features as SF
 from abundera.sources import sinks, tables
 
 R = Registry()
 WI = f"WITH {B.IONS} "
 WC = f"WITH {B.CELLS} "
+#: Points of the quadratic clustering.
+MAX_POINTS = 10_000
 
 # ---- sources and sinks: written below the shared folder and read back ------------------------------------------------------
 
@@ -39,11 +43,11 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_result_folder(spark, path).select("protein", "sample", F.col("value").cast("double").alias("value"))
 
 
-@R.add("src15_dataset", f"{WC} SELECT protein, count(*) AS n FROM cells GROUP BY protein")
+@R.add("src15_dataset", f"{WC} SELECT protein, sample, round(log2(value), 9) AS value FROM cells")
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "dataset")
     tables.save_dataset({"proteins": B.cells(spark, sf_dir)}, path, ["rolled up"])
-    return tables.load_dataset(spark, path)["proteins"].groupBy("protein").agg(F.count(F.lit(1)).alias("n"))
+    return N.l2(tables.load_dataset(spark, path)["proteins"], digits=9)
 
 
 @R.add("src16_sql_relation", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -51,35 +55,36 @@ def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT lang, count(*) AS n FROM {docs} GROUP BY lang", docs=table(spark, sf_dir, "documents"))
 
 
-@R.add("src17_csv_to_parquet", f"{WI} SELECT sample, run, count(*) AS n FROM ions GROUP BY ALL")
+@R.add("src17_csv_to_parquet", f"{WI} SELECT row_id, sample, run, charge, round(log2(intensity), 9) AS intensity FROM ions")
 def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = scratch_path(spark, "csv"), scratch_path(spark, "from-csv")
-    B.ions(spark, sf_dir).groupBy("sample", "run").agg(F.count(F.lit(1)).alias("n")).write.csv(a, header=True)
+    B.ions(spark, sf_dir).select("row_id", "sample", "run", "charge", "intensity").write.csv(a, header=True)
     tables.csv_to_parquet(spark, a, b)
-    return spark.read.parquet(b).select("sample", "run", F.col("n").cast("bigint").alias("n"))
+    return spark.read.parquet(b).select(F.col("row_id").cast("bigint").alias("row_id"), "sample", "run", F.col("charge").cast("int").alias("charge"), log2_rounded(F.col("intensity").cast("double")).alias("intensity"))
 
 
 R.add("src14_aliases", "WITH a AS (SELECT term AS canonical, unnest(synonyms) AS label FROM term_list WHERE synonyms IS NOT NULL) SELECT DISTINCT term AS label, term AS canonical FROM term_list UNION ALL SELECT label, min(canonical) FROM a WHERE label NOT IN (SELECT term FROM term_list) GROUP BY label")(
     lambda spark, sf_dir: (lambda t: tables.with_aliases(t.select(F.col("term").alias("label")), t.select(F.col("term").alias("canonical"), F.col("synonyms").alias("aliases"))))(table(spark, sf_dir, "term_list"))
 )
-R.add("snk3_cell_precision")(lambda spark, sf_dir: (lambda path: (sinks.write_peptides(lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)), path), spark.read.parquet(path))[1])(scratch_path(spark, "precision")))
+R.add("snk3_cell_precision", N.PRECISION)(lambda spark, sf_dir: (lambda path: (sinks.write_peptides(lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)), path), N.l2(spark.read.parquet(path), "precision", 6))[1])(scratch_path(spark, "precision")))
 R.add("src18_sample_batches", f"{WI}, s AS (SELECT sample, (row_number() OVER (ORDER BY sample) - 1) // 10 AS batch FROM (SELECT DISTINCT sample FROM ions)) SELECT batch, count(*) AS n FROM ions JOIN s USING (sample) GROUP BY batch")(
     lambda spark, sf_dir: (lambda d: d.join(d.select("sample").distinct().withColumn("batch", F.expr("cast((row_number() over (order by sample) - 1) div 10 as bigint)")), "sample").groupBy("batch").agg(F.count(F.lit(1)).alias("n")))(B.ions(spark, sf_dir))
 )
 
 
-@R.add("snk2_peptides", f"WITH {B.PEPTIDES} SELECT sample, count(*) AS n FROM peptides GROUP BY sample")
+@R.add("snk2_peptides", f"WITH {B.PEPTIDES} SELECT protein, peptide, sample, biorep, condition, round(log2(intensity), 9) AS intensity FROM peptides")
 def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "peptides")
     sinks.write_peptides(B.peptides(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    return N.l2(spark.read.parquet(path).select("protein", "peptide", "sample", "biorep", "condition", "intensity"), "intensity", 9)
 
 
-@R.add("snk4_tests")
+@R.add("snk4_tests", f"{N._TESTS}, {N._BH.format(t='tests')} SELECT protein, 'B-A' AS contrast, n_a, n_b, round(pvalue, 6) AS pvalue, round(adj, 7) AS adj_pvalue FROM bh")
 def snk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tests")
     sinks.write_tests(fdr.benjamini_hochberg(N._tests(spark, sf_dir)), path)
-    return spark.read.csv(path, header=True)
+    read = spark.read.csv(path, header=True)
+    return N._r(read.select("protein", "contrast", *[F.col(c).cast(t).alias(c) for c, t in (("n_a", "bigint"), ("n_b", "bigint"), ("pvalue", "double"), ("adj_pvalue", "double"))]), pvalue=6, adj_pvalue=7)
 
 
 # ---- joins -------------------------------------------------------------------------------------------------------------------
@@ -108,8 +113,8 @@ R.add(
 R.add("agg20_partial_final", f"{WI} SELECT protein, count(*) AS n, round(log2(sum(intensity)), 9) AS total FROM ions GROUP BY protein")(
     lambda spark, sf_dir: B.ions(spark, sf_dir).groupBy("protein", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("t")).groupBy("protein").agg(F.sum("n").alias("n"), log2_rounded(F.sum("t")).alias("total"))
 )
-R.add("srt1_sorted_tests", f"{N._TESTS}, {N._BH.format(t='tests')} SELECT protein, round(adj, 8) AS adj_pvalue FROM bh ORDER BY adj, pvalue, protein LIMIT 100")(
-    lambda spark, sf_dir: fdr.benjamini_hochberg(N._tests(spark, sf_dir)).orderBy("adj_pvalue", "pvalue", "protein").limit(100).select("protein", F.round("adj_pvalue", 8).alias("adj_pvalue"))
+R.add("srt1_sorted_tests", f"{N._TESTS}, {N._BH.format(t='tests')} SELECT protein, round(adj, 8) AS adj_pvalue FROM bh ORDER BY adj, pvalue, protein")(
+    lambda spark, sf_dir: fdr.benjamini_hochberg(N._tests(spark, sf_dir)).orderBy("adj_pvalue", "pvalue", "protein").select("protein", F.round("adj_pvalue", 8).alias("adj_pvalue"))
 )
 R.add("srt6_top_ions", f"{WI}, c AS (SELECT protein, peptidoform, charge, sample, sum(intensity) AS i FROM ions GROUP BY ALL), r AS (SELECT protein, peptidoform, charge, count(*) AS k, round(sum(log2(i)), 6) AS s FROM c GROUP BY ALL) SELECT protein, count(*) AS n FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY protein ORDER BY k DESC, s DESC, peptidoform, charge) <= 100) GROUP BY protein")(
     lambda spark, sf_dir: lfq.top_ions(lfq.species_cells(B.ions(spark, sf_dir))).select("protein", "peptidoform", "charge").distinct().groupBy("protein").agg(F.count(F.lit(1)).alias("n"))
@@ -156,10 +161,12 @@ def sc16(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- workflows -----------------------------------------------------------------------------------------------------------------------
 
 
-@R.add("nrm16_defaults", "SELECT * FROM (VALUES ('directlfq', 'none'), ('maxlfq', 'hierarchical'), ('median', 'global-median'), ('peptide_count', 'none'), ('ratio', 'none'), ('sum', 'global-median')) t(quant, method)")
-def nrm16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q, normalize.default_method(q)) for q in ("sum", "median", "maxlfq", "directlfq", "ratio", "peptide_count")], "quant string, method string")
-
+R.add(
+    "nrm16_defaults",
+    f"""{WI}, r AS (SELECT * FROM ions WHERE condition <> 'Empty'), m AS (SELECT sample, median(intensity) AS m FROM r GROUP BY sample), n AS (SELECT r.* REPLACE (intensity * (SELECT median(m) FROM m) / m.m AS intensity) FROM r JOIN m USING (sample)),
+top AS (SELECT protein, peptide, peptidoform, charge, sample, condition, biorep, max(intensity) AS intensity FROM n GROUP BY ALL), q AS (SELECT protein, peptide, sample, biorep, condition, sum(intensity) AS intensity FROM top GROUP BY ALL)
+SELECT protein, sample, round(log2(sum(intensity)), 8) AS value FROM q GROUP BY protein, sample""",
+)(lambda spark, sf_dir: N.l2(pipeline.features_to_proteins(B.ions(spark, sf_dir), pipeline.PipelineConfig(quant="sum", min_unique=0))))
 
 R.add("pib3_overrides", f"WITH RECURSIVE {N._FAMILIES} SELECT accession, CASE WHEN accession < 'ZX1' THEN 'pinned' ELSE family END AS family FROM families WHERE accession < 'ZX1' OR family_size = 1")(
     lambda spark, sf_dir: (lambda e: (lambda pins: (lambda fam, free: fam.join(free, "accession", "left_semi").select("accession", "family"))(pibaq.families(e, overrides=pins), pins.select("accession").union(pibaq.families(e).where("family_size = 1").select("accession"))))(e.where("accession < 'ZX1'").select("accession", F.lit("pinned").alias("family")).distinct()))(N.edges(spark, sf_dir))
@@ -169,11 +176,11 @@ R.add("pib9_digest_misses", f"WITH {N.EDGES}, {N.OBSERVED} SELECT count(DISTINCT
 )
 
 
-@R.add("pib14_workflow")
+@R.add("pib14_workflow", f"{N._SHARED}, {N._THEORY} SELECT accession, sample, evidence, round(pibaq / sum(pibaq) OVER (PARTITION BY sample), 9) AS norm FROM theory")
 def pib14(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = N.edges(spark, sf_dir)
     obs, fam = N.observed(spark, sf_dir), pibaq.families(e)
-    return pibaq.derived_values(pibaq.per_theoretical(pibaq.allocate(obs, e, fam), e, fam, obs), ("sample",))
+    return N._r(pibaq.derived_values(pibaq.per_theoretical(pibaq.allocate(obs, e, fam), e, fam, obs), ("sample",)).select("accession", "sample", "evidence", "norm"), norm=9)
 
 
 R.add("irs6_conditions", f"SELECT \"source name\" AS sample, min(coalesce(nullif(trim(regexp_extract(\"factor value[treatment]\", '(?i)(?:^|;)\\s*NT=([^;]*)', 1)), ''), trim(\"factor value[treatment]\"))) AS condition FROM sdrf WHERE NOT {B.sql_missing('\"factor value[treatment]\"')} GROUP BY 1")(
@@ -184,7 +191,7 @@ R.add("irs6_conditions", f"SELECT \"source name\" AS sample, min(coalesce(nullif
 @R.add("bat2_design")
 def bat2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The design matrix of condition and plex, one row a sample."""
-    d = N.design(spark, sf_dir).orderBy("sample").limit(100_000).toPandas()
+    d = pandas_bounded(N.design(spark, sf_dir).orderBy("sample"), batch.MAX_SAMPLES, "samples")
     x = batch.design_matrix(d[["condition", "plex"]])
     return spark.createDataFrame([(s, [float(v) for v in row]) for s, row in zip(d["sample"], x)], "sample string, terms array<double>")
 
@@ -200,7 +207,7 @@ def bat4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("de4_covariates")
 def de4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group difference with the plex as covariate, one small fit per protein."""
-    d = N.design(spark, sf_dir).orderBy("sample").limit(100_000).toPandas().set_index("sample")
+    d = pandas_bounded(N.design(spark, sf_dir).orderBy("sample"), batch.MAX_SAMPLES, "samples").set_index("sample")
     x = pd.DataFrame(batch.design_matrix(d[["condition", "plex"]]), index=d.index)
     c = [0.0, 1.0] + [0.0] * (x.shape[1] - 2)
     return de.design_test(B.cells(spark, sf_dir), x, pd.Series(c).to_numpy())
@@ -209,7 +216,7 @@ def de4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("de4_blocks")
 def de4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group difference with the plex as random block."""
-    d = N.design(spark, sf_dir).orderBy("sample").limit(100_000).toPandas().set_index("sample")
+    d = pandas_bounded(N.design(spark, sf_dir).orderBy("sample"), batch.MAX_SAMPLES, "samples").set_index("sample")
     x = pd.DataFrame(batch.design_matrix(d[["condition"]]), index=d.index)
     blocks = d["plex"].to_dict()
     rho = de.block_correlation(B.cells(spark, sf_dir), x, blocks)
@@ -223,8 +230,10 @@ def de1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.differential_expression(B.cells(spark, sf_dir), N.groups(spark, sf_dir), config)
 
 
-R.add("de15_auto_method", "SELECT * FROM (VALUES ('directlfq', true, 'deqms'), ('sum', false, 'deqms'), ('sum', true, 'limrots')) t(quant, complete, method)")(
-    lambda spark, sf_dir: spark.createDataFrame([(q, c, de.auto_method(q, c)) for q, c in (("directlfq", True), ("sum", False), ("sum", True))], "quant string, complete boolean, method string")
+R.add("de15_auto_method", f"{WC}, f AS (SELECT count(*) = count(DISTINCT protein) * count(DISTINCT sample) AS complete FROM cells) SELECT quant, complete, CASE WHEN quant = 'directlfq' OR NOT complete THEN 'deqms' ELSE 'limrots' END AS method FROM f, (VALUES ('directlfq'), ('sum')) t(quant)")(
+    lambda spark, sf_dir: (lambda complete: spark.createDataFrame([(q, complete, de.auto_method(q, complete)) for q in ("directlfq", "sum")], "quant string, complete boolean, method string"))(
+        B.cells(spark, sf_dir).agg((F.count(F.lit(1)) == F.count_distinct("protein") * F.count_distinct("sample")).alias("c")).first()["c"]
+    )
 )
 R.add("tis1_matrix", f"WITH {N._shared_entries()} SELECT protein, run_key AS sample, label_key AS label, round(log2(sum(intensity)), 8) AS value FROM labelled WHERE protein IS NOT NULL GROUP BY ALL")(
     lambda spark, sf_dir: B.entries(spark, sf_dir).withColumn("protein", K.clean_accession("anchor_protein")).where("protein IS NOT NULL").groupBy("protein", F.col("run_key").alias("sample"), F.col("label_key").alias("label")).agg(log2_rounded(F.sum("intensity"), 8).alias("value"))
@@ -240,8 +249,8 @@ def tis3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.withColumn("specific", F.col("ts") >= cut)
 
 
-R.add("udf1_registry", "SELECT * FROM (VALUES ('imputation'), ('normalization.sample'), ('quantification')) t(name)")(
-    lambda spark, sf_dir: spark.createDataFrame([(g,) for g in ("imputation", "normalization.sample", "quantification") if registry.REGISTRY.names(g)], "name string")
+R.add("udf1_registry", f"{WC} SELECT protein, sample, round(log2(value) - median(log2(value)) OVER (PARTITION BY sample), 7) AS value FROM cells")(
+    lambda spark, sf_dir: N.l2(registry.REGISTRY.get("normalization.sample", "median-center")(B.cells(spark, sf_dir)), digits=7)
 )
 R.add("lfq7_entry")(lambda spark, sf_dir: pipeline.features_to_proteins(B.ions(spark, sf_dir), pipeline.PipelineConfig(quant="directlfq")))
 R.add("agg10_run_ratio", f"{WI}, m AS (SELECT protein, peptide, charge, condition AS plex, sample, biorep = 1 AS is_reference, max(intensity) AS intensity FROM ions WHERE biorep IS NOT NULL GROUP BY ALL), f AS (SELECT protein, peptide, charge, plex, avg(intensity) AS ref FROM m WHERE is_reference GROUP BY ALL), p AS (SELECT protein, peptide, sample, median(log2(intensity) - log2(ref)) AS r FROM m JOIN f USING (protein, peptide, charge, plex) WHERE NOT is_reference GROUP BY ALL) SELECT protein, sample, round(median(r), 8) + 0.0::DOUBLE AS value FROM p GROUP BY protein, sample")(
@@ -267,12 +276,12 @@ def snk7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.long_from_wide(wide.select("protein", *[F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[1:]]))
 
 
-@R.add("snk8_saved_levels", f"WITH {B.PEPTIDES} SELECT 'peptides' AS level, count(*) AS n FROM peptides")
+@R.add("snk8_saved_levels", f"WITH {B.PEPTIDES} SELECT 'peptides' AS level, protein, peptide, sample, round(log2(intensity), 9) AS intensity FROM peptides")
 def snk8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "levels")
     tables.save_dataset({"peptides": B.peptides(spark, sf_dir)}, path, ["rolled up", "saved"])
     level, df = next(iter(tables.load_dataset(spark, path).items()))
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "n")
+    return N.l2(df.select(F.lit(level).alias("level"), "protein", "peptide", "sample", "intensity"), "intensity", 9)
 
 
 R.add("srt2_top_rows", f"{WI} SELECT row_id FROM ions QUALIFY row_number() OVER (PARTITION BY protein, sample ORDER BY intensity DESC, row_id) <= 2")(
@@ -285,15 +294,21 @@ R.add("nrm13_ion_alignment")(lambda spark, sf_dir: lfq.ion_shifts(B.ions(spark,
 R.add("imp14_dispatch", f"{N._GRID}, s AS (SELECT sample, median(v) AS f FROM g GROUP BY sample) SELECT protein, sample, round(coalesce(v, f), 7) AS value, v IS NULL AS imputed FROM g JOIN s USING (sample)")(
     lambda spark, sf_dir: N.l2(registry.REGISTRY.get("imputation", "median")(B.cells(spark, sf_dir)), digits=7)
 )
-R.add("de16_matrix")(lambda spark, sf_dir: de.differential(B.cells(spark, sf_dir), N.groups(spark, sf_dir), "A", "B", "deqms", rollup.deqms_counts(B.peptides(spark, sf_dir))))
-R.add("udf7_method_names", "SELECT * FROM (VALUES ('Top5', 'topn', 5), ('max-lfq', 'maxlfq', NULL), ('sum', 'sum', NULL)) t(name, method, n)")(
-    lambda spark, sf_dir: spark.createDataFrame([(n, *registry.parse_quant(n)) for n in ("Top5", "max-lfq", "sum")], "name string, method string, n int")
+R.add("de16_matrix")(lambda spark, sf_dir: (lambda c: de.differential(c, N.groups(spark, sf_dir), "A", "B", "deqms", rollup.deqms_counts(B.peptides(spark, sf_dir)), lfq.cell_precision(B.ions(spark, sf_dir), c)))(B.cells(spark, sf_dir)))
+R.add("udf7_method_names", f"WITH {B.PEPTIDES} SELECT protein, sample, round(log2(avg(intensity)), 9) AS value FROM (SELECT * FROM peptides QUALIFY row_number() OVER (PARTITION BY protein, sample ORDER BY intensity DESC, peptide) <= 5) GROUP BY protein, sample")(
+    lambda spark, sf_dir: N.l2(registry.quantifier("Top-5")[0](B.peptides(spark, sf_dir)), digits=9)
+)
+R.add("udf4_spectral_count", f"WITH {REL._GROUPS} SELECT protein, psm.run_file_name AS sample, count(DISTINCT psm_id) AS value FROM psm JOIN groups USING (feature_id) WHERE protein IS NOT NULL AND NOT coalesce(psm.is_decoy, false) GROUP BY ALL HAVING count(DISTINCT psm.sequence) >= 2")(
+    lambda spark, sf_dir: pipeline.spectral_counts(table(spark, sf_dir, "psm"), SF.feature_groups(B.features(spark, sf_dir)), pipeline.PipelineConfig(quant="spectral_count"))
+)
+R.add("udf4_pibaq", f"{WI}, e AS (SELECT DISTINCT unnest(string_split(protein, ';')) AS accession, peptide FROM ions) SELECT accession AS protein, count(*) AS denominator FROM e WHERE accession <> '' GROUP BY accession")(
+    lambda spark, sf_dir: pipeline.pibaq_values(B.ions(spark, sf_dir), pipeline.PipelineConfig(quant="pibaq")).select("protein", F.col("denominator").cast("bigint").alias("denominator")).distinct()
 )
 
 
 @R.add("bat6_clusters")
 def bat6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the samples in the plane of the first two components."""
-    scores = batch.pca_scores(N._pooled(spark, sf_dir, 5)).groupBy("sample").pivot("component", [1, 2]).agg(F.first("score")).orderBy("sample").limit(10_000).toPandas()
-    labels = batch.hdbscan(scores[["1", "2"]].fillna(0.0).to_numpy(float), 2, 2)
+    scores = pandas_bounded(batch.pca_scores(N.filled(spark, sf_dir)).groupBy("sample").pivot("component", [1, 2]).agg(F.first("score")).orderBy("sample"), MAX_POINTS, "samples to cluster")
+    labels = batch.hdbscan(scores[["1", "2"]].fillna(0.0).to_numpy(float))
     return spark.createDataFrame([(s, int(c)) for s, c in zip(scores["sample"], labels)], "sample string, cluster int")

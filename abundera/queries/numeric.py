@@ -136,18 +136,19 @@ def tmt1(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("lfq1_maxlfq")(lambda spark, sf_dir: lfq.maxlfq(B.ions(spark, sf_dir)))
 R.add("lfq2_stabilized")(lambda spark, sf_dir: lfq.maxlfq(B.ions(spark, sf_dir), stabilize=True))
 R.add("lfq3_species", f"{WI} SELECT protein, peptidoform, charge, sample, round(log2(sum(intensity)), 9) AS intensity FROM ions GROUP BY ALL")(lambda spark, sf_dir: l2(lfq.species_cells(B.ions(spark, sf_dir)), "intensity", 9))
-R.add(
-    "lfq1_pair_medians",
-    f"""{WI}, c AS (SELECT protein, peptidoform, charge, sample, log2(sum(intensity)) AS v FROM ions WHERE protein LIKE '%;%' GROUP BY ALL)
-SELECT a.protein, a.sample AS a, b.sample AS b, round(median(b.v - a.v), 8) AS d, count(*) AS shared FROM c a JOIN c b ON a.protein = b.protein AND a.peptidoform = b.peptidoform AND a.charge = b.charge AND a.sample < b.sample GROUP BY ALL""",
-)(lambda spark, sf_dir: _r(lfq.ratio_pairs(lfq.species_cells(B.ions(spark, sf_dir).where("protein LIKE '%;%'"))), d=8))
 R.add(
     "lfq1_pair_medians_all",
     f"""{WI}, c AS (SELECT protein, peptidoform, charge, sample, log2(sum(intensity)) AS v FROM ions GROUP BY ALL)
 SELECT a.protein, a.sample AS a, b.sample AS b, round(median(b.v - a.v), 8) AS d, count(*) AS shared FROM c a JOIN c b ON a.protein = b.protein AND a.peptidoform = b.peptidoform AND a.charge = b.charge AND a.sample < b.sample GROUP BY ALL""",
 )(lambda spark, sf_dir: _r(lfq.ratio_pairs(lfq.species_cells(B.ions(spark, sf_dir))), d=8))
 R.add("lfq4_directlfq")(lambda spark, sf_dir: lfq.directlfq(B.ions(spark, sf_dir)))
-R.add("lfq6_precision")(lambda spark, sf_dir: lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)))
+PRECISION = f"""{WC}, sp AS (SELECT protein, peptidoform, charge, sample, log2(sum(intensity)) AS v FROM ions GROUP BY ALL),
+dd AS (SELECT sp.*, v - log2(value) AS d FROM sp JOIN cells USING (protein, sample)), mm AS (SELECT protein, peptidoform, charge, median(d) AS m FROM dd GROUP BY ALL),
+rr AS (SELECT dd.*, d - m AS r FROM dd JOIN mm USING (protein, peptidoform, charge)),
+ss AS (SELECT protein, sum(r * r) AS rss, greatest(0, count(*) - count(DISTINCT (peptidoform, charge)) - count(DISTINCT sample) + 1) AS dof FROM rr GROUP BY protein),
+pp AS (SELECT median(rss / dof) AS prior FROM ss WHERE dof > 0 AND rss / dof > 0), s2 AS (SELECT protein, (CASE WHEN dof > 0 THEN rss ELSE 0 END + 4.0 * (SELECT prior FROM pp)) / (dof + 4.0) AS s2 FROM ss)
+SELECT protein, sample, round(log2(count(*) / any_value(s2)), 6) AS precision FROM rr JOIN s2 USING (protein) GROUP BY protein, sample"""
+R.add("lfq6_precision", PRECISION)(lambda spark, sf_dir: l2(lfq.cell_precision(B.ions(spark, sf_dir), B.cells(spark, sf_dir)), "precision", 6))
 
 # ---- families and piBAQ ------------------------------------------------------------------------------------------------------
 
@@ -203,23 +204,44 @@ R.add(
 )(lambda spark, sf_dir: (lambda e: pibaq.peptide_owner(observed(spark, sf_dir), e, _plain_families(e)))(edges(spark, sf_dir)))
 
 
-@R.add("pib5_proportional")
+_SHARED = f"""WITH RECURSIVE {_FAMILIES}, {OBSERVED}, top AS (SELECT peptide, sample, max(intensity) AS i FROM observed GROUP BY ALL),
+seen AS (SELECT * FROM edges WHERE peptide IN (SELECT peptide FROM observed)), one AS (SELECT peptide FROM seen GROUP BY peptide HAVING count(DISTINCT accession) = 1),
+anch AS (SELECT accession, count(*) AS a FROM seen WHERE peptide IN (SELECT peptide FROM one) GROUP BY accession), strength AS (SELECT family, sum(coalesce(a, 0)) AS s FROM families LEFT JOIN anch USING (accession) GROUP BY family),
+owner AS (SELECT peptide, arg_min(family, (-s, family)) AS family FROM (SELECT DISTINCT peptide, family FROM seen JOIN families USING (accession)) JOIN strength USING (family) GROUP BY peptide),
+members AS (SELECT e.peptide, e.accession FROM edges e JOIN families f USING (accession) JOIN owner o ON o.peptide = e.peptide AND o.family = f.family), nm AS (SELECT peptide, count(*) AS m FROM members GROUP BY peptide),
+r AS (SELECT t.peptide, t.sample, t.i, n.m, b.accession FROM top t JOIN nm n USING (peptide) JOIN members b USING (peptide)),
+own AS (SELECT accession, sample, sum(i) AS anchor FROM r WHERE m = 1 GROUP BY ALL), sh AS (SELECT r.*, coalesce(anchor, 0) AS w FROM r LEFT JOIN own USING (accession, sample) WHERE m > 1),
+st AS (SELECT *, sum(w) OVER (PARTITION BY peptide, sample) AS t FROM sh), giv AS (SELECT accession, sample, sum(CASE WHEN t > 0 THEN i * w / t ELSE i / m END) AS shared FROM st GROUP BY ALL),
+alloc AS (SELECT accession, sample, coalesce(anchor, 0) AS anchor, coalesce(shared, 0) AS shared, coalesce(anchor, 0) + coalesce(shared, 0) AS value FROM own FULL JOIN giv USING (accession, sample))"""
+_THEORY = """den AS (SELECT accession, count(*) AS d FROM edges GROUP BY accession), uq AS (SELECT min(accession) AS accession, peptide FROM edges GROUP BY peptide HAVING count(*) = 1),
+nu AS (SELECT accession, count(*) AS n_unique FROM uq WHERE peptide IN (SELECT peptide FROM observed) GROUP BY accession),
+theory AS (SELECT accession, sample, value / d AS pibaq, family, family_size, CASE WHEN coalesce(n_unique, 0) >= 2 THEN 'high' WHEN n_unique = 1 THEN 'medium' ELSE 'family_only' END AS evidence
+  FROM alloc JOIN den USING (accession) JOIN families USING (accession) LEFT JOIN nu USING (accession))"""
+
+
+@R.add("pib5_proportional", f"{_SHARED} SELECT accession, sample, round(anchor, 2) AS anchor, round(log2(nullif(value, 0)), 7) AS value FROM alloc")
 def pib5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return pibaq.allocate(observed(spark, sf_dir), e, pibaq.families(e))
+    return l2(pibaq.allocate(observed(spark, sf_dir), e, pibaq.families(e)).select("accession", "sample", F.round("anchor", 2).alias("anchor"), "value"), digits=7)
+
 
+_STABLE = f"""{_SHARED}, fa AS (SELECT * FROM alloc JOIN families USING (accession)), tot AS (SELECT family, sample, sum(anchor) AS ta, sum(shared) AS ts FROM fa GROUP BY ALL),
+q AS (SELECT fa.*, ta, ts FROM fa JOIN tot USING (family, sample)), shr AS (SELECT accession, median(anchor / ta) AS s FROM q WHERE anchor > 0 AND ta > 0 GROUP BY accession),
+lv AS (SELECT q.*, s FROM q JOIN shr USING (accession) WHERE anchor > 0), nn AS (SELECT family, sample, sum(s) AS n FROM lv GROUP BY ALL)
+SELECT accession, sample, round(log2(anchor + ts * s / n), 7) AS value FROM lv JOIN nn USING (family, sample)"""
 
-@R.add("pib7_stable_ratio")
+
+@R.add("pib7_stable_ratio", _STABLE)
 def pib7(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return pibaq.stable_ratio(observed(spark, sf_dir), e, pibaq.families(e))
+    return l2(pibaq.stable_ratio(observed(spark, sf_dir), e, pibaq.families(e)), digits=7)
 
 
-@R.add("pib8_pibaq")
+@R.add("pib8_pibaq", f"{_SHARED}, {_THEORY} SELECT accession, sample, round(log2(nullif(pibaq, 0)), 7) AS pibaq, family, family_size, evidence FROM theory")
 def pib8(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     fam, obs = pibaq.families(e), observed(spark, sf_dir)
-    return pibaq.per_theoretical(pibaq.allocate(obs, e, fam), e, fam, obs)
+    return l2(pibaq.per_theoretical(pibaq.allocate(obs, e, fam), e, fam, obs).select("accession", "sample", "pibaq", "family", "family_size", "evidence"), "pibaq", 7)
 
 
 R.add("pib11_derived", f"{WC} SELECT protein, sample, round(value / sum(value) OVER (PARTITION BY sample), 9) AS norm, round(10 + log10(value / sum(value) OVER (PARTITION BY sample)), 7) AS log FROM cells")(
@@ -248,21 +270,13 @@ R.add(
     f"{_GRID}, s AS (SELECT sample, round(v) AS v, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY sample, round(v) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, round(v)) = 1) SELECT protein, g.sample, coalesce(round(g.v), s.v) AS value, g.v IS NULL AS imputed FROM g JOIN s USING (sample)",
 )(lambda spark, sf_dir: (lambda d: l2(impute.by_sample(d, "most_frequent"), digits=0))(B.cells(spark, sf_dir).withColumn("value", F.pow(F.lit(2.0), F.round(F.log2("value"))))))
 R.add("imp5_minprob")(lambda spark, sf_dir: impute.min_prob(B.cells(spark, sf_dir)))
-R.add("imp6_qrilc")(lambda spark, sf_dir: impute.qrilc(_by_condition(spark, sf_dir)))
+R.add("imp6_qrilc")(lambda spark, sf_dir: impute.qrilc(B.cells(spark, sf_dir), sparse="leave"))
 R.add("imp10_gms")(lambda spark, sf_dir: impute.gaussian_mixture(B.cells(spark, sf_dir)))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proteins seen in at least 30 % of the samples: the collapsed matrix that whole-row imputers are made for."""
-    c = B.cells(spark, sf_dir)
-    n = c.agg(F.count_distinct("sample").alias("n")).scalar()
-    keep = c.groupBy("protein").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 0.3 * n).select("protein")
-    return c.join(keep, "protein", "left_semi")
-
-
 for _i, _n in ((7, "knn"), (8, "seqknn"), (9, "bpca"), (11, "impseq"), (12, "impseqrob"), (13, "missforest")):
     if _n in ("knn", "bpca", "missforest"):
-        R.add(f"imp{_i}_{_n}")(lambda spark, sf_dir, n=_n: impute.on_matrix(_dense(spark, sf_dir), n, **({"rounds": 1, "trees": 4} if n == "missforest" else {})))
+        R.add(f"imp{_i}_{_n}")(lambda spark, sf_dir, n=_n: impute.on_matrix(B.cells(spark, sf_dir), n))
     else:  # these start from complete rows: the samples are pooled first
         R.add(f"imp{_i}_{_n}")(lambda spark, sf_dir, n=_n: impute.on_matrix(_pooled(spark, sf_dir, 4), n))
 
@@ -273,12 +287,6 @@ def _pooled(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return B.cells(spark, sf_dir).groupBy("protein", pool.alias("sample")).agg(F.avg("value").alias("value"))
 
 
-def _by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean per protein and condition of the samples: few columns, many complete rows."""
-    c = B.cells(spark, sf_dir).join(B.samples(spark, sf_dir), "sample")
-    return c.groupBy("protein", F.col("condition").alias("sample")).agg(F.avg("value").alias("value"))
-
-
 # ---- batches ---------------------------------------------------------------------------------------------------------------
 
 R.add("bat1_prefix", f"{WI} SELECT DISTINCT sample, CASE WHEN contains(sample, '-') AND regexp_extract(sample, '^([^-]*)-', 1) <> '' THEN regexp_extract(sample, '^([^-]*)-', 1) ELSE sample END AS batch FROM ions")(lambda spark, sf_dir: B.ions(spark, sf_dir).select("sample", batch.sample_prefix("sample").alias("batch")).distinct())
@@ -291,9 +299,34 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("bat3_combat")(lambda spark, sf_dir: batch.combat_long(_logs(spark, sf_dir), design(spark, sf_dir).select("sample", F.col("plex").alias("batch"))))
-R.add("bat3_location_scale")(lambda spark, sf_dir: batch.location_scale(_logs(spark, sf_dir), design(spark, sf_dir).select("sample", F.col("plex").alias("batch"))))
-R.add("bat5_pca")(lambda spark, sf_dir: batch.pca_scores(_pooled(spark, sf_dir, 5)))
-R.add("bat7_outliers")(lambda spark, sf_dir: spark.createDataFrame([(s,) for s in batch.outlier_samples(_pooled(spark, sf_dir, 5))], "sample string"))
+_SCALED = f"""{WC}, lg AS (SELECT protein, sample, log2(value) AS v, plex AS batch FROM cells JOIN design USING (sample) WHERE is_reference),
+ok AS (SELECT protein FROM lg GROUP BY protein HAVING count(*) = (SELECT count(DISTINCT sample) FROM lg)), l AS (SELECT * FROM lg WHERE protein IN (SELECT protein FROM ok)),
+bm AS (SELECT protein, batch, avg(v) AS m, var_samp(v) AS s FROM l GROUP BY ALL), gm AS (SELECT protein, avg(v) AS g FROM l GROUP BY protein),
+pv AS (SELECT protein, avg((v - m) * (v - m)) AS p FROM l JOIN bm USING (protein, batch) GROUP BY protein)
+SELECT protein, sample, round((v - m) * sqrt(CASE WHEN s > 0 THEN p / s ELSE 1 END) + g, 6) AS value FROM l JOIN bm USING (protein, batch) JOIN gm USING (protein) JOIN pv USING (protein)
+UNION ALL SELECT protein, sample, round(v, 6) FROM lg WHERE protein NOT IN (SELECT protein FROM ok)"""
+
+
+@R.add("bat3_location_scale", _SCALED)
+def bat3_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the reference samples, of which several have all of a protein's values."""
+    chosen = design(spark, sf_dir).where("is_reference").select("sample", F.col("plex").alias("batch"))
+    return _r(batch.location_scale(_logs(spark, sf_dir).join(chosen.select("sample"), "sample", "left_semi"), chosen), value=6)
+
+
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All proteins in all samples, gaps filled by the sample's low quantile: what components and clusters of samples are taken from."""
+    return impute.by_sample(B.cells(spark, sf_dir), "mindet").select("protein", "sample", "value")
+
+
+R.add("bat5_pca")(lambda spark, sf_dir: batch.pca_scores(filled(spark, sf_dir)))
+
+
+@R.add("bat7_outliers")
+def bat7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that fall out of every cluster, round after round."""
+    return spark.createDataFrame([(s,) for s in batch.outlier_samples(filled(spark, sf_dir))], "sample string")
+
 
 # ---- tests -----------------------------------------------------------------------------------------------------------------
 
@@ -305,9 +338,9 @@ R.add("de2_group_stats", f"{_STATS} SELECT protein, round(mean_a, 8) AS mean_a,
 )
 R.add("de3_limma")(lambda spark, sf_dir: de.limma(B.cells(spark, sf_dir), groups(spark, sf_dir), "A", "B"))
 R.add("de5_deqms")(lambda spark, sf_dir: de.deqms(B.cells(spark, sf_dir), groups(spark, sf_dir), rollup.deqms_counts(B.peptides(spark, sf_dir)), "A", "B"))
-R.add("de6_rots")(lambda spark, sf_dir: de.rots(B.cells(spark, sf_dir), groups(spark, sf_dir), "A", "B", resamples=50))
-R.add("de7_limrots")(lambda spark, sf_dir: de.rots(_by_half(spark, sf_dir), _halves(spark, sf_dir), "A", "B", resamples=50, moderated=True))
-R.add("de8_proda")(lambda spark, sf_dir: de.proda(_dense(spark, sf_dir), groups(spark, sf_dir), "A", "B"))
+R.add("de6_rots")(lambda spark, sf_dir: de.rots(B.cells(spark, sf_dir), groups(spark, sf_dir), "A", "B"))
+R.add("de7_limrots")(lambda spark, sf_dir: de.rots(_by_half(spark, sf_dir), _halves(spark, sf_dir), "A", "B", moderated=True))
+R.add("de8_proda")(lambda spark, sf_dir: de.proda(B.cells(spark, sf_dir), groups(spark, sf_dir), "A", "B"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +421,7 @@ R.add("qc1_variance", f"{WC}, y AS (SELECT protein, condition, log2(value) AS y
 )
 R.add("qc2_completeness", f"{WC}, n AS (SELECT protein, count(*) AS n_samples FROM cells GROUP BY protein) SELECT n_samples, count(*) AS proteins FROM n GROUP BY n_samples")(lambda spark, sf_dir: atlas.completeness(B.cells(spark, sf_dir)))
 R.add("qc2_abundance_rank", f"{WC}, m AS (SELECT protein, median(log2(value)) AS a FROM cells GROUP BY protein) SELECT protein, round(a, 8) AS abundance, rank() OVER (ORDER BY a DESC) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS rank FROM m")(lambda spark, sf_dir: _r(atlas.abundance_rank(B.cells(spark, sf_dir)), abundance=8))
-R.add("qc3_concordance")(lambda spark, sf_dir: (lambda t: atlas.concordance(fdr.benjamini_hochberg(t), fdr.two_stage(t)))(_tests(spark, sf_dir)))
+R.add("qc3_concordance", f"{_TESTS}, {_BH.format(t='tests')}, two AS (SELECT protein, lfc, adj, least(1, adj * greatest(0, 1 - (SELECT count(*) FILTER (adj <= 0.05 / 1.05) / count(*) FROM bh)) * 1.05) AS adj2 FROM bh) SELECT count(*) AS common, 1.0::DOUBLE AS r, count(*) FILTER (adj < 0.05) AS hits_a, count(*) FILTER (adj2 < 0.05) AS hits_b, count(*) FILTER (adj < 0.05 AND adj2 < 0.05) AS hits_both FROM two")(lambda spark, sf_dir: (lambda t: _r(atlas.concordance(fdr.benjamini_hochberg(t), fdr.two_stage(t)), r=9))(_tests(spark, sf_dir)))
 R.add("qc4_ma", f"{_STATS} SELECT protein, round((mean_a + mean_b) / 2, 8) AS a, round(mean_b - mean_a, 8) AS m FROM stats")(lambda spark, sf_dir: _r(atlas.ma_values(de.group_stats(B.cells(spark, sf_dir), groups(spark, sf_dir), "A", "B")), a=8, m=8))
 R.add("evl1_confusion", "SELECT charge, CAST(count(*) FILTER (p AND t) AS DOUBLE) AS tp, CAST(count(*) FILTER (p AND NOT t) AS DOUBLE) AS fp, CAST(count(*) FILTER (NOT p AND t) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT p AND NOT t) AS DOUBLE) AS tn FROM (SELECT charge, peptide_qvalue > 0.01 AS p, is_decoy AS t FROM feature) WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY charge")(
     lambda spark, sf_dir: atlas.confusion(table(spark, sf_dir, "feature").select("charge", (F.col("peptide_qvalue") > 0.01).alias("p"), F.col("is_decoy").alias("t")), "p", "t", ["charge"]).drop("mcc")

@@ -117,12 +117,6 @@ def _heavy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("peptide", _peptide_rows(spark, sf_dir)).unionByName(of("feature", _feature_rows(spark, sf_dir)))
 
 
-@R.add("p4_found")
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proteins with at least 2 % of all rows of peptide and of feature."""
-    return _heavy_results(spark, sf_dir).where("is_heavy").select("table_name", "protein")
-
-
 _CLEAN = "upper(trim(CASE WHEN len(string_split(trim(anchor_protein), '|')) = 3 THEN string_split(trim(anchor_protein), '|')[2] ELSE trim(anchor_protein) END))"
 _MEASURED = "isfinite({0}) AND {0} > 0"
 _P4 = f"""
@@ -140,6 +134,12 @@ SELECT r.table_name, protein, count(*) AS n_rows, round(log2(sum(value)), 9) AS
 FROM rows r JOIN totals t ON r.table_name = t.table_name GROUP BY r.table_name, protein"""
 
 
+@R.add("p4_found", f"SELECT table_name, protein FROM ({_P4}) WHERE is_heavy")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins with at least 2 % of all rows of peptide and of feature."""
+    return _heavy_results(spark, sf_dir).where("is_heavy").select("table_name", "protein")
+
+
 @R.add("p4_results", _P4)
 def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, summed measured intensity and distinct peptides of every protein of peptide and feature."""

@@ -475,7 +475,7 @@ R.add("rsh5_factorize", f"{WITH}, f AS (SELECT condition, min(row_id) AS first F
 R.add("snk1_wide", f"WITH {B.CELLS} SELECT protein, sample, coalesce(round(log2(value), 9), 0) AS value FROM cells")(
     lambda spark, sf_dir: sinks.long_from_wide(sinks.wide_matrix(B.cells(spark, sf_dir).withColumn("value", log2_rounded(F.col("value"))), method="median"))
 )
-R.add("snk6_annotated", f"WITH {B.CELLS} SELECT protein, count(*) AS n_samples FROM cells GROUP BY protein")(lambda spark, sf_dir: sinks.annotated_tables(B.cells(spark, sf_dir))["var"])
+R.add("snk6_annotated", f"WITH {B.CELLS} SELECT protein, sample, round(log2(value), 9) AS value FROM cells")(lambda spark, sf_dir: (lambda x: x.select("protein", "sample", log2_rounded(F.col("X")).alias("value")))(sinks.annotated_tables(B.cells(spark, sf_dir))["X"]))
 
 # ---- scalars ----------------------------------------------------------------------------------------------------------
 
