@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from abundera.functions.keys import canonical_isoform
-from abundera.session import cut_lineage
+from abundera.session import cut_lineage, materialize
 
 # Where each protease cuts (pattern of the cut position).
 PROTEASES = {
@@ -78,16 +78,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     rounds go on until no label changes, each label can only fall, so they end.
     Nothing is collected but the number of changed labels.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("x", "y"))
-    labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
-    while True:
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("x", "y"), "links")
+    labels = materialize(nodes.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    while True:  # tables instead of checkpoints: a checkpoint keeps its plan's estimated size, which multiplies from round to round
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("low"))
         low = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
         hop = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = cut_lineage(low.join(hop, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new")))
-        changed = new.where("label <> new").limit(1).count()
+        new = materialize(low.join(hop, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new")), "labels")
         labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
+        if not new.where("label <> new").limit(1).count():
             break
     return labels.select("node", F.col("label").alias("component"))
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from abundera.functions import special as sp
 from abundera.operators import batch, de, fdr, impute, lfq, normalize, pibaq
@@ -209,3 +210,100 @@ def test_blocks_sharpen_a_paired_difference(spark):
     plain = de.design_test(d, x, np.array([0.0, 1.0])).where("pvalue < 0.01").count()
     top = [r["protein"] for r in de.design_test(d, x, np.array([0.0, 1.0]), blocks, rho).orderBy("pvalue").limit(5).collect()]
     assert rho > 0.9 and plain < 3 and sorted(top) == [f"P{i:02d}" for i in range(5)]
+
+
+def test_components_without_the_matrix(spark):
+    """Scores of the block iteration equal those of a full decomposition; an entity with a gap is left out."""
+    rng = np.random.default_rng(3)
+    x = np.exp2(rng.normal(10, 1, (60, 25)) + 3 * rng.normal(size=(60, 1)) @ rng.normal(size=(1, 25)))
+    data = [(f"p{i:02}", f"s{j:02}", float(x[i, j])) for i in range(60) for j in range(25)] + [("gap", "s00", 5.0)]
+    df = spark.createDataFrame(data, "protein string, sample string, value double")
+    got = {(r["sample"], r["component"]): r["score"] for r in batch.pca_scores(df, 3).collect()}
+    y = np.log2(x).T
+    u, sv, _ = np.linalg.svd(y - y.mean(axis=0), full_matrices=False)
+    # entities are centred over the samples: the same scores up to sign
+    for c in range(3):
+        mine = np.array([got[f"s{j:02}", c + 1] for j in range(25)])
+        assert mine[np.abs(mine).argmax()] > 0 and np.abs(mine) == pytest.approx(np.abs(u[:, c] * sv[c]), rel=1e-6, abs=1e-6)
+    assert batch.pca_scores(df.limit(0)).count() == 0
+
+
+def test_an_outlier_sample_is_found(spark):
+    rng = np.random.default_rng(4)
+    level = rng.normal(12, 2, 40)
+    data = [(f"p{i}", f"s{j:02}", float(2 ** (level[i] + rng.normal(0, 0.1) + (rng.normal(0, 4) if j == 7 else 0)))) for j in range(16) for i in range(40)]
+    assert "s07" in batch.outlier_samples(spark.createDataFrame(data, "protein string, sample string, value double"))
+
+
+def test_local_quadratic_fit():
+    """Exact on a parabola; equal points count as often as they stand."""
+    x = np.log2(np.arange(1, 12.0))
+    n = np.array([9, 7, 5, 4, 3, 2, 2, 1, 1, 1, 1.0])
+    assert de.quadratic_loess(x, n, 1 + 2 * x - x**2) == pytest.approx(1 + 2 * x - x**2)
+    once = de.quadratic_loess(x, np.ones(11), np.sin(x))
+    assert de.quadratic_loess(x, np.full(11, 3.0), np.sin(x)) == pytest.approx(once, abs=0.2)
+    assert de.prior_df(-1.0) == np.inf and abs(de.prior_df(de._trigamma_half(4.0)) - 4.0) < 0.051
+
+
+def test_equal_precisions_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    data = [(f"p{i:02}", f"s{j}", float(2 ** (8 + i % 5 + rng.normal(0, 0.3) + (1.0 if i % 3 == 0 and j < 4 else 0)))) for i in range(40) for j in range(8)]
+    long = spark.createDataFrame(data, "protein string, sample string, value double")
+    design = spark.createDataFrame([(f"s{j}", "A" if j < 4 else "B") for j in range(8)], "sample string, condition string")
+    counts = spark.createDataFrame([(f"p{i:02}", 1 + i % 7) for i in range(40)], "protein string, count bigint")
+    plain = {r["protein"]: r for r in de.deqms(long, design, counts, "A", "B").collect()}
+    same = {r["protein"]: r for r in de.deqms(long, design, counts, "A", "B", long.select("protein", "sample", F.lit(2.0).alias("precision"))).collect()}
+    assert len(plain) == 40 and all(same[k]["pvalue"] == pytest.approx(r["pvalue"], rel=1e-6) and same[k]["log2FC"] == pytest.approx(r["log2FC"]) for k, r in plain.items())
+    hits = {k for k, r in plain.items() if r["adj_pvalue"] < 0.05}
+    assert {f"p{i:02}" for i in range(0, 40, 3)} <= hits
+
+
+def test_components_of_a_long_chain(spark):
+    """Rounds go on until nothing changes, whatever the length of the chain."""
+    n = 120
+    order = list(range(n))
+    np.random.default_rng(1).shuffle(order)
+    names = [f"n{i:03}" for i in order]
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    got = pibaq.connected_components(edges, spark.createDataFrame([(x,) for x in names], "node string")).select("component").distinct().collect()
+    assert [r[0] for r in got] == ["n000"]
+
+
+def test_bounds_are_errors_not_cuts(spark):
+    from abundera.session import collect_bounded, pandas_bounded
+
+    assert len(collect_bounded(spark.range(5), 5, "rows")) == 5
+    for take in (collect_bounded, pandas_bounded):
+        with pytest.raises(ValueError, match="more than 4 rows"):
+            take(spark.range(5), 4, "rows")
+
+
+def test_ordinals_over_partitions(spark):
+    from abundera.operators.windows import global_ordinals
+
+    df = spark.createDataFrame([(f"v{i * 7919 % 1000:04}",) for i in range(2000)], "v string").repartition(7)
+    assert [tuple(r) for r in global_ordinals(df, "v", "n").orderBy("v").collect()] == [(f"v{i:04}", i) for i in range(1000)]
+
+
+def test_family_pipeline_in_all_ways(spark):
+    """Two members of a family share two peptides, each with one of its own; the closed forms of the three ways."""
+    from abundera.plans import pipeline
+
+    digest = spark.createDataFrame([("P5A", "AAAAAAK"), ("P5A", "SHAREDK"), ("P5A", "SHAREDR"), ("P5B", "BBBBBBK"), ("P5B", "SHAREDK"), ("P5B", "SHAREDR")], "accession string, peptide string")
+    ions = spark.createDataFrame([(p, p, "s", v) for p, v in (("AAAAAAK", 300.0), ("BBBBBBK", 100.0), ("SHAREDK", 400.0), ("SHAREDR", 200.0))], "peptide string, peptidoform string, sample string, intensity double")
+    values = lambda mode: {r["protein"]: r["value"] for r in pipeline.pibaq_values(ions, pipeline.PipelineConfig(quant="pibaq", pibaq_mode=mode), digest).collect()}
+    assert values("unique") == {"P5A": 300.0, "P5B": 100.0}
+    assert values("proportional") == pytest.approx({"P5A": 250.0, "P5B": 250 / 3}) and values("stable-ratio") == pytest.approx({"P5A": 250.0, "P5B": 250 / 3})
+    with pytest.raises(ValueError):
+        pipeline.PipelineConfig(quant="pibaq", pibaq_mode="other")
+
+
+def test_reference_and_plex_rules_in_order(spark):
+    from abundera.operators import normalize
+
+    rows = spark.createDataFrame([("a", "pooled", "x", "1", "f1"), ("b", "not pooled", "bridge", "1", "f1"), ("c_plex2", None, "y", "2", "f2"), ("d_plex2", None, None, "2", "f2")], "sample string, pool string, role string, p string, run_key string")
+    marked = lambda **o: {r["sample"] for r in normalize.reference_samples(rows, **o).where("is_reference").collect()}
+    assert marked(pooled="pool") == {"a"} and marked(explicit=("d_plex2",)) == {"d_plex2"} and marked(column="role", values=("y",)) == {"c_plex2"} and marked(name="role") == {"b"}
+    assert {r["sample"]: r["plex"] for r in normalize.plexes(rows, "p").collect()}["c_plex2"] == "2"
+    assert {r["plex"] for r in normalize.plexes(rows).collect()} == {"f1", "f2"}
+    assert {r["sample"]: r["plex"] for r in normalize.plexes(rows.withColumn("run_key", F.col("sample"))).collect()} == {"a": "1", "b": "1", "c_plex2": "2", "d_plex2": "2"}
