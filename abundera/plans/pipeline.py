@@ -61,8 +61,8 @@ class PipelineConfig:
             raise ValueError(f"unknown way to share signal {self.pibaq_mode!r}; known are {', '.join(PIBAQ_MODES)}")
         if self.directlfq_shifts and method != "directlfq":
             raise ValueError("sample shifts of ions belong to directlfq")
-        if method in ("pibaq", "spectral_count") and self.sample_normalization not in (None, "none"):
-            raise ValueError(f"{method} takes no sample normalisation")
+        if method == "spectral_count" and self.sample_normalization not in (None, "none"):
+            raise ValueError("counts take no sample normalisation")
         if self.irs_missing not in ("keep", "drop", "plex_median"):
             raise ValueError(f"unknown irs policy {self.irs_missing!r}")
         if self.de_method not in ("auto", "limma", "deqms", "rots", "limrots", "proda"):

@@ -301,8 +301,10 @@ R.add("udf7_method_names", f"WITH {B.PEPTIDES} SELECT protein, sample, round(log
 R.add("udf4_spectral_count", f"WITH {REL._GROUPS} SELECT protein, psm.run_file_name AS sample, count(DISTINCT psm_id) AS value FROM psm JOIN groups USING (feature_id) WHERE protein IS NOT NULL AND NOT coalesce(psm.is_decoy, false) GROUP BY ALL HAVING count(DISTINCT psm.sequence) >= 2")(
     lambda spark, sf_dir: pipeline.spectral_counts(table(spark, sf_dir, "psm"), SF.feature_groups(B.features(spark, sf_dir)), pipeline.PipelineConfig(quant="spectral_count"))
 )
-R.add("udf4_pibaq", f"{WI}, e AS (SELECT DISTINCT unnest(string_split(protein, ';')) AS accession, peptide FROM ions) SELECT accession AS protein, count(*) AS denominator FROM e WHERE accession <> '' GROUP BY accession")(
-    lambda spark, sf_dir: pipeline.pibaq_values(B.ions(spark, sf_dir), pipeline.PipelineConfig(quant="pibaq")).select("protein", F.col("denominator").cast("bigint").alias("denominator")).distinct()
+_OF_IONS = f"{B.IONS}, edges AS (SELECT DISTINCT accession, peptide FROM (SELECT unnest(string_split(protein, ';')) AS accession, peptide FROM ions WHERE condition <> 'Empty') WHERE accession <> '' AND peptide IS NOT NULL)"
+_IBAQ = f"{N._SHARED}, {N._THEORY}".replace(N.EDGES, _OF_IONS).replace(N.OBSERVED, "observed AS (SELECT peptide, sample, intensity FROM ions WHERE condition <> 'Empty' AND peptide IS NOT NULL)")
+R.add("udf4_pibaq", f"{_IBAQ} SELECT accession AS protein, sample, round(log2(nullif(pibaq, 0)), 7) AS value FROM theory")(
+    lambda spark, sf_dir: N.l2(pipeline.features_to_proteins(B.ions(spark, sf_dir), pipeline.PipelineConfig(quant="pibaq", sample_normalization="none")), digits=7)
 )
 
 
