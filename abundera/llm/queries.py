@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from abundera.functions.values import is_measured, is_missing
 from abundera.llm import bpe, canonical, mojibake, packing, quantiles, topn
+from abundera.queries.base import sql_missing
 from abundera.queries.common import Registry, table
 
 R = Registry()
@@ -34,7 +35,12 @@ def p2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.near_entries(_typed(spark, sf_dir), canonical.load_references(table(spark, sf_dir, "term_list")))
 
 
-@R.add("p3_found")
+_P3 = f"""WITH r AS (SELECT * FROM peptide WHERE isfinite(NormIntensity) AND NormIntensity > 0 AND ProteinName IS NOT NULL AND NOT {sql_missing('SampleID')} AND PeptideCanonical IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ProteinName, SampleID, PeptideCanonical ORDER BY NormIntensity DESC, peptide_row_id) = 1)
+SELECT peptide_row_id FROM r QUALIFY count(*) OVER (PARTITION BY ProteinName, SampleID) > 3 AND row_number() OVER (PARTITION BY ProteinName, SampleID ORDER BY NormIntensity DESC, PeptideCanonical) <= 3"""
+
+
+@R.add("p3_found", _P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best peptides of every protein and sample that has more than three."""
     rows = table(spark, sf_dir, "peptide").where(
