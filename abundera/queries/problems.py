@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from abundera.functions import keys as K
 from abundera.functions.values import is_measured, log2_rounded
 from abundera.operators import drift, fill, heavy, shred
+from abundera.queries.base import sql_missing
 from abundera.queries.common import Registry, table
 
 R = Registry()
@@ -189,7 +190,16 @@ _p6_feature("additional_scores", "l[i].score_name AS score_name, CASE WHEN NOT i
 _p6_feature("modifications", "l[i].name AS name, l[i].accession AS accession")
 
 
-@R.add("p7_found")
+_P7 = f"""WITH b AS (SELECT peptide_row_id, ProteinName AS p, Run AS run, CASE WHEN NOT {sql_missing('SampleID')} THEN SampleID END AS s, CASE WHEN NOT {sql_missing('Condition')} THEN Condition END AS c,
+  coalesce(isfinite(NormIntensity) AND NormIntensity > 0, false) AS m FROM peptide),
+best AS (SELECT run, s AS bs FROM (SELECT run, s, count(*) AS n FROM b WHERE run IS NOT NULL AND s IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC, s) = 1),
+f AS (SELECT b.*, coalesce(s, bs) AS s2 FROM b LEFT JOIN best USING (run))
+SELECT peptide_row_id, 'SampleID' AS field_name FROM f WHERE s IS NULL AND s2 IS NOT NULL
+UNION ALL SELECT peptide_row_id, 'Condition' FROM f WHERE c IS NULL AND s2 IN (SELECT s2 FROM f WHERE c IS NOT NULL AND s2 IS NOT NULL)
+UNION ALL SELECT peptide_row_id, 'NormIntensity' FROM f SEMI JOIN (SELECT p, s2 FROM f WHERE m AND p IS NOT NULL AND s2 IS NOT NULL) g USING (p, s2) WHERE NOT m"""
+
+
+@R.add("p7_found", _P7)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of SampleID, Condition and NormIntensity that can be filled."""
     return fill.fills(table(spark, sf_dir, "peptide")).select("peptide_row_id", "field_name")
