@@ -307,3 +307,22 @@ def test_reference_and_plex_rules_in_order(spark):
     assert {r["sample"]: r["plex"] for r in normalize.plexes(rows, "p").collect()}["c_plex2"] == "2"
     assert {r["plex"] for r in normalize.plexes(rows).collect()} == {"f1", "f2"}
     assert {r["sample"]: r["plex"] for r in normalize.plexes(rows.withColumn("run_key", F.col("sample"))).collect()} == {"a": "1", "b": "1", "c_plex2": "2", "d_plex2": "2"}
+
+
+def test_components_of_filled_samples_from_measured_cells(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(12, 3, (200, 29))
+    x[rng.random(x.shape) < 0.7] = np.nan
+    f = batch.LowFilled(spark.createDataFrame([(f"p{i}", f"s{j:02}", float(2 ** x[i, j])) for i, j in zip(*np.nonzero(np.isfinite(x)))], "protein string, sample string, value double"))
+    for keep in (np.ones(29, bool), np.arange(29) % 3 > 0):
+        y = np.where(np.isfinite(x), x, np.nanquantile(x, 0.01, axis=0))[:, keep]
+        u, sv, _ = np.linalg.svd((y - y.mean(axis=1, keepdims=True)).T, full_matrices=False)
+        assert f.entities == 200 and np.abs(f.scores(keep)) == pytest.approx(np.abs(u[:, :2] * sv[:2]), rel=1e-6, abs=1e-6)
+
+
+def test_clusters_in_a_deep_tree():
+    """Fours at growing distances nest some thousand clusters; no recursion, no matrix of all distances."""
+    pts = np.zeros((4800, 2))
+    pts[:, 0] = np.repeat(1.01 ** np.arange(1200), 4) * 100 + np.tile([0, 0.01, 0.03, 0.04], 1200)
+    labels = batch.hdbscan(pts)
+    assert labels.max() > 0 and (np.bincount(labels[labels >= 0]) >= 3).all()
