@@ -326,3 +326,33 @@ def test_clusters_in_a_deep_tree():
     pts[:, 0] = np.repeat(1.01 ** np.arange(1200), 4) * 100 + np.tile([0, 0.01, 0.03, 0.04], 1200)
     labels = batch.hdbscan(pts)
     assert labels.max() > 0 and (np.bincount(labels[labels >= 0]) >= 3).all()
+
+
+@pytest.mark.parametrize("stabilize", [False, True])
+def test_profile_from_rows_equals_that_of_the_matrix(monkeypatch, stabilize):
+    rng = np.random.default_rng(12)
+    wide = np.exp2(rng.normal(20, 3, (60, 40)))
+    wide[rng.random(wide.shape) < 0.85] = np.nan
+    wide[:, 30] = np.nan
+    wide = wide[:, np.isfinite(wide).any(axis=0)]
+    i, j = np.nonzero(np.isfinite(wide))
+    want = lfq.maxlfq_profile(wide, 2, stabilize)
+    for pairs, direct in ((10**6, 1500), (30, 1500), (30, 2)):
+        monkeypatch.setattr(lfq, "MAX_PAIRS", pairs)
+        monkeypatch.setattr(lfq, "MAX_DIRECT", direct)
+        assert lfq.profile_of_rows(i, j, wide[i, j], wide.shape[1], 2, stabilize) == pytest.approx(want, rel=1e-9, nan_ok=True)
+
+
+def test_profile_of_many_samples_in_little_memory():
+    """2,000 samples, 2 million pairs: the list of pairs and the matrix of samples took more than a quarter of a GB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    n = 2000
+    species, sample = np.repeat(np.arange(40), n), np.tile(np.arange(n), 40)
+    level = rng.normal(0, 1, n)
+    tracemalloc.start()
+    v = lfq.profile_of_rows(species, sample, np.exp2(20 + level[sample] + species / 10), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.log2(v / v[0]) == pytest.approx(level - level[0], abs=1e-8) and peak < 250e6
