@@ -24,3 +24,14 @@ def test_pair_medians_cover_single_proteins(spark):
     got = {r["protein"] for r in numeric.R.queries["lfq1_pair_medians_all"](spark, str(DATA)).select("protein").distinct().collect()}
     ions = B.ions(spark, str(DATA)).groupBy("protein", "peptidoform", "charge").agg(F.count_distinct("sample").alias("n")).where("n > 1 AND protein IS NOT NULL")
     assert got == {r["protein"] for r in ions.select("protein").distinct().collect()} and any(";" not in p for p in got)
+
+
+def test_correlation_of_equal_values_is_nan(spark):
+    from abundera.operators import filters
+
+    rows = [(f"p{i}", f, v) for i in range(4) for f, v in (("s1", 8.0), ("s2", 2.0**i), ("s3", 4.0**i))] + [("p0", "t1", 1.0), ("p0", "t2", 1.0)]
+    groups = spark.createDataFrame([(s, "A") for s in ("s1", "s2", "s3")] + [(s, "B") for s in ("t1", "t2")], "sample string, condition string")
+    got = filters.sample_correlations(spark.createDataFrame(rows, "protein string, sample string, value double"), groups).collect()
+    assert {r["sample"]: str(r["mean_correlation"]) for r in got} == dict.fromkeys(("s1", "s2", "s3"), "nan")
+    rest = filters.sample_correlations(spark.createDataFrame(rows, "protein string, sample string, value double").where("sample <> 's1'"), groups).collect()
+    assert {r["sample"]: round(r["mean_correlation"], 9) for r in rest} == {"s2": 1.0, "s3": 1.0}
