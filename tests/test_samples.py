@@ -35,3 +35,12 @@ def test_correlation_of_equal_values_is_nan(spark):
     assert {r["sample"]: str(r["mean_correlation"]) for r in got} == dict.fromkeys(("s1", "s2", "s3"), "nan")
     rest = filters.sample_correlations(spark.createDataFrame(rows, "protein string, sample string, value double").where("sample <> 's1'"), groups).collect()
     assert {r["sample"]: round(r["mean_correlation"], 9) for r in rest} == {"s2": 1.0, "s3": 1.0}
+
+
+def test_outliers_without_the_grid(spark, monkeypatch):
+    """The samples that fall out are found from the measured cells: no row for a cell that isn't there."""
+    from abundera.operators import impute
+
+    monkeypatch.setattr(impute, "grid_and_cells", None)
+    got = {r["sample"] for r in numeric.R.queries["bat7_outliers"](spark, str(DATA)).collect()}
+    assert got <= {r["sample"] for r in B.ions(spark, str(DATA)).select("sample").distinct().collect()}
