@@ -356,3 +356,28 @@ def test_profile_of_many_samples_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.log2(v / v[0]) == pytest.approx(level - level[0], abs=1e-8) and peak < 250e6
+
+
+def test_density_over_distribution_in_the_tails():
+    x = np.array([-200.0, -40.0, -36.0, -20.0, -12.3, -8.5, -1.0, 0.0, 0.3333, 5.0, 39.0, 100.0])
+    got = sp.inverse_mills(x)
+    assert got[7] == pytest.approx(math.sqrt(2 / math.pi), rel=1e-14) and got[-1] == pytest.approx(0, abs=1e-300)
+    # between the bounds (sqrt(x^2 + 4) + x) / 2 and (sqrt(x^2 + 8) + 3 x) / 4 of the upper tail
+    v = -x[:7]
+    assert (got[:7] > v).all() and (got[:7] < (np.sqrt(v**2 + 4) + v) / 2).all() and got[6] == pytest.approx(math.exp(-0.5) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(1 / math.sqrt(2))), rel=1e-12)
+
+
+@pytest.mark.parametrize("method", ["rots", "proda"])
+def test_tests_take_no_matrix_of_all_cells(spark, method):
+    """2,000 proteins in 1,000 samples, 1 % measured: the driver holds the measured values, not 16 MB a copy of the matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    data = [(f"P{i:04}", f"{'AB'[j % 2]}{j}", float(2 ** (20 + rng.normal(0, 0.3) + (4 if j % 2 and i < 10 else 0)))) for i in range(2000) for j in rng.choice(1000, 10, replace=False)]
+    d = spark.createDataFrame(data, "protein string, sample string, value double")
+    s = spark.createDataFrame([(f"{'AB'[j % 2]}{j}", "AB"[j % 2]) for j in range(1000)], "sample string, condition string")
+    tracemalloc.start()
+    out = de.rots(d, s, "A", "B", resamples=5) if method == "rots" else de.proda(d, s, "A", "B", rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r["protein"] < "P0010" for r in out.orderBy("pvalue", "protein").limit(10).collect()) >= 8 and peak < 12e6
