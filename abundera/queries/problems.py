@@ -59,11 +59,17 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent feature table from the three tables and the raw records."""
     canon, drop, resolved = _resolved(spark, sf_dir)
     known, known_inner = canon.known(), canon.known_inner()
-    scalars = {
-        "sequence": "string", "peptidoform": "string", "charge": "int", "run_file_name": "string", "is_decoy": "boolean", "unique": "boolean", "anchor_protein": "string",
+    kinds = {
+        "feature_id": "bigint", "sequence": "string", "peptidoform": "string", "charge": "int", "run_file_name": "string", "is_decoy": "boolean", "unique": "boolean", "anchor_protein": "string",
         "peptide_qvalue": "double", "pg_global_qvalue": "double", "identification_type": "string", "retention_time": "double", "ion_mobility": "double", "missed_cleavages": "int", "scan": "bigint",
+        "id_run_file_name": "string", "acquired_at": "timestamp", "ingested_at": "timestamp", "calibrated": "boolean", "instrument_note": "string", "imputed_labels": ["string"],
+        "intensities": [{"label": "string", "intensity": "double", "sample_accession": "string", "imputed": "boolean"}], "pg_accessions": [{"accession": "string", "start": "int", "end": "int", "pre": "string", "post": "string", "score": "double"}],
+        "additional_scores": [{"score_name": "string", "score_value": "double", "higher_better": "boolean"}],
+        "modifications": [{"name": "string", "accession": "string", "positions": [{"position": "string", "scores": [{"score_name": "string", "score_value": "double"}]}]}],
     }
-    lists = {"intensities": {"label": "string", "intensity": "double", "sample_accession": "string", "imputed": "boolean"}, "pg_accessions": {"accession": "string", "start": "int", "end": "int", "pre": "string", "post": "string", "score": "double"}}
+    left_out = {*canon.fields, "intensities", "pg_accessions"} - set(kinds)
+    if left_out:
+        raise ValueError(f"no column for {sorted(left_out)}")
 
     def lenient(col, kind: str):
         c = F.trim(col.cast("string"))
@@ -71,23 +77,29 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
             return F.lower(c).try_cast("boolean")
         return c.try_cast("double").try_cast(kind) if kind in ("int", "bigint") else col.cast("string").try_cast(kind)
 
-    def rebuild(inner: dict, fields: dict):
-        def build(x):
-            part = lambda f, t: lenient(x if fields[f] is None else x[fields[f]], t) if f in fields else F.lit(None).cast(t)
-            return F.when(x.isNotNull(), F.struct(*[part(f, t).alias(f) for f, t in inner.items()]))
-
-        return build
+    def ddl(kind, leaf: str | None = None) -> str:
+        if isinstance(kind, list):
+            return f"array<{ddl(kind[0], leaf)}>"
+        return "struct<" + ", ".join(f"`{f}`: {ddl(k, leaf)}" for f, k in kind.items()) + ">" if isinstance(kind, dict) else leaf or kind
+
+    def typed(col, dtype: T.DataType, kind, name: str):
+        """The column in the canonical type; a list that came as text is read as JSON first, other text as a list of one."""
+        if isinstance(kind, list):
+            if isinstance(dtype, T.StringType):
+                text = ddl(kind, "string")
+                one = F.when(~F.trim(col).rlike("^[\\[{]") & (F.trim(col) != ""), F.array(col)) if kind == ["string"] else F.lit(None)
+                return typed(F.coalesce(F.from_json(col, text), one.cast(text)), T._parse_datatype_string(text), kind, name)
+            return F.transform(col, lambda x: typed(x, dtype.elementType, kind[0], name))
+        if isinstance(kind, dict):
+            fields = {known_inner.get((name, drift.S.norm(g.name)), g.name): g for g in dtype.fields} if isinstance(dtype, T.StructType) else {"accession": None}
+            part = lambda f, k: F.lit(None).cast(ddl(k)) if f not in fields else typed(col, dtype, k, name) if fields[f] is None else typed(col[fields[f].name], fields[f].dataType, k, name)
+            return F.when(col.isNotNull(), F.struct(*[part(f, k).alias(f) for f, k in kind.items()]))
+        return lenient(col, kind)
 
     def adapt(df: DataFrame, name: str, row_id: str) -> DataFrame:
         have = {known.get(drift.S.norm(f.name), f.name): f for f in df.schema.fields}
         cols = [F.lit(name).alias("source_table"), F.col(row_id).alias("source_id")]
-        cols += [(lenient(F.col(f"`{have[c].name}`"), t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in scalars.items()]
-        for c, inner in lists.items():
-            element = have[c].dataType.elementType
-            fields = {known_inner.get((c, drift.S.norm(g.name)), g.name): g.name for g in element.fields} if isinstance(element, T.StructType) else {"accession": None}
-
-            cols.append(F.transform(F.col(f"`{have[c].name}`"), rebuild(inner, fields)).alias(c))
-        return df.select(*cols)
+        return df.select(*cols, *[(typed(F.col(f"`{have[c].name}`"), have[c].dataType, k, c) if c in have else F.lit(None).cast(ddl(k))).alias(c) for c, k in kinds.items()])
 
     out = adapt(drift.unified_records(drop, resolved), "feature_drop", "record_id")
     for n in ("feature_legacy", "feature_interim", "feature"):

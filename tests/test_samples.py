@@ -44,3 +44,25 @@ def test_outliers_without_the_grid(spark, monkeypatch):
     monkeypatch.setattr(impute, "grid_and_cells", None)
     got = {r["sample"] for r in numeric.R.queries["bat7_outliers"](spark, str(DATA)).collect()}
     assert got <= {r["sample"] for r in B.ions(spark, str(DATA)).select("sample").distinct().collect()}
+
+
+def test_unified_table_has_every_field(spark):
+    """No column of the three tables and no field of the raw records is left out, nested lists included."""
+    from abundera.queries import problems
+
+    got = problems.R.queries["p1_unified"](spark, str(DATA))
+    canon = problems.feature_canon(spark, str(DATA))
+    assert set(canon.fields) <= set(got.columns)
+    count = lambda df, c: df.where(F.col(c).isNotNull()).count()
+    feature = spark.read.parquet(str(DATA / "feature.parquet"))
+    own = got.where("source_table = 'feature'")
+    for c in ("additional_scores", "modifications", "imputed_labels", "id_run_file_name", "acquired_at", "ingested_at"):
+        assert count(own, c) == count(feature, c)
+    same = own.alias("g").join(feature.alias("f"), F.col("g.source_id") == F.col("f.feature_id"))
+    assert not same.where("NOT (g.acquired_at <=> f.acquired_at AND g.imputed_labels <=> f.imputed_labels AND transform(g.additional_scores, x -> x.score_value) <=> transform(f.additional_scores, x -> x.score_value))").count()
+    raw = got.where("source_table = 'feature_drop'").cache()
+    text = problems.drift.unified_records(*(lambda c, d, r: (d, r))(*problems._resolved(spark, str(DATA))))
+    for c in ("additional_scores", "modifications", "calibrated", "instrument_note"):
+        if c in text.columns:
+            assert count(raw, c) == count(text, c)
+    assert raw.where("exists(modifications, m -> exists(m.positions, p -> exists(p.scores, x -> x.score_value > 0)))").count() > 0
