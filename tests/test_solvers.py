@@ -381,3 +381,21 @@ def test_tests_take_no_matrix_of_all_cells(spark, method):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(r["protein"] < "P0010" for r in out.orderBy("pvalue", "protein").limit(10).collect()) >= 8 and peak < 12e6
+
+
+def test_nearest_neighbours_from_measured_cells(spark, monkeypatch):
+    """Equal to the fill of the whole matrix, also where that has more cells than a whole-matrix step takes."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(12, 3, (90, 20))
+    x[rng.random(x.shape) < 0.8] = np.nan
+    x[5], x[7] = x[3], x[3]
+    x = x[np.isfinite(x).any(axis=1)]
+    monkeypatch.setattr(batch, "MAX_CELLS", 10)
+    monkeypatch.setattr(impute, "MAX_BLOCK", 1000)
+    d = spark.createDataFrame([(f"p{i:02}", f"s{j:02}", float(2 ** x[i, j])) for i, j in zip(*np.nonzero(np.isfinite(x)))], "protein string, sample string, value double")
+    got = {(r["protein"], r["sample"]): (r["value"], r["imputed"]) for r in impute.impute(d, "knn").collect()}
+    want = impute.knn_fill(np.log2(np.exp2(x)))
+    assert len(got) == x.size
+    for i in range(len(x)):
+        for j in range(20):
+            assert math.log2(got[f"p{i:02}", f"s{j:02}"][0]) == pytest.approx(want[i, j], rel=1e-9) and got[f"p{i:02}", f"s{j:02}"][1] == (not np.isfinite(x[i, j]))
