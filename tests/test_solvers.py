@@ -399,3 +399,37 @@ def test_nearest_neighbours_from_measured_cells(spark, monkeypatch):
     for i in range(len(x)):
         for j in range(20):
             assert math.log2(got[f"p{i:02}", f"s{j:02}"][0]) == pytest.approx(want[i, j], rel=1e-9) and got[f"p{i:02}", f"s{j:02}"][1] == (not np.isfinite(x[i, j]))
+
+
+def _gappy() -> np.ndarray:
+    """60 by 8, one row and one column without a value."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(20, 2, (60, 1)) + rng.normal(0, 1, (1, 8)) + rng.normal(0, 0.2, (60, 8))
+    x[rng.random(x.shape) < 0.4] = np.nan
+    x[7], x[:, 6] = np.nan, np.nan
+    return x
+
+
+def _fill_of_cells(spark, monkeypatch, x: np.ndarray, method: str, **options) -> np.ndarray:
+    """The fill in Spark where a whole-matrix step takes ten cells, blocks are small and the filled matrix is in a file."""
+    monkeypatch.setattr(batch, "MAX_CELLS", 10)
+    monkeypatch.setattr(impute, "MAX_BLOCK", 100)
+    monkeypatch.setattr(impute, "MAX_HELD", 10)
+    data = [(f"p{i:02}", f"s{j}", None if np.isnan(x[i, j]) else float(2 ** x[i, j])) for i, j in np.ndindex(x.shape) if np.isfinite(x[i, j]) or i == 7 or j == 6]
+    out = np.full(x.shape, np.nan)
+    rows = impute.impute(spark.createDataFrame(data, "protein string, sample string, value double"), method, **options).collect()
+    for r in rows:
+        at = int(r["protein"][1:]), int(r["sample"][1:])
+        assert r["imputed"] == np.isnan(x[at]) and np.isnan(out[at])
+        out[at] = math.log2(r["value"])
+    assert np.isfinite(out).all() and out[np.isfinite(x)] == pytest.approx(x[np.isfinite(x)])
+    return out
+
+
+def test_forest_from_measured_cells(spark, monkeypatch):
+    """The values of the forest as it was on the matrix, also where that has more cells than a whole-matrix step takes."""
+    x = _gappy()
+    for out in (impute.forest_fill(x, rounds=2, trees=4), _fill_of_cells(spark, monkeypatch, x, "missforest", rounds=2, trees=4)):
+        filled = out[np.isnan(x)]
+        assert len(filled) == 233 and filled.sum() == pytest.approx(3541.3848374039812, rel=1e-9)
+        assert filled[[0, 30, 120]] == pytest.approx([17.651071817185013, 20.586749826814412, 19.533304624359737], rel=1e-9)
