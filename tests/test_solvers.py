@@ -433,3 +433,12 @@ def test_forest_from_measured_cells(spark, monkeypatch):
         filled = out[np.isnan(x)]
         assert len(filled) == 233 and filled.sum() == pytest.approx(3541.3848374039812, rel=1e-9)
         assert filled[[0, 30, 120]] == pytest.approx([17.651071817185013, 20.586749826814412, 19.533304624359737], rel=1e-9)
+
+
+def test_components_from_measured_cells(spark, monkeypatch):
+    """The values of the components as they were on the matrix, also where that has more cells than a whole-matrix step takes."""
+    x = _gappy()
+    for out in (impute.bpca_fill(x), _fill_of_cells(spark, monkeypatch, x, "bpca")):
+        filled = out[np.isnan(x)]
+        assert len(filled) == 233 and filled.sum() == pytest.approx(3503.2653724835736, rel=1e-9)
+        assert filled[[0, 30, 120]] == pytest.approx([18.843754301403948, 19.738606983063782, 20.102641838644914], rel=1e-9)
