@@ -442,3 +442,19 @@ def test_components_from_measured_cells(spark, monkeypatch):
         filled = out[np.isnan(x)]
         assert len(filled) == 233 and filled.sum() == pytest.approx(3503.2653724835736, rel=1e-9)
         assert filled[[0, 30, 120]] == pytest.approx([18.843754301403948, 19.738606983063782, 20.102641838644914], rel=1e-9)
+
+
+def test_profile_of_few_cells_in_many_samples():
+    """16,000 samples in groups of 40: the links are held a bit a pair (32 MB), not a byte (256 MB)."""
+    import tracemalloc
+
+    n, rng = 16_000, np.random.default_rng(17)
+    sample = np.tile(np.arange(n), 2)
+    species = np.repeat([0, 400], n) + sample // 40
+    level = rng.normal(0, 1, n)
+    tracemalloc.start()
+    v = lfq.profile_of_rows(species, sample, np.exp2(20 + level[sample] + np.repeat([0.0, 1.0], n)), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gap = (np.log2(v) - level).reshape(-1, 40)
+    assert gap == pytest.approx(np.repeat(gap[:, :1], 40, axis=1), abs=1e-8) and peak < 120e6
