@@ -435,6 +435,29 @@ def test_forest_from_measured_cells(spark, monkeypatch):
         assert filled[[0, 30, 120]] == pytest.approx([17.651071817185013, 20.586749826814412, 19.533304624359737], rel=1e-9)
 
 
+def test_forest_in_spark_is_that_of_the_matrix_in_less_time(spark, monkeypatch):
+    """The same draws and values; the whole forest in less than half the time that numpy takes for it, by two of its trees a column."""
+    import time
+
+    rng = np.random.default_rng(18)
+    x = rng.normal(20, 2, (300, 1)) + rng.normal(0, 1, (1, 60)) + rng.normal(0, 0.2, (300, 60))
+    x[rng.random(x.shape) < 0.5] = np.nan
+    row, col = np.nonzero(np.isfinite(x))
+    began = time.process_time()
+    want = impute.forest_fill(x, rounds=1, trees=2)
+    small = time.process_time() - began
+    for held in (impute.MAX_HELD, 10):
+        monkeypatch.setattr(impute, "MAX_HELD", held)
+        for r in impute._forest_rows(spark, [f"p{i:03}" for i in range(300)], row, col, x[row, col], 60, 7, rounds=1, trees=2).collect():
+            i = int(r["e"][1:])
+            assert r["v"] == pytest.approx(np.exp2(want[i]), rel=1e-12) and r["i"] == np.isnan(x[i]).tolist()
+    monkeypatch.undo()
+    d = spark.createDataFrame([(f"p{i:03}", f"s{j:02}", float(2 ** x[i, j])) for i, j in zip(row, col)], "protein string, sample string, value double")
+    began = time.time()
+    assert impute.impute(d, "missforest").count() == x.size
+    assert time.time() - began < 40 * small / 2
+
+
 def test_components_from_measured_cells(spark, monkeypatch):
     """The values of the components as they were on the matrix, also where that has more cells than a whole-matrix step takes."""
     x = _gappy()
